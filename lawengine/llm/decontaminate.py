@@ -50,6 +50,11 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _short_places(grams: str, m: int):
+    own = F.filter(F.sequence(F.lit(0), F.greatest(F.size(grams) - 1, F.lit(0))), lambda i: F.array_contains(F.col("hits"), F.get(F.col(grams), i)))
+    return F.transform(own, lambda s: F.struct(s.alias("start"), F.lit(m).alias("length")))
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, spans array<struct<start, length>> of windows hit and items array: one row for each document."""
     items = written(
@@ -90,10 +95,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     around = F.flatten(F.transform(found, lambda p: F.when(last >= 0, F.sequence(F.greatest(p - (KEEP - 1), F.lit(0)), F.least(F.greatest(last, F.lit(0)), p))).otherwise(F.array().cast("array<int>"))))
     places = F.transform(F.filter(F.array_distinct(around), lambda s: s <= last), lambda s: F.struct(s.alias("start"), F.lit(WINDOW).alias("length")))
     for m in short:
-        many = F.col(f"g{m}")
         near = near.withColumn(f"g{m}", _grams("h", m))
-        own = F.filter(F.sequence(F.lit(0), F.greatest(F.size(many) - 1, F.lit(0))), lambda i, many=many: F.array_contains(F.col("hits"), F.get(many, i)))
-        places = F.concat(places, F.transform(own, lambda s, m=m: F.struct(s.alias("start"), F.lit(m).alias("length"))))
+        places = F.concat(places, _short_places(f"g{m}", m))
     tried = near.select("doc_key", "text_hash", "words", F.explode(places).alias("at")).select(
         "doc_key", "text_hash", "at", F.col("at.length").alias("length"), F.array_join(F.slice("words", F.col("at.start") + 1, F.col("at.length")), " ").alias("window")
     )

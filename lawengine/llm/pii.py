@@ -31,7 +31,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WIDE = {
-    "secret": r"(?=[A-Za-z0-9_/+=-])(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+-]{16,}+=*+",
+    "secret": r"(?=[A-Za-z0-9_/+-])(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+=*+",
     "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
     "address": r"(?=[A-Za-z0-9])(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}+){1,5}+",
     "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -72,12 +72,16 @@ def _holds(kind: str, m):
     if kind == "ip":
         return m.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.(?!$)|$)){4}$")
     if kind == "card":
-        return F.char_length(_digits(m)).between(14, 19) & F.luhn_check(F.when(F.char_length(_digits(m)) <= 19, _digits(m)).otherwise("1"))
+        return F.char_length(_digits(m)).between(14, 19) & F.call_function("luhn_check", F.when(F.char_length(_digits(m)) <= 19, _digits(m)).otherwise("1"))
     if kind == "phone":
         return F.char_length(_digits(m)).between(10, 15)
     return F.lit(True)
 
 
+def _kept(found, k: int, kind: str):
+    return F.transform(F.filter(found, lambda x: _holds(kind, x["found"])), lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
+
+
 def base_spans(text):
     """array<struct<start, kind index, end>>, sorted."""
     out = []
@@ -85,8 +89,7 @@ def base_spans(text):
         found = find_all(text, BASE[kind])
         if kind in ("email", "phone"):
             found = F.when(F.contains(text, F.lit("@" if kind == "email" else "+")), found).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
-        kept = F.filter(found, lambda x, kind=kind: _holds(kind, x["found"]))
-        out.append(F.transform(kept, lambda x, k=k: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))))
+        out.append(_kept(found, k, kind))
     return F.array_sort(F.concat(*out))
 
 
@@ -94,6 +97,23 @@ def _vote(yes, no):
     return F.when(yes, F.lit("+")).when(no, F.lit("-")).otherwise(F.lit("0"))
 
 
+def _judged(text, found, kind: str):
+    k = KINDS.index(kind)
+
+    def judged(x):
+        m, left = x["found"], F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
+        share = F.char_length(_digits(m)) / F.char_length(m)
+        votes = [
+            _vote(m.rlike(STRICT[kind]), ~m.rlike(STRICT[kind]) & F.lit(kind != "secret")),
+            _vote(left.rlike(NEAR), left.rlike(FAR)),
+            _vote(left.rlike(r"[=:][\x20\"']*$"), left.rlike(r"[/#.\\][\x20]?$")),
+            _vote(share.between(0.15, 0.85), m.rlike("[a-z]{12}")) if kind == "secret" else _vote(F.lit(kind == "identity"), F.lit(False)),
+        ]
+        return F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), F.concat(F.lit(str(k)), *votes).alias("votes"))
+
+    return F.transform(found, judged)
+
+
 def candidates(text):
     """array<struct<start, kind index, end, votes>>; votes: the kind and one sign for each labeler."""
     out = []
@@ -101,20 +121,7 @@ def candidates(text):
         found = find_all(text, pattern)
         if kind == "secret":
             found = F.filter(found, lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]"))
-        k = KINDS.index(kind)
-
-        def judged(x, kind=kind, k=k):
-            m, left = x["found"], F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
-            share = F.char_length(_digits(m)) / F.char_length(m)
-            votes = [
-                _vote(m.rlike(STRICT[kind]), ~m.rlike(STRICT[kind]) & (kind != "secret")),
-                _vote(left.rlike(NEAR), left.rlike(FAR)),
-                _vote(left.rlike(r"[=:][\x20\"']*$"), left.rlike(r"[/#.\\][\x20]?$")),
-                _vote(share.between(0.15, 0.85), (share < 0.08) | m.rlike("(?i)[a-z]{12}")) if kind == "secret" else _vote(F.lit(kind == "identity"), F.lit(False)),
-            ]
-            return F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), F.concat(F.lit(str(k)), *votes).alias("votes"))
-
-        out.append(F.transform(found, judged))
+        out.append(_judged(text, found, kind))
     return F.array_sort(F.concat(*out))
 
 
@@ -179,7 +186,10 @@ def _written_out(spans):
 
 
 def find_digest(documents: DataFrame) -> DataFrame:
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
+    def count(k: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    n = [count(k) for k in range(4)]
     return find(documents).select("doc_id", *n, F.sha2(_written_out(F.col("base")), 256).alias("base_sha256"), _written_out(F.col("spans")).alias("spans"))
 
 
