@@ -100,7 +100,7 @@ def encode(documents: DataFrame, tokenizer: str, kind: str = "byte", end_id: int
     return docs.mapInArrow(each, "doc_id long, n long, width int, ids binary")
 
 
-def write_store(documents: DataFrame, path: str, tokenizer: str, *, kind: str = "byte", end_id: int = 0, planes: str = "byte", block: int = BLOCK, docs_per_shard: int = 20_000) -> None:
+def write_store(documents: DataFrame, path: str, tokenizer: str, *, kind: str = "byte", end_id: int = 0, planes: str = "byte", block: int = BLOCK, docs_per_shard: int = 10_000) -> None:
     """Encode whole texts and write the store at path, documents in ascending doc_id order."""
     keys = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
     n = keys.count()
