@@ -44,6 +44,12 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import link
+
+    return link(table(spark, sf_dir, "documents"), n=2)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
