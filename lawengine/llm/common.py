@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.deploy import importable
+
 _OWN: dict[str, str] = {}
-_SENT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,20 +49,6 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def importable(spark: SparkSession) -> None:
-    """Send the package to Python workers that can't find it by PYTHONPATH; once for each application."""
-    root = Path(__file__).resolve().parents[2]
-    app = spark.sparkContext.applicationId
-    if app in _SENT or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    _SENT.add(app)
-    to = Path(tempfile.mkdtemp(prefix="lawengine-")) / "lawengine.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for f in (root / "lawengine").rglob("*.py"):
-            z.write(f, f.relative_to(root))
-    spark.sparkContext.addPyFile(str(to))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
