@@ -273,14 +273,22 @@ def polynomial_library(features: list[str], degree: int = 2, *, frequencies: int
 def harmonic_fit(df: DataFrame, x: str, t: str, y: str, *, frequencies: list[float], refine: int = 8) -> dict:
     """y = a + b x + c x sin(w t): all frequencies of the grid are tried in one aggregate, then finer grids around the best."""
     best: dict = {}
+    a, s, v = _column(x), _column(t), _column(y)
+    rows = df.select(a.alias("x"), s.alias("s"), v.alias("y")).filter(ieee.finite(F.col("x")) & ieee.finite(F.col("s")) & ieee.finite(F.col("y")))
     for _ in range(refine + 1):
-        a, s, v = _column(x), _column(t), _column(y)
-        cols = {"x": a} | {f"h{i}": a * F.sin(s * float(w)) for i, w in enumerate(frequencies)} | {"_y": v}
-        g = gram(df, cols)
+        sums = []
         for i, w in enumerate(frequencies):
-            c, left = g.solve([0, i + 1])
+            h = F.col("x") * F.sin(F.col("s") * float(w))
+            sums += [F.sum(h).alias(f"h{i}"), F.sum(h * h).alias(f"hh{i}"), F.sum(h * F.col("x")).alias(f"hx{i}"), F.sum(h * F.col("y")).alias(f"hy{i}")]
+        one = [F.count("*").alias("n"), *[F.sum(F.expr(e)).alias(n) for n, e in (("x", "x"), ("xx", "x * x"), ("xy", "x * y"), ("y", "y"), ("yy", "y * y"))]]
+        r = rows.agg(*one, *sums).first()
+        for i, w in enumerate(frequencies):
+            m = np.array([[r["xx"], r[f"hx{i}"], r["x"]], [r[f"hx{i}"], r[f"hh{i}"], r[f"h{i}"]], [r["x"], r[f"h{i}"], r["n"]]], dtype=float)
+            q = np.array([r["xy"], r[f"hy{i}"], r["y"]], dtype=float)
+            c = np.linalg.lstsq(m, q, rcond=1e-13)[0]
+            left = max(float(r["yy"] - 2 * c @ q + c @ m @ c), 0.0)
             if not best or left < best["left"]:
-                best = {"omega": float(w), "b": float(c[0]), "c": float(c[1]), "a": float(c[2]), "left": left, "rmse": math.sqrt(left / g.n)}
+                best = {"omega": float(w), "b": float(c[0]), "c": float(c[1]), "a": float(c[2]), "left": left, "rmse": math.sqrt(left / r["n"])}
         step = (frequencies[1] - frequencies[0]) if len(frequencies) > 1 else 0.0
         frequencies = [best["omega"] + step * k / 4 for k in range(-4, 5)] if step else [best["omega"]]
     return best
