@@ -92,7 +92,11 @@ class Expr:
 
     def replace(self, old: Expr, new: Expr) -> Expr:
         """The tree with one node, known by identity, replaced."""
-        return new if self is old else self.with_operands(tuple(x.replace(old, new) for x in self.operands))
+        if self is old:
+            return new
+        own = self.operands
+        got = tuple(x.replace(old, new) for x in own)
+        return self if all(a is b for a, b in zip(own, got, strict=True)) else self.with_operands(got)
 
     def replace_at_path(self, path: tuple[int, ...], new: Expr) -> Expr:
         if not path:
