@@ -67,45 +67,65 @@ def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple
     return query[keep], ids[keep], score[keep]
 
 
-def _distinct(ids: np.ndarray, vectors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different vectors, and for each the smallest ids with it: (vectors, owner, ids)."""
+def _distinct(ids: np.ndarray, vectors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different vectors, and for each the smallest ids with it: (vectors, owner, ids), and where each was first."""
     _, first, back = np.unique(np.ascontiguousarray(vectors).view(f"V{vectors.shape[1] * vectors.itemsize}").ravel(), return_index=True, return_inverse=True)
     owner, kept, _ = best(back.ravel(), ids, np.zeros(len(ids)), most)
-    return vectors[first], owner, kept
+    return vectors[first], owner, kept, first
+
+
+#: Pairs that are scored at a time; bounds a task's memory.
+PAIRS = 32_768
+
+
+class _Best:
+    """The k best rows of each query so far, and the floor that a row must reach."""
+
+    def __init__(self, qid: np.ndarray, qvec: np.ndarray, floor: np.ndarray, k: int):
+        self.qid, self.qvec, self.floor, self.k = qid, qvec, floor.copy(), k
+        self.rows = best(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), k)
+
+    def score(self, vectors: np.ndarray, starts: np.ndarray, kept: np.ndarray, row: np.ndarray, query: np.ndarray) -> None:
+        """Exact scores of pairs of a vector and a query; kept[starts[row] : starts[row + 1]] are the vector's ids."""
+        for lo in range(0, len(row), PAIRS):
+            r, q = row[lo : lo + PAIRS], query[lo : lo + PAIRS]
+            exact = cosine(vectors[r], self.qvec[q])
+            good = exact >= self.floor[q]
+            r, q, exact = r[good], q[good], exact[good]
+            many = starts[r + 1] - starts[r]
+            pair = np.repeat(np.arange(len(r)), many)
+            ids = kept[starts[r[pair]] + np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)]
+            other = ids != self.qid[q[pair]]
+            pair, ids = pair[other], ids[other]
+            self.rows = best(np.r_[self.rows[0], q[pair]], np.r_[self.rows[1], ids], np.r_[self.rows[2], exact[pair]], self.k)
+            q, _, exact = self.rows
+            if len(q):
+                last = np.flatnonzero(np.r_[q[1:] != q[:-1], True])
+                full = np.bincount(q, minlength=len(self.qid))[q[last]] >= self.k
+                self.floor[q[last[full]]] = np.maximum(self.floor[q[last[full]]], exact[last[full]])
 
 
 def _walk(batches, dim: int, rotate: np.ndarray, qid: np.ndarray, qvec: np.ndarray, floor: np.ndarray, k: int):
+    """(query, id, score) of the k best rows of each query. In each step the rows of the best estimates are scored
+    first, since they raise the floor; then all others whose upper bound still reaches it."""
     turned = (qvec / np.sqrt((qvec.astype(np.float64) ** 2).sum(1, keepdims=True))).astype(np.float32) @ rotate.T
-    have = best(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), k)
-    floor = floor.copy()
-    step = max(16, 2_000_000 // max(1, len(qid)))
+    found = _Best(qid, qvec, floor, k)
+    step = max(16, 1_000_000 // max(1, len(qid)))
     for ids, bits, scalar, vectors in batches:
-        own, owner, kept = _distinct(ids, vectors, k + 1)
-        at = {v.tobytes(): i for i, v in reversed(list(enumerate(vectors)))}
-        code = np.array([at[v.tobytes()] for v in own], dtype=int)
+        own, owner, kept, code = _distinct(ids, vectors, k + 1)
         starts = np.searchsorted(owner, np.arange(len(own) + 1))
         for lo in range(0, len(own), step):
             part = code[lo : lo + step]
             estimate, error = bounds(bits[part], scalar[part], turned, dim)
-            row, query = np.nonzero(estimate + error[:, None] >= floor[None, :])
-            if not len(row):
-                continue
-            row += lo
-            score = cosine(own[row], qvec[query])
-            good = score >= floor[query]
-            row, query, score = row[good], query[good], score[good]
-            many = starts[row + 1] - starts[row]
-            pair = np.repeat(np.arange(len(row)), many)
-            each = kept[starts[row[pair]] + np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)]
-            other = each != qid[query[pair]]
-            pair, each = pair[other], each[other]
-            have = best(np.r_[have[0], query[pair]], np.r_[have[1], each], np.r_[have[2], score[pair]], k)
-            last = np.flatnonzero(np.r_[have[0][1:] != have[0][:-1], True]) if len(have[0]) else np.empty(0, int)
-            full = np.bincount(have[0], minlength=len(qid)) >= k
-            q = have[0][last]
-            raised = full[q]
-            floor[q[raised]] = np.maximum(floor[q[raised]], have[2][last][raised])
-    return have
+            top = np.argpartition(-estimate, min(k, len(part) - 1), axis=0)[: k + 1]
+            upper = estimate + error[:, None]
+            query = np.broadcast_to(np.arange(len(qid)), top.shape)
+            ask = upper[top, query] >= found.floor[None, :]
+            found.score(own, starts, kept, top[ask] + lo, query[ask])
+            upper[top, query] = -np.inf
+            row, query = np.nonzero(upper >= found.floor[None, :])
+            found.score(own, starts, kept, row + lo, query)
+    return found.rows
 
 
 def _arrays(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
