@@ -433,6 +433,30 @@ def grouped_fit(spark, d):
     return told(spark.createDataFrame(list(r.parameters["slope"].items()), "category string, slope double"))
 
 
+@query()
+def evaluate_formula(spark, d):
+    from ..operators.evaluators import Evaluator
+    from ..sources.dataset import Dataset
+
+    data = Dataset(read(spark, d, "lineitem").withColumn("y", parse("1.5 * l_quantity + 4 * l_tax + 2").to_column()), "y")
+    got = Evaluator(options={"key": "l_orderkey"}).evaluate_candidate(data, "a * l_quantity + b * l_tax + c")
+    return spark.createDataFrame([(s, m["n"], round(m["r2"], 9), got["complexity"], got["eligible"]) for s, m in got["metrics"].items()], "split string, n long, r2 double, complexity long, eligible boolean")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders) AND o_custkey % 7 = 1 AND o_totalprice > (SELECT quantile_cont(o_totalprice, 0.5) FROM orders)")
+def filtered_orders(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    half = df.agg(F.percentile("o_totalprice", F.lit(0.5)).alias("half"))
+    return df.filter("o_custkey % 7 = 1").join(F.broadcast(half), F.col("o_totalprice") > F.col("half")).select("o_orderkey")
+
+
+@query()
+def subsample(spark, d):
+    from ..operators.evaluators import subsample
+
+    return subsample(read(spark, d, "orders"), 500, key="o_orderkey").select("o_orderkey", "o_totalprice")
+
+
 @query()
 def constant_fit(spark, d):
     df = read(spark, d, "part").withColumn("y", F.col("p_retailprice") * (2 / 3) + math.pi)

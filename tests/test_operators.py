@@ -161,3 +161,36 @@ def test_demos(spark):
     assert states.count() == 4810 and edges.count() % 2 == 0
     r = nonlinear.fit("x1*exp(-grouped_param(label, name='g', value={'low': 0.5, 'medium': 0.8, 'high': 1.2})**2*x2)", dataset.demo(spark, "grouped_parameters"), "y")
     assert r.parameters["g"] == pytest.approx({"low": 0.45, "medium": 0.9, "high": 1.35}, abs=1e-4)
+
+
+def test_evaluators(spark):
+    from lawengine.operators.evaluators import TOOLS, Evaluator, GraphEvaluator, call, evaluate_code, subsample, tool
+    from lawengine.plans.indexed import Graph
+
+    x = np.linspace(0, 1, 50)
+    data = dataset.Dataset(frame(spark, x=x, y=2 * x + 1).withColumn("id", F.monotonically_increasing_id()), "y", ["x"])
+    ev = Evaluator(options={"key": "id"})
+    got = ev.evaluate_candidate(data, "a * x + b")
+    assert got["eligible"] and got["parameters"] == pytest.approx({"a": 2, "b": 1}) and set(got["metrics"]) == {"train", "validation"}
+    assert not ev.evaluate_candidate(data, "y + 0 * x")["eligible"]
+    mine = evaluate_code(data, lambda rows: rows.agg(F.avg("y")).first()[0], lambda m, rows: rows.withColumn("prediction", F.lit(m)), ev)
+    assert mine["eligible"] and not evaluate_code(data, lambda rows: None, lambda m, rows: rows.withColumn("prediction", F.col("y")), ev)["eligible"]
+
+    nodes = spark.createDataFrame([(s, i, float(s + i), 0.0) for s in range(5) for i in range(3)], "sample long, node long, x double, y double")
+    edges = spark.createDataFrame([(0, 0, 1), (1, 1, 2)], "row_id long, i long, j long")
+    pull = parse("param('c') * sum[j](A[i, j], x[j] - x[i])")
+    g = Graph(3, nodes, {"A": edges})
+    truth = parse("0.65 * sum[j](A[i, j], x[j] - x[i])").evaluate(g).select("sample", F.col("i").alias("node"), F.col("value").alias("y"))
+    ge = GraphEvaluator(Graph(3, nodes.drop("y").join(truth, ["sample", "node"]), {"A": edges}), "y", 0.4)
+    assert ge.split()[0].nodes.select("sample").distinct().count() == 3
+    fitted = ge.fit_linear(pull, "c")
+    assert ge.evaluate(fitted)["validation"]["mse"] == pytest.approx(0, abs=1e-20)
+
+    @tool
+    def double(v: float, times: int = 2):
+        """v, a few times."""
+        return v * times
+
+    assert TOOLS["double"]["schema"]["required"] == ["v"] and call("double", v=2.0) == {"ok": True, "result": 4.0}
+    assert not call("double")["ok"] and not call("none")["ok"]
+    assert subsample(spark.range(100), 7, key="id").count() == 7
