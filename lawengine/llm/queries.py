@@ -83,4 +83,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import sql
+
+    return {"op1_url_filter": sql.url_filter(URL_RULES), "op3_near_dup": sql.NEAR_DUP, "op7_suffix_dedup": sql.REPEATS, "op9_decontaminate": sql.CONTAMINATION}
