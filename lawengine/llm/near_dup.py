@@ -5,13 +5,14 @@ values of the set, one for each of `COORDINATES` hash functions, lead it down in
 node sends a document on to the child named by the document's minwise value at a coordinate that the node chooses
 (and, with probability BRANCH, at a second one), so that two sets of similarity s part with probability 1 - s
 a step. A node of at most `LEAF` sets is compared exhaustively; a larger one compares all its sets with one pivot
-and branches again, until nothing in it could join different classes. The number of trees sets the recall:
-1 - (1 - 0.8^3)^TREES at the threshold, about 1 - 6e-7, for nodes that end at the root.
+and branches again. A large node whose sets are of one class is done; one where few sets are not of the largest class
+compares these few with all the others, and is done, too (how few they must be doubles with each level). The number
+of trees sets the recall: 1 - (1 - 0.8^3)^TREES at the threshold, about 1 - 6e-7, for nodes that end at the root.
 
-Pairs are first held against each other by 128 sketch bits (one bit of a further minwise value each), and those that
-may reach the threshold are confirmed on the full sets, taken anew from the whole texts. First each set is confirmed
-with the smallest of its partners, then only pairs between different classes are left to confirm. Classes are
-connected components, found by contraction: each set hooks to its least neighbour in a random order.
+Pairs are first held against each other by 128 sketch bits (one bit of a minwise value each), then by 512, and those
+that may reach the threshold are confirmed on the full sets, taken anew from the whole texts. First each set is
+confirmed with the smallest of its partners, then only pairs between different classes are left to confirm. Classes
+are connected components, found by contraction: each set hooks to its least neighbour in a random order.
 
 Documents with equal sets are one set throughout, represented by the smallest doc_id; no copies are paired. An empty
 set (null text, no words) is linked with nothing, so is a row without a doc_id. Rows with one doc_id are one document
@@ -29,24 +30,35 @@ from pyspark.sql import functions as F
 from .common import only_columns, written
 
 COORDINATES, TREES, ROOT = 64, 20, 3
-SKETCH = 128
+SKETCH, WIDE = 128, 512
 LEAF = 32
 BRANCH = 0.25
-#: Sketch bits in which sets at the threshold may differ; 12.8 on average there, over 28 with probability 3e-5.
-DIFFER = 28
+#: Sketch bits in which sets at the threshold may differ: of 128, 12.8 on average there, over 28 with probability 3e-5;
+#: of 512, 51.2 on average, over 80 with probability 2e-5.
+DIFFER, DIFFER_WIDE = 28, 80
 #: Levels below the roots that are branched before classes are looked at, since most nodes get small by then.
-BLIND = 2
+BLIND = 1
 #: Sets to confirm, in rows of two longs, up to which the list is broadcast; a longer one is shuffled with the texts.
 BROADCAST_ROWS = 400_000
-_words: dict[bytes, int] = {}
-_odd = np.random.default_rng(11).integers(1 << 62, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_odd = np.random.default_rng(11).integers(1 << 62, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class _Words(dict):
+    """Hashes of words that a worker has met; KEPT bounds its memory only."""
+
+    KEPT = 1_000_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.KEPT:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = _Words()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_words) > 1_000_000:
-        _words.clear()
-    for w in set(words) - _words.keys():
-        _words[w] = xxhash.xxh3_64_intdigest(w)
     return np.array([*map(_words.__getitem__, words)], dtype=np.uint64)
 
 
@@ -70,17 +82,17 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 
 def minwise(sets: list[np.ndarray]) -> np.ndarray:
-    """SKETCH 32-bit minwise values of each (non-empty) set."""
+    """WIDE 32-bit minwise values of each (non-empty) set."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets)])[:-1]
-    out = np.empty((len(sets), SKETCH), np.uint32)
+    out = np.empty((len(sets), WIDE), np.uint32)
     for c, odd in enumerate(_odd):
         out[:, c] = np.minimum.reduceat(flat * odd >> np.uint64(32), starts)
     return out
 
 
 def signatures(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null for an empty set), minwise array<int>, roots array<long>, s0, s1."""
+    """doc_id, n_shingles, set_hash (null for an empty set), minwise array<int>, roots array<long>, wide array<long>, s0, s1."""
 
     def run(it):
         for b in it:
@@ -88,9 +100,9 @@ def signatures(documents: DataFrame, n: int) -> DataFrame:
                 part = b.slice(lo, 256)
                 sets = [shingles(t.as_py(), n) for t in part.column("text")]
                 full = [s for s in sets if len(s)]
-                mw = minwise(full) if full else np.empty((0, SKETCH), np.uint32)
+                mw = minwise(full) if full else np.empty((0, WIDE), np.uint32)
                 at = np.cumsum([len(s) > 0 for s in sets]) - 1
-                bits = np.packbits((mw & 1).astype(np.uint8), axis=1).view("<i8") if full else np.empty((0, 2), np.int64)
+                bits = np.packbits((mw & 1).astype(np.uint8), axis=1).view("<i8") if full else np.empty((0, WIDE // 64), np.int64)
                 tree = mw[:, : TREES * ROOT].reshape(-1, TREES, ROOT).astype(np.uint64)
                 root = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), tree.shape[:2]).copy()
                 for k in range(ROOT):
@@ -104,14 +116,15 @@ def signatures(documents: DataFrame, n: int) -> DataFrame:
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array(pick(mw[:, :COORDINATES].view(np.int32)), pa.list_(pa.int32())),
                         pa.array(pick(root), pa.list_(pa.int64())),
+                        pa.array(pick(bits), pa.list_(pa.int64())),
                         pa.array(pick(bits[:, 0]), pa.int64()),
                         pa.array(pick(bits[:, 1]), pa.int64()),
                     ],
-                    ["doc_id", "n_shingles", "set_hash", "minwise", "roots", "s0", "s1"],
+                    ["doc_id", "n_shingles", "set_hash", "minwise", "roots", "wide", "s0", "s1"],
                 )
 
     docs = only_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, minwise array<int>, roots array<long>, s0 long, s1 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, minwise array<int>, roots array<long>, wide array<long>, s0 long, s1 long")
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -190,6 +203,52 @@ def _sizes(members: DataFrame) -> DataFrame:
     return written(members.groupBy("node").agg(F.count("*").alias("n"), pivot).filter("n > 1"), "node-sizes")
 
 
+def _few_against_all(by: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidate pairs of the sets that are not of their node's largest class with all sets of other classes."""
+    met = by.join(nodes, "node")
+    few = met.filter(F.col("root") != F.col("most")).select("node", F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+    pairs = met.select("node", "id", "root", "s0", "s1").join(few, "node").filter((F.col("root") != F.col("root2")) & _near())
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+
+
+class _Links:
+    """Candidate pairs met so far, those confirmed on full sets, and the classes that they make."""
+
+    def __init__(self, documents: DataFrame, sets: DataFrame, n: int, per_cent: int):
+        self.documents, self.sets, self.n, self.per_cent = documents, sets, n, per_cent
+        self.found: DataFrame | None = None
+        self.tried: DataFrame | None = None
+        self.edges: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def add(self, pairs: DataFrame) -> None:
+        pairs = self._may_reach(written(pairs.distinct(), "near-pairs"))
+        pairs = written(pairs, "pairs")
+        self.found = pairs if self.found is None else self.found.union(pairs)
+
+    def _may_reach(self, pairs: DataFrame) -> DataFrame:
+        wide = lambda to: self.sets.select(F.col("id").alias(to), F.col("wide").alias(f"wide_{to}"))
+        met = pairs.join(wide("a"), "a").join(wide("b"), "b")
+        differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        return met.filter(differ <= DIFFER_WIDE).select("a", "b")
+
+    def confirm(self) -> None:
+        """Of the pairs not tried yet, those between different classes: first one for each set, then the rest."""
+        for first in (True, False):
+            open_ = _labelled(_labelled(self.found.distinct(), self.labels, "a", "ra"), self.labels, "b", "rb").filter("ra <> rb")
+            if self.tried is not None:
+                open_ = open_.join(self.tried, ["a", "b"], "left_anti")
+            if first:
+                open_ = open_.groupBy("b").agg(F.min("a").alias("a"))
+            now = written(open_.select("a", "b"), "to-confirm")
+            if not now.limit(1).count():
+                return
+            good = written(confirmed(now, self.documents, self.n, self.per_cent), "links")
+            self.tried = now if self.tried is None else self.tried.union(now)
+            self.edges = good if self.edges is None else self.edges.union(good)
+            self.labels = classes(self.edges)
+
+
 def _branch(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """The children of the nodes' members: by one coordinate, and by a second one in a share of the nodes."""
     at = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES)).cast("int")
@@ -212,45 +271,36 @@ def link(documents: DataFrame, *, n: int = 5, per_cent: int = 80) -> DataFrame:
     sets = written(
         own.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("set_hash")
-        .agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("minwise", "roots", "s0", "s1")]),
+        .agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("minwise", "roots", "wide", "s0", "s1")]),
         "sets",
     )
+    links = _Links(documents, sets, n, per_cent)
     members = sets.select(F.explode("roots").alias("node"), "id", "s0", "s1")
-    labels: DataFrame | None = None
-    edges: DataFrame | None = None
-    tried: DataFrame | None = None
-    found: DataFrame | None = None
     level = 0
     while True:
         sizes = _sizes(members)
-        pairs = written(_compare(members, sizes).distinct(), "pairs")
-        found = pairs if found is None else found.union(pairs)
-        large = sizes.filter(F.col("n") > LEAF)
-        if level >= BLIND or not large.limit(1).count():
-            # of the pairs not tried yet, those between different classes: first one for each set, then the rest
-            for first in (True, False):
-                open_ = _labelled(_labelled(found.distinct(), labels, "a", "ra"), labels, "b", "rb").filter("ra <> rb")
-                if tried is not None:
-                    open_ = open_.join(tried, ["a", "b"], "left_anti")
-                if first:
-                    open_ = open_.groupBy("b").agg(F.min("a").alias("a"))
-                now = written(open_.select("a", "b"), "to-confirm")
-                if not now.limit(1).count():
-                    break
-                good = written(confirmed(now, documents, n, per_cent), "links")
-                tried = now if tried is None else tried.union(now)
-                edges = good if edges is None else edges.union(good)
-                labels = classes(edges)
-            if large.limit(1).count():  # a node whose sets are all of one class is done
-                by = _labelled(members.join(large.select("node"), "node"), labels, "id", "root")
-                mixed = by.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-                large = written(mixed.select("node"), "mixed-nodes")
-        if not large.limit(1).count():
+        links.add(_compare(members, sizes))
+        large = sizes.filter(F.col("n") > LEAF).select("node")
+        some = large.limit(1).count() > 0
+        if level >= BLIND or not some:
+            links.confirm()
+            if some:
+                by = written(_labelled(members.join(large, "node"), links.labels, "id", "root"), "large-nodes")
+                of = by.groupBy("node", "root").agg(F.count("*").alias("n")).groupBy("node").agg((F.sum("n") - F.max("n")).alias("others"), F.max_by("root", F.struct("n", "root")).alias("most"))
+                few = LEAF << (level - BLIND)
+                of = written(of.filter("others > 0"), "mixed-nodes")
+                links.add(_few_against_all(by, of.filter(F.col("others") <= few)))
+                links.confirm()
+                large = of.filter(F.col("others") > few).select("node")
+                some = large.limit(1).count() > 0
+        if not some:
             break
         members = _branch(members, large, sets)
         level += 1
-    named = _labelled(sets.select("set_hash", "id"), labels, "id", "root")
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    labels = links.labels
+    named = written(_labelled(sets.select("set_hash", "id"), labels, "id", "root"), "named")
+    # stored first, so that Spark can split a class of many sets in the join
+    least = written(named.groupBy("root").agg(F.min("id").alias("component_id")), "class-names")
     of_set = written(named.join(least, "root").select("set_hash", "component_id"), "components")
     out = own.select("doc_id", "n_shingles", "set_hash").join(of_set, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
