@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,57 @@ def test_repeated_passages_odd(spark):
     assert suffix_dedup.repeats(docs(spark, [])).count() == 0
 
 
+def check_repeats(spark, texts, parts=4):
+    rows = docs(spark, list(texts.items())).repartition(parts)
+    got = {r["doc_id"]: {i for s in r["spans"] for i in range(s["start"], s["end"])} for r in suffix_dedup.repeats(rows).collect()}
+    assert got == brute_repeats(texts)
+    return got
+
+
+def some_words(rng, n):
+    return [f"r{k}" for k in rng.integers(0, 1 << 40, n)]
+
+
+def test_passages_that_repeat_inside_a_document(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ROWS_PER_TASK", 16)
+    rng = np.random.default_rng(5)
+    texts = {}
+    for k in range(0, 120, 2):  # twice in one document, once in another one
+        p = some_words(rng, 60)
+        texts[k] = " ".join(p + some_words(rng, 30) + p + some_words(rng, 5))
+        texts[k + 1] = " ".join(some_words(rng, 9) + p + some_words(rng, 9))
+    line = some_words(rng, 12)
+    for k in (200, 201):
+        texts[k] = " ".join(some_words(rng, 20) + line * 40 + some_words(rng, 20))
+    got = check_repeats(spark, texts)
+    assert len(got[200]) == len(got[201]) == 480 and len(got[0]) == 120
+
+
+def test_groups_of_equal_blocks_in_any_shares(monkeypatch):
+    rng = np.random.default_rng(6)
+    key = np.sort(rng.integers(0, 6, 300))
+    doc, n = rng.integers(0, 40, 300), rng.integers(1, 5, 300)
+    own = [key[i] * 100 + rng.integers(0, 20, n[i]) for i in range(300)]
+    rows = [{"doc_id": int(doc[i]), "start": 1000 * i, "n_words": 9, "key": int(key[i]), "windows": own[i].tobytes()} for i in range(300)]
+    where = {}
+    for i in range(300):
+        for w in own[i].tolist():
+            where.setdefault(w, set()).add(doc[i])
+    expected = {1000 * i + j for i in range(300) for j, w in enumerate(own[i].tolist()) if len(where[w]) > 1}
+    for limit, cut in ((1 << 20, [300]), (40, [100, 101, 220, 300]), (1, [7, 150, 300]), (200, [60, 300])):
+        monkeypatch.setattr(suffix_dedup, "GROUP_WINDOWS", limit)
+        found = []
+        for a, z in zip([0, *cut], cut, strict=False):
+            batches = [pa.RecordBatch.from_pylist(rows[i : min(i + 10, z)]) for i in range(a, z, 10)]
+            found += [r for b in suffix_dedup._groups(iter(batches), 50) for r in b.to_pylist()]
+        by = {}
+        for r in found:
+            if r["window"] is not None:
+                by.setdefault(r["window"], []).append(r)
+        spans = [r for r in found if r["window"] is None] + [r for v in by.values() if len({r["doc_id"] for r in v}) > 1 for r in v if r["start"] is not None]
+        assert {s for r in spans for s in range(r["start"], r["end"] - 49)} == expected
+
+
 # 4 and 6
 
 
