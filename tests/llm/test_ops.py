@@ -200,6 +200,23 @@ def test_passages_that_repeat_inside_a_document(spark, monkeypatch):
     assert len(got[200]) == len(got[201]) == 480 and len(got[0]) == 120
 
 
+def test_passages_with_longer_matches_between_them(spark):
+    rng = np.random.default_rng(7)
+    texts = {}
+    for k in range(0, 400, 8):  # 52 words in two documents; the last 40 and what follows them in six others
+        p, after = some_words(rng, 52), some_words(rng, 25)
+        for i in range(8):
+            own = p if i < 2 else p[12:]
+            texts[k + i] = " ".join(some_words(rng, 15) + own + after[: 0 if i < 2 else 3 * i] + some_words(rng, 15))
+    base = some_words(rng, 300)
+    for k in range(200):
+        w = list(base)
+        for i in rng.choice(300, 5, replace=False):
+            w[i] = f"e{k}_{i}"
+        texts[1000 + k] = " ".join(w)
+    check_repeats(spark, texts)
+
+
 def test_groups_of_equal_blocks_in_any_shares(monkeypatch):
     rng = np.random.default_rng(6)
     key = np.sort(rng.integers(0, 6, 300))
