@@ -217,6 +217,21 @@ def test_passages_with_longer_matches_between_them(spark):
     check_repeats(spark, texts)
 
 
+def test_passages_are_told_apart_by_whole_words(spark):
+    rng, texts, met = np.random.default_rng(8), {}, {}
+    names = [f"c{i}" for i in range(3000)]
+    short = near_dup._mix(near_dup.word_hashes([w.encode() for w in names])) >> np.uint64(48)
+    for w, h in zip(names, short.tolist(), strict=True):
+        met.setdefault(h, []).append(w)
+    pairs = [v[:2] for v in met.values() if len(v) > 1][:20]  # different words with 16 equal bits
+    assert len(pairs) == 20
+    for i, pair in enumerate(pairs):
+        p = some_words(rng, 49)
+        for k, w in enumerate(pair):
+            texts[2 * i + k] = " ".join([*p, w, *some_words(rng, 20)])
+    assert check_repeats(spark, texts) == {}
+
+
 def test_groups_of_equal_blocks_in_any_shares(monkeypatch):
     rng = np.random.default_rng(6)
     key = np.sort(rng.integers(0, 6, 300))
