@@ -120,4 +120,4 @@ def contamination_digest(documents: DataFrame, benchmark: DataFrame) -> DataFram
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents, all columns, without those that hold a window of an item."""
     bad = contamination(documents, benchmark).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_hash"))
-    return documents.join(bad.distinct(), (documents["doc_id"] == F.col("_bad")) & (F.xxhash64(documents["text"]) == F.col("_bad_hash")), "left_anti")
+    return documents.join(bad.distinct(), documents["doc_id"].eqNullSafe(F.col("_bad")) & (F.xxhash64(documents["text"]) == F.col("_bad_hash")), "left_anti")

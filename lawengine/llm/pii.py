@@ -197,7 +197,7 @@ def redacted(documents: DataFrame, *, accept: float = 0.8) -> DataFrame:
     """documents with each span of text replaced by its kind in angle brackets; a null text stays null."""
     spans = find(documents, accept=accept).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
     own = spans.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    met = documents.join(own, (documents["doc_id"] == F.col("_doc")) & (F.xxhash64(documents["text"]) == F.col("_hash")), "left")
+    met = documents.join(own, documents["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(documents["text"]) == F.col("_hash")), "left")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     text = documents["text"]
     walk = F.aggregate(

@@ -496,6 +496,15 @@ def test_personal_data_odd(spark):
     assert pii.redacted(docs(spark, rows)).columns == docs(spark, rows).columns
 
 
+def test_rows_without_ids_are_cleaned(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = docs(spark, [(None, "x " + passage), (None, "clean, no id"), (None, "mail a@b.com now"), (60, "mail c@d.com"), (61, passage), (None, None)])
+    left = decontaminate.decontaminated(rows, bench)
+    assert sorted(r["text"] or "" for r in left.collect()) == ["", "clean, no id", "mail a@b.com now", "mail c@d.com"]
+    assert sorted(r["text"] or "" for r in pii.redacted(left).collect()) == ["", "clean, no id", "mail <email>", "mail <email> now"]
+
+
 def test_reliabilities():
     p = pii.fit({"4+++0": 40, "4---0": 60, "4+0+0": 10, "400-0": 10})
     assert p["4+++0"] > 0.8 and p["4---0"] < 0.2
