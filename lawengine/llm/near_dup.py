@@ -16,7 +16,8 @@ are connected components, found by contraction: each set hooks to its least neig
 
 Documents with equal sets are one set throughout, represented by the smallest doc_id; no copies are paired. An empty
 set (null text, no words) is linked with nothing, so is a row without a doc_id. Rows with one doc_id are one document
-if their sets are equal, else each row has its own class. An empty table gives no rows.
+if their sets are equal, else each row has its own class, unless it is linked to one. An empty table gives no rows.
+`deduplicated` decides by doc_id and text: of a class one row of its smallest doc_id stays, so repeated rows go.
 """
 
 from __future__ import annotations
@@ -112,6 +113,7 @@ def signatures(documents: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("text_hash"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array(pick(mw[:, :COORDINATES].view(np.int32)), pa.list_(pa.int32())),
@@ -120,11 +122,11 @@ def signatures(documents: DataFrame, n: int) -> DataFrame:
                         pa.array(pick(bits[:, 0]), pa.int64()),
                         pa.array(pick(bits[:, 1]), pa.int64()),
                     ],
-                    ["doc_id", "n_shingles", "set_hash", "minwise", "roots", "wide", "s0", "s1"],
+                    ["doc_id", "text_hash", "n_shingles", "set_hash", "minwise", "roots", "wide", "s0", "s1"],
                 )
 
-    docs = only_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, minwise array<int>, roots array<long>, wide array<long>, s0 long, s1 long")
+    docs = only_columns(documents, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64("text")})
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, minwise array<int>, roots array<long>, wide array<long>, s0 long, s1 long")
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -152,23 +154,29 @@ def classes(edges: DataFrame) -> DataFrame:
     return written(out, "classes")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, n: int, per_cent: int) -> DataFrame:
-    """Those of the pairs (a, b: doc_ids) whose full sets are as similar as asked."""
-    needs = written(pairs.select(F.col("a").alias("doc_id"), "a", "b").union(pairs.select(F.col("b").alias("doc_id"), "a", "b")), "needs")
+def confirmed(pairs: DataFrame, documents: DataFrame, n: int, per_cent: int, rows: DataFrame | None = None) -> DataFrame:
+    """Those of the pairs (a, b: ids of sets) whose full sets are as similar as asked.
+
+    An id is the doc_id of a row with the set, or rows (id, doc_id, text_hash) tells one row for each id.
+    """
+    needs = pairs.select(F.col("a").alias("id"), "a", "b").union(pairs.select(F.col("b").alias("id"), "a", "b"))
+    needs = written(needs.withColumn("doc_id", F.col("id")) if rows is None else needs.join(rows, "id"), "needs")
+    by = ["doc_id"] if rows is None else ["doc_id", "text_hash"]
     list_ = F.broadcast(needs) if needs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else needs
 
     def sets(it):
         for batch in it:
             kept: dict[int, bytes] = {}
             out = []
-            for d, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+            for d, t in zip(batch.column("id"), batch.column("text"), strict=True):
                 if d.as_py() not in kept:
                     kept = {d.as_py(): shingles(t.as_py(), n).tobytes()}  # rows of a document come one after another
                 out.append(kept[d.as_py()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("a"), batch.column("b"), pa.array(out, pa.binary())], ["doc_id", "a", "b", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("a"), batch.column("b"), pa.array(out, pa.binary())], ["id", "a", "b", "items"])
 
     docs = only_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    each = docs.join(list_, "doc_id").select("doc_id", "a", "b", "text").mapInArrow(sets, "doc_id long, a long, b long, items binary")
+    docs = docs if rows is None else docs.withColumn("text_hash", F.xxhash64("text"))
+    each = docs.join(list_, by).select("id", "a", "b", "text").mapInArrow(sets, "id long, a long, b long, items binary")
 
     def compare(it):
         for batch in it:
@@ -179,7 +187,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, n: int, per_cent: int) ->
                 good.append(both > 0 and 100 * both >= per_cent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda c: F.max(F.when(F.col("doc_id") == F.col(c), F.col("items")))
+    side = lambda c: F.max(F.when(F.col("id") == F.col(c), F.col("items")))
     met = each.groupBy("a", "b").agg(side("a").alias("x"), side("b").alias("y"))
     return met.mapInArrow(compare, "a long, b long")
 
@@ -214,8 +222,8 @@ def _few_against_all(by: DataFrame, nodes: DataFrame) -> DataFrame:
 class _Links:
     """Candidate pairs met so far, those confirmed on full sets, and the classes that they make."""
 
-    def __init__(self, documents: DataFrame, sets: DataFrame, n: int, per_cent: int):
-        self.documents, self.sets, self.n, self.per_cent = documents, sets, n, per_cent
+    def __init__(self, documents: DataFrame, sets: DataFrame, n: int, per_cent: int, rows: DataFrame | None = None):
+        self.documents, self.sets, self.n, self.per_cent, self.rows = documents, sets, n, per_cent, rows
         self.found: DataFrame | None = None
         self.tried: DataFrame | None = None
         self.edges: DataFrame | None = None
@@ -243,7 +251,7 @@ class _Links:
             now = written(open_.select("a", "b"), "to-confirm")
             if not now.limit(1).count():
                 return
-            good = written(confirmed(now, self.documents, self.n, self.per_cent), "links")
+            good = written(confirmed(now, self.documents, self.n, self.per_cent, self.rows), "links")
             self.tried = now if self.tried is None else self.tried.union(now)
             self.edges = good if self.edges is None else self.edges.union(good)
             self.labels = classes(self.edges)
@@ -265,16 +273,20 @@ def _labelled(df: DataFrame, labels: DataFrame | None, of: str, to: str) -> Data
     return df.join(labels.select(F.col("id").alias(of), F.col("root").alias(to)), of, "left").withColumn(to, F.coalesce(to, of))
 
 
-def link(documents: DataFrame, *, n: int = 5, per_cent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links lead to) and kept, one row for each document."""
+def _linked(documents: DataFrame, n: int, per_cent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, root (null in a row that is linked with nothing) and kept."""
     own = written(signatures(documents, n), "signatures")
     sets = written(
         own.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("set_hash")
-        .agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("minwise", "roots", "wide", "s0", "s1")]),
+        .agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "text_hash"))["text_hash"].alias("text_hash"), *[F.first(c).alias(c) for c in ("minwise", "roots", "wide", "s0", "s1")]),
         "sets",
     )
-    links = _Links(documents, sets, n, per_cent)
+    sets, rows = sets.withColumn("doc_id", F.col("id")), None
+    if sets.groupBy("id").count().filter("count > 1").limit(1).count():  # texts of one doc_id: ids of their own
+        sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+        rows = sets.select("id", "doc_id", "text_hash")
+    links = _Links(documents, sets, n, per_cent, rows)
     members = sets.select(F.explode("roots").alias("node"), "id", "s0", "s1")
     level = 0
     while True:
@@ -298,16 +310,31 @@ def link(documents: DataFrame, *, n: int = 5, per_cent: int = 80) -> DataFrame:
         members = _branch(members, large, sets)
         level += 1
     labels = links.labels
-    named = written(_labelled(sets.select("set_hash", "id"), labels, "id", "root"), "named")
+    named = written(_labelled(sets.select("set_hash", "id", "doc_id"), labels, "id", "root"), "named")
     # stored first, so that Spark can split a class of many sets in the join
-    least = written(named.groupBy("root").agg(F.min("id").alias("component_id")), "class-names")
-    of_set = written(named.join(least, "root").select("set_hash", "component_id"), "components")
-    out = own.select("doc_id", "n_shingles", "set_hash").join(of_set, "set_hash", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    least = written(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "class-names")
+    of_set = written(named.join(least, "root").select("set_hash", "component_id", "root"), "components")
+    out = own.select("doc_id", "text_hash", "n_shingles", "set_hash").join(of_set, "set_hash", "left")
+    there = F.col("doc_id").isNotNull()
+    component = F.when(there, F.coalesce("component_id", "doc_id"))
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.when(there, F.col("root")).alias("root"), kept.alias("kept"))
+
+
+def link(documents: DataFrame, *, n: int = 5, per_cent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links lead to) and kept, one row for each document."""
+    return _linked(documents, n, per_cent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicated(documents: DataFrame, *, n: int = 5, per_cent: int = 80) -> DataFrame:
-    """The rows of documents, all columns, less those that are linked to a document of smaller doc_id."""
-    gone = link(documents, n=n, per_cent=per_cent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == F.col("_gone"), "left_anti")
+    """The rows of documents, all columns, less those that are linked to a document of smaller doc_id or repeat one."""
+    out = written(_linked(documents, n, per_cent).select("doc_id", "text_hash", "root", "kept"), "decided")
+    first = out.filter("kept and root is not null").groupBy("root").agg(F.count("*").alias("rows"), F.min("text_hash").alias("own"))
+    more = written(out.filter("kept").join(first.filter("rows > 1"), "root").select("doc_id", "text_hash", "own"), "repeated-ids")
+    gone = out.filter("not kept").select("doc_id", "text_hash").union(more.filter("text_hash <> own").select("doc_id", "text_hash"))
+    by = lambda df, there: documents.join(df.distinct().toDF("_doc", "_hash"), (documents["doc_id"] == F.col("_doc")) & (F.xxhash64(documents["text"]) == F.col("_hash")), there)
+    if not more.limit(1).count():
+        return by(gone, "left_anti")
+    same = more.filter("text_hash = own").select("doc_id", "text_hash")
+    one = by(same, "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return by(gone.union(same), "left_anti").union(one)

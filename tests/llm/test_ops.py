@@ -147,6 +147,18 @@ def test_near_duplicates_odd(spark):
     assert left.columns == docs(spark, ODD).columns and {r["doc_id"] for r in left.collect()} == {5, 1, 2, None, 7, 8, 9}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    a, b, c, d, x, y = (some_words(rng, 80) for _ in range(6))
+    near = lambda w: " ".join([*w[:40], "other", *w[41:]])
+    full = " ".join
+    rows = [(1, full(a)), (5, full(a)), (5, full(b)), (9, full(b)), (7, full(c)), (7, full(c)), (8, full(d)), (8, near(d)), (20, full(x)), (20, full(y)), (21, near(x)), (22, near(y)), (None, full(a)), (30, None), (30, "")]
+    left = Counter((r["doc_id"], r["text"]) for r in near_dup.deduplicated(docs(spark, rows), n=2).collect())
+    of_8 = [k for k in left if k[0] == 8]
+    assert len(of_8) == 1 and left.pop(of_8[0]) == 1
+    assert left == Counter([(1, full(a)), (5, full(b)), (7, full(c)), (20, full(x)), (20, full(y)), (None, full(a)), (30, None), (30, "")])
+
+
 def brute_repeats(texts, least=50):
     words = {k: (t or "").encode().lower().split() for k, t in texts.items()}
     where = {}
