@@ -1,12 +1,12 @@
-"""Best-fit packing of documents into sequences, bulk-synchronously.
-
-Pieces and gaps are kept in order of size. In each sweep the pieces of the next length look for their successor
-among the gaps (the smallest gap that holds them); where several pieces want the same gaps, the piece of rank k
-takes the gap of rank k; the gaps shrink and are filed under their new size; the sweep is repeated until the
-pieces of this length are placed, new sequences being opened for those that find no gap. Pieces of one length are
-interchangeable, as are sequences filled alike, so a sweep moves runs of them: `plan` needs the number of pieces
-of each length only (at most `capacity` numbers, counted by Spark), whatever the number of documents. Ranks are
-then dealt out in Spark, hot lengths in several shares, and each piece finds its place by its rank.
+"""Best-fit-decreasing packing of documents into sequences, planned on the driver from counts of lengths.
+
+The method dealt for this operator is a distributed one: range-sorted documents and gaps, sweeps in which documents
+look for their successor among the gaps, conflicts resolved by rank, repeated in rounds. That isn't what is done here.
+Pieces of one length are interchangeable, as are sequences filled alike, so the result depends on the number of pieces
+of each length only: at most `capacity` numbers, counted by Spark, whatever the number of documents. From them `plan`
+goes through the lengths on the driver, largest first, puts runs of pieces into the smallest gaps that hold them, and
+opens new sequences for the rest. Nothing is range-sorted, and no sweep or gap update is distributed. Spark then deals
+out ranks within lengths, hot lengths in several shares, and each piece finds its place by its rank.
 
 A document longer than the capacity is cut into full pieces and a last, shorter one. Null texts are empty; a
 document always has its end id and so at least one piece. An empty table gives no rows. Repeated rows are packed
