@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.deploy import importable
 
 _OWN: dict[str, str] = {}
+#: Paths made and not removed yet.
+_STORED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which is removed by `remove`, or else when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/lawengine-{name}-{uuid.uuid4().hex}"
+    _STORED.add(path)
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    if path not in _STORED:
+        return
+    _STORED.discard(path)
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -39,14 +53,45 @@ def _remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back.
 
-    A task that is lost is run again by Spark; readers only see committed files. The table is removed
-    when the driver's Python ends.
+    A task that is lost is run again by Spark; readers only see committed files. The table is removed by
+    `discard`, or else when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lawengine-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.options(**options).parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lawengine_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of `written` that no later step reads; other frames are left alone."""
+    for t in tables:
+        if path := getattr(t, "_lawengine_path", None):
+            remove(t.sparkSession, path)
+
+
+def trim() -> None:
+    """Give memory that this worker has freed back: an executor's limit is for its Python workers, too."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def portions(batch, column: str, most: int = 4 << 20):
+    """Slices of a batch whose texts have about `most` bytes, one row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int((sizes[at : at + 256].cumsum() <= most).sum()))
+        yield batch.slice(at, n)
+        at += n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,18 +106,33 @@ def ascii_lower(c):
     )
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column: of the exact name first, else of the only one that differs in case."""
+    at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(at) != 1:
+        raise ValueError(f"{len(at)} columns are called {name}, among {df.columns}")
+    return at[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns called #0, #1 ... by place, so that no name can clash with a helper column."""
+    return df.toDF(*[f"#{i}" for i in range(len(df.columns))])
+
+
 def only_columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, whatever else the table has; names are matched exactly first."""
-    return df.select(*[F.col(f"`{n}`").alias(n) for n in names])
+    at = [place_of(df, n) for n in names]
+    return numbered(df).select(*[F.col(f"`#{i}`").alias(n) for i, n in zip(at, names, strict=True)])
 
 
-def batches_of(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with fn(RecordBatch) -> RecordBatch or None."""
+def without(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of documents, all columns, whose (doc_id, text_hash) isn't among keys; nulls are equal to nulls."""
+    rows, keys = keyed(documents), keys.select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash")).distinct()
+    left = rows.join(keys, rows["row_id"].eqNullSafe(F.col("key_id")) & (F.col("row_hash") == F.col("key_hash")), "left_anti")
+    return left.drop("row_id", "row_hash").toDF(*documents.columns)
 
-    def run(it):
-        for b in it:
-            out = fn(b)
-            if out is not None:
-                yield out
 
-    return df.mapInArrow(run, schema)
+def keyed(documents: DataFrame) -> DataFrame:
+    """`numbered` documents with row_id (doc_id as long) and row_hash (of the text), which tell different rows apart."""
+    doc, text = (F.col(f"`#{place_of(documents, n)}`") for n in ("doc_id", "text"))
+    return numbered(documents).withColumns({"row_id": doc.cast("long"), "row_hash": F.xxhash64(text)})
