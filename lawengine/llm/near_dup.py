@@ -1,23 +1,36 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 A document is the set of its shingles (neighbouring words; A-Z lower-cased, words end at ASCII white space). Minwise
-values of the set, one for each of `COORDINATES` hash functions, lead it down independent random trees: in each tree a
-node sends a document on to the child named by the document's minwise value at a coordinate that the node chooses
-(and, with probability BRANCH, at a second one), so that two sets of similarity s part with probability 1 - s
-a step. A node of at most `LEAF` sets is compared exhaustively; a larger one compares all its sets with one pivot
-and branches again. A large node whose sets are of one class is done; one where few sets are not of the largest class
-compares these few with all the others, and is done, too (how few they must be doubles with each level). The number
-of trees sets the recall: 1 - (1 - 0.8^3)^TREES at the threshold, about 1 - 6e-7, for nodes that end at the root.
-
-Pairs are first held against each other by 128 sketch bits (one bit of a minwise value each), then by 512, and those
-that may reach the threshold are confirmed on the full sets, taken anew from the whole texts. First each set is
-confirmed with the smallest of its partners, then only pairs between different classes are left to confirm. Classes
-are connected components, found by contraction: each set hooks to its least neighbour in a random order.
-
-Documents with equal sets are one set throughout, represented by the smallest doc_id; no copies are paired. An empty
-set (null text, no words) is linked with nothing, so is a row without a doc_id. Rows with one doc_id are one document
-if their sets are equal, else each row has its own class, unless it is linked to one. An empty table gives no rows.
-`deduplicated` decides by doc_id and text: of a class one row of its smallest doc_id stays, so repeated rows go.
+tokens of the set lead it down `TREES` independent random trees. The first step of a tree takes ROOT minwise tokens at
+once; below, each step takes one bit of a minwise token, at coordinates that the node chooses (by the hash of its
+root), so two sets of similarity s part with probability 1 - s^ROOT at the root and (1 - s) / 2 a step after it. As a
+set's path doesn't depend on other sets, all levels are walked at once: rows are sorted by root and path, where
+each node is a run, and each set is compared with the REACH sets after it under its root. That compares every node of
+up to REACH + 1 sets exhaustively, whatever its level, and larger ones along their order. Sets are compared by
+`WIDE` sketch bits, one of a minwise token each, and those that may reach the threshold are joined; of the pairs that
+do, as many are kept as join the same sets (a forest for each root).
+
+The sets that are joined, however indirectly, are a group. Links are decided inside groups, on the full sets, taken anew
+from the whole texts. A group of at most `LEAF` sets is compared exhaustively. In a larger one, sets are written as their
+differences from a centre, the shingles that most of a sample of its sets hold. With p shingles in the centre, and
+r of them missing and a others added in a set, its cost is 100 r + q a (q: the per cent asked). Two sets are linked if
+and only if their differences have at least (cost + cost' - (100 - q) p) / (100 + q) shingles in common. So all sets
+that are cheap enough are linked with the cheapest one; those that aren't, must share a difference with whatever they are
+linked with, one of the rarest ones that make up its prefix (as in prefix filters). Only pairs that do are compared.
+Any centre gives the same result; a good one makes few pairs of a large group of near copies.
+
+What can be missed is a pair that no tree brings together. For nodes that end at the root this has probability
+(1 - 0.8^3)^24, about 3e-8, at the threshold; where a part of the texts is common to very many documents, roots that lie
+inside that part are large and count little, which leaves 0.001 at worst (a common part of four fifths), if not both
+sets lie among other near sets, which join them, too. Sketches drop a pair at the threshold with probability 3e-5.
+
+Classes are connected components, found by contraction: each set hooks to its least neighbour in a random order.
+
+Documents with equal sets are one set throughout; no copies are paired. An empty set (null text, no words) is linked
+with nothing, so is a row without a doc_id. Rows with one doc_id are told apart by their sets: each has the class of
+its own set. An empty table gives no rows. Of a class, `deduplicated` keeps one row: the one of its smallest doc_id (of
+the smallest text hash, if there are several texts; any one of equal rows). Rows that are linked with nothing for want of
+a set or a doc_id stay.
 """
 
 from __future__ import annotations
@@ -28,26 +41,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_columns, written
+from .common import discard, keyed, only_columns, portions, trim, without, written
 
-COORDINATES, TREES, ROOT = 64, 20, 3
-SKETCH, WIDE = 128, 512
-LEAF = 32
-BRANCH = 0.25
-#: Sketch bits in which sets at the threshold may differ: of 128, 12.8 on average there, over 28 with probability 3e-5;
-#: of 512, 51.2 on average, over 80 with probability 2e-5.
+TREES, ROOT = 24, 3
+WIDE = 512
+#: Sets of a group that are compared exhaustively; sets that each one is compared with along the order of a tree.
+LEAF = REACH = 32
+#: Sketch bits in which sets at the threshold may differ: of the first 128, 12.8 on average, over 28 with probability
+#: 3e-5; of all 512, 51.2 on average, over 80 with probability 2e-5.
 DIFFER, DIFFER_WIDE = 28, 80
-#: Levels below the roots that are branched before classes are looked at, since most nodes get small by then.
-BLIND = 1
-#: Sets to confirm, in rows of two longs, up to which the list is broadcast; a longer one is shuffled with the texts.
+ROWS_PER_TASK = 200_000
+#: Sets that a centre is made of, on average, and sets that one task holds against it.
+SAMPLE, SHARE = 64, 250
+#: Slots in which differences are counted, to tell the rarer ones; more collisions cost time, not results.
+SLOTS = 1 << 20
+#: Sets whose texts are to be read, up to which the list (four longs a row) is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 400_000
+BATCH_BYTES = 16 << 20
 _odd = np.random.default_rng(11).integers(1 << 62, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
     """Hashes of words that a worker has met; KEPT bounds its memory only."""
 
-    KEPT = 1_000_000
+    KEPT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.KEPT:
@@ -78,7 +96,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     m = min(n, len(h))
     out = np.full(len(h) - m + 1, m, dtype=np.uint64)
     for k in range(m):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - m + 1 + k])
+        out = _mix(out * _BASE + h[k : len(h) - m + 1 + k])
     return np.unique(out)
 
 
@@ -92,41 +110,123 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """A binary column of equally long rows."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
+def _array(column, dtype, width: int) -> np.ndarray:
+    """The rows of such a column."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
+
+
 def signatures(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null for an empty set), minwise array<int>, roots array<long>, wide array<long>, s0, s1."""
+    """doc_id, text_hash, n_shingles, set_hash and (null for an empty set) tokens: TREES x ROOT minwise ones; and bits."""
 
     def run(it):
         for b in it:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in portions(b, "text"):
                 sets = [shingles(t.as_py(), n) for t in part.column("text")]
                 full = [s for s in sets if len(s)]
                 mw = minwise(full) if full else np.empty((0, WIDE), np.uint32)
                 at = np.cumsum([len(s) > 0 for s in sets]) - 1
-                bits = np.packbits((mw & 1).astype(np.uint8), axis=1).view("<i8") if full else np.empty((0, WIDE // 64), np.int64)
-                tree = mw[:, : TREES * ROOT].reshape(-1, TREES, ROOT).astype(np.uint64)
-                root = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), tree.shape[:2]).copy()
-                for k in range(ROOT):
-                    root = _mix(root * np.uint64(0x9E3779B97F4A7C15) + tree[:, :, k])
-                root = root.view(np.int64)
-                pick = lambda x: [x[i].tolist() if len(s) else None for i, s in zip(at, sets, strict=True)]
+                there = pa.array([i if len(s) else None for i, s in zip(at, sets, strict=True)], pa.int64())
+                tokens, bits = _fixed(mw[:, : TREES * ROOT]), _fixed(np.packbits((mw & 1).astype(np.uint8), axis=1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         part.column("text_hash"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        pa.array(pick(mw[:, :COORDINATES].view(np.int32)), pa.list_(pa.int32())),
-                        pa.array(pick(root), pa.list_(pa.int64())),
-                        pa.array(pick(bits), pa.list_(pa.int64())),
-                        pa.array(pick(bits[:, 0]), pa.int64()),
-                        pa.array(pick(bits[:, 1]), pa.int64()),
+                        tokens.take(there),
+                        bits.take(there),
                     ],
-                    ["doc_id", "text_hash", "n_shingles", "set_hash", "minwise", "roots", "wide", "s0", "s1"],
+                    ["doc_id", "text_hash", "n_shingles", "set_hash", "tokens", "bits"],
                 )
+            trim()
 
     docs = only_columns(documents, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64("text")})
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, minwise array<int>, roots array<long>, wide array<long>, s0 long, s1 long")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, tokens binary, bits binary")
+
+
+def _paths(sets: DataFrame) -> DataFrame:
+    """node, path, id, bits: one row for each set and tree. The path is 64 of the bits, chosen by the root."""
+    step = 2 * np.random.default_rng(12).integers(0, WIDE // 2, TREES) + 1
+
+    def run(it):
+        for b in it:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                bits = _array(part.column("bits"), np.uint8, WIDE // 8)
+                tokens = _array(part.column("tokens"), np.uint32, TREES * ROOT).reshape(-1, TREES, ROOT).astype(np.uint64)
+                root = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), tokens.shape[:2]).copy()
+                for k in range(ROOT):
+                    root = _mix(root * _BASE + tokens[:, :, k])
+                each = np.unpackbits(bits, axis=1)
+                path = np.zeros(root.shape, np.uint64)
+                for t in range(TREES):
+                    first = (root[:, t] & np.uint64(WIDE - 1)).astype(np.int64)
+                    at = (first[:, None] + step[t] * np.arange(64)) % WIDE
+                    path[:, t] = np.packbits(np.take_along_axis(each, at, 1), axis=1).view(">u8")[:, 0]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(root.view(np.int64).ravel()),
+                        pa.array((path ^ np.uint64(1 << 63)).view(np.int64).ravel()),  # signed order is that of the bits
+                        pa.array(np.repeat(part.column("id").to_numpy(), TREES)),
+                        _fixed(np.repeat(bits, TREES, axis=0)),
+                    ],
+                    ["node", "path", "id", "bits"],
+                )
+
+    return sets.select("id", "tokens", "bits").mapInArrow(run, "node long, path long, id long, bits binary")
+
+
+def _forest(x: np.ndarray, y: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs of places (x, y) join two parts that no pair before has joined, and the parts after that."""
+    kept = []
+    at = np.arange(len(x))
+    while len(at := at[part[x[at]] != part[y[at]]]):
+        a, b = part[x[at]], part[y[at]]
+        high, one = np.unique(np.maximum(a, b), return_index=True)
+        kept.append(at[one])
+        up = np.arange(len(part))
+        up[high] = np.minimum(a, b)[one]  # to a smaller number, so there is no circle
+        while (up[up] != up).any():
+            up = up[up]
+        part = up[part]
+    return np.concatenate(kept) if kept else at, part
+
+
+def _pairs_along(node: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Rows (a, b): pairs of sets under one root, at most REACH places apart, that may be linked; no more of them than join them."""
+    out = []
+    part = np.arange(len(node))
+    first = np.arange(max(0, len(node) - 1))
+    for k in range(1, min(REACH, len(node) - 1) + 1):
+        first = first[first + k < len(node)]
+        first = first[node[first] == node[first + k]]
+        if not len(first):
+            break
+        x = first[part[first] != part[first + k]]
+        for words, most in ((slice(0, 2), DIFFER), (slice(0, None), DIFFER_WIDE)):
+            x = x[np.bitwise_count(bits[x, words] ^ bits[x + k, words]).sum(axis=1, dtype=np.int64) <= most]
+        kept, part = _forest(x, x + k, part)
+        out.append(np.stack([ids[x[kept]], ids[x[kept] + k]], axis=1))
+    return np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.empty((0, 2), np.int64)
+
+
+def _near(it):
+    """Pairs a, b from rows that are sorted by node and path. The last REACH rows of a batch go on to the next one."""
+    node, ids, bits = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDE // 64), np.uint64)
+    for b in it:
+        if b.num_rows:
+            node = np.concatenate([node, b.column("node").to_numpy()])
+            ids = np.concatenate([ids, b.column("id").to_numpy()])
+            bits = np.concatenate([bits, _array(b.column("bits"), np.uint64, WIDE // 64)])
+            found = _pairs_along(node, ids, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            node, ids, bits = node[-REACH:], ids[-REACH:], bits[-REACH:]
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -145,175 +245,247 @@ def classes(edges: DataFrame) -> DataFrame:
         steps.append(up)
         left = edges.join(up.select(F.col("id").alias("a"), F.col("up").alias("a2")), "a").select(F.col("a2").alias("a"), "b")
         left = left.join(up.select(F.col("id").alias("b"), F.col("up").alias("b2")), "b").select("a", F.col("b2").alias("b"))
-        edges = written(left.filter("a <> b").distinct(), "edges")
+        before, edges = edges, written(left.filter("a <> b").distinct(), "edges")
+        discard(before)
     if not steps:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
     out = steps[0].withColumnRenamed("up", "root")
     for up in steps[1:]:
         out = out.join(up.select(F.col("id").alias("root"), "up"), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
-    return written(out, "classes")
+    out = written(out, "classes")
+    discard(edges, *steps)
+    return out
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, n: int, per_cent: int, rows: DataFrame | None = None) -> DataFrame:
-    """Those of the pairs (a, b: ids of sets) whose full sets are as similar as asked.
+def _items(members: DataFrame, documents: DataFrame, n: int) -> DataFrame:
+    """group, size, id, items: the full sets of members (group, size, id, doc_id, text_hash), from their whole texts."""
+
+    def run(it):
+        for b in it:
+            rows, full = [], 0
+            for i, t in enumerate(b.column("text")):
+                rows.append((i, shingles(t.as_py(), n).tobytes()))
+                full += len(rows[-1][1])
+                if full > BATCH_BYTES or i + 1 == b.num_rows:
+                    at = pa.array([r[0] for r in rows], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("group", "size", "id")], pa.array([r[1] for r in rows], pa.binary())], ["group", "size", "id", "items"])
+                    rows, full = [], 0
+            trim()
+
+    few = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    docs = only_columns(documents, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64("text")})
+    met = docs.join(F.broadcast(members) if few else members, ["doc_id", "text_hash"])
+    return met.select("group", "size", "id", "text").mapInArrow(run, "group long, size long, id long, items binary")
+
+
+def _runs(it, *by: str):
+    """The rows of a sorted stream, as one table for each group; rows that repeat an id are left out."""
+    held: list[pa.RecordBatch] = []
+    for b in it:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(c).to_numpy() for c in by], axis=1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+        if held and any(held[-1].column(c)[-1].as_py() != b.column(c)[0].as_py() for c in by):
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            held.append(b.slice(lo, hi - lo))
+            if hi < b.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sets(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    ids = rows.column("id").to_numpy()
+    first = np.unique(ids, return_index=True)[1]
+    items = rows.column("items")
+    return ids[first], [np.frombuffer(items[int(i)].as_py(), np.uint64) for i in first]
+
+
+def linked(sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
+    """All pairs of the (few) sets that are linked."""
+    token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, often = np.unique(token, return_inverse=True, return_counts=True)
+    new = np.cumsum(often > 1) - 1  # a token of one set alone is in no intersection
+    shared = often[column] > 1
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    at, who = new[column[shared]], owner[shared]
+    order = np.argsort(at, kind="stable")
+    at, who = at[order], who[order]
+    for lo in range(0, int(new[-1]) + 1, 1 << 16):
+        part = slice(*np.searchsorted(at, [lo, lo + (1 << 16)]))
+        m = np.zeros((len(sets), min(1 << 16, int(new[-1]) + 1 - lo)), np.float32)
+        m[who[part], at[part] - lo] = 1
+        both += (m @ m.T).astype(np.int64)
+    size = np.array([len(s) for s in sets])
+    good = (both > 0) & (100 * both >= per_cent * (size[:, None] + size[None, :] - both))
+    return [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(good, 1)), strict=True)]
+
+
+def _of_small_groups(items: DataFrame, per_cent: int) -> DataFrame:
+    """id, root of the sets of groups that one task compares exhaustively."""
+
+    def run(it):
+        for rows in _runs(it, "group"):
+            ids, sets = _sets(rows)
+            root = list(range(len(ids)))
+            for i, j in linked(sets, per_cent) if len(sets) > 1 else ():
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["id", "root"])
 
-    An id is the doc_id of a row with the set, or rows (id, doc_id, text_hash) tells one row for each id.
+    return items.repartition("group").sortWithinPartitions("group").mapInArrow(run, "id long, root long")
+
+
+def _centres(items: DataFrame) -> DataFrame:
+    """group, size, items: the shingles that more than half of a sample of a group's sets hold."""
+    sample = items.filter(F.pmod(F.xxhash64("id"), F.greatest(F.col("size") / SAMPLE, F.lit(1)).cast("long")) == 0)
+
+    def run(it):
+        for rows in _runs(it, "group"):
+            _, sets = _sets(rows)
+            token, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([rows.column("group")[:1].combine_chunks(), rows.column("size")[:1].combine_chunks(), pa.array([token[2 * n > len(sets)].tobytes()], pa.binary())], ["group", "size", "items"])
+
+    return sample.repartition("group").sortWithinPartitions("group").mapInArrow(run, "group long, size long, items binary")
+
+
+def _differences(items: DataFrame, centres: DataFrame, per_cent: int) -> DataFrame:
+    """group, id, cost, slack, delta array<long>: each set as its differences from the centre of its group.
+
+    The last bit of a difference tells whether the shingle is missing or added. Each share of a group has a copy of its centre.
     """
-    needs = pairs.select(F.col("a").alias("id"), "a", "b").union(pairs.select(F.col("b").alias("id"), "a", "b"))
-    needs = written(needs.withColumn("doc_id", F.col("id")) if rows is None else needs.join(rows, "id"), "needs")
-    by = ["doc_id"] if rows is None else ["doc_id", "text_hash"]
-    list_ = F.broadcast(needs) if needs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else needs
-
-    def sets(it):
-        for batch in it:
-            kept: dict[int, bytes] = {}
-            out = []
-            for d, t in zip(batch.column("id"), batch.column("text"), strict=True):
-                if d.as_py() not in kept:
-                    kept = {d.as_py(): shingles(t.as_py(), n).tobytes()}  # rows of a document come one after another
-                out.append(kept[d.as_py()])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("a"), batch.column("b"), pa.array(out, pa.binary())], ["id", "a", "b", "items"])
-
-    docs = only_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    docs = docs if rows is None else docs.withColumn("text_hash", F.xxhash64("text"))
-    each = docs.join(list_, by).select("id", "a", "b", "text").mapInArrow(sets, "id long, a long, b long, items binary")
-
-    def compare(it):
-        for batch in it:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = (np.frombuffer(v.as_py() or b"", np.uint64) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(both > 0 and 100 * both >= per_cent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    side = lambda c: F.max(F.when(F.col("id") == F.col(c), F.col("items")))
-    met = each.groupBy("a", "b").agg(side("a").alias("x"), side("b").alias("y"))
-    return met.mapInArrow(compare, "a long, b long")
-
-
-def _near():
-    return F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) <= DIFFER
-
-
-def _compare(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Candidate pairs of one level: all of small nodes, those with the pivot of large ones."""
-    met = members.join(sizes, "node")
-    small = met.filter(F.col("n") <= LEAF).select("node", "id", "s0", "s1")
-    other = small.select("node", F.col("id").alias("id2"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
-    pairs = small.join(other, "node").filter((F.col("id") < F.col("id2")) & _near()).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    large = met.filter((F.col("n") > LEAF) & (F.col("pivot.id") != F.col("id"))).withColumns({"t0": F.col("pivot.s0"), "t1": F.col("pivot.s1")}).filter(_near())
-    return pairs.union(large.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")))
-
-
-def _sizes(members: DataFrame) -> DataFrame:
-    pivot = F.min(F.struct(F.xxhash64("node", "id").alias("h"), "id", "s0", "s1")).alias("pivot")
-    return written(members.groupBy("node").agg(F.count("*").alias("n"), pivot).filter("n > 1"), "node-sizes")
-
-
-def _few_against_all(by: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs of the sets that are not of their node's largest class with all sets of other classes."""
-    met = by.join(nodes, "node")
-    few = met.filter(F.col("root") != F.col("most")).select("node", F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
-    pairs = met.select("node", "id", "root", "s0", "s1").join(few, "node").filter((F.col("root") != F.col("root2")) & _near())
-    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-
-
-class _Links:
-    """Candidate pairs met so far, those confirmed on full sets, and the classes that they make."""
-
-    def __init__(self, documents: DataFrame, sets: DataFrame, n: int, per_cent: int, rows: DataFrame | None = None):
-        self.documents, self.sets, self.n, self.per_cent, self.rows = documents, sets, n, per_cent, rows
-        self.found: DataFrame | None = None
-        self.tried: DataFrame | None = None
-        self.edges: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def add(self, pairs: DataFrame) -> None:
-        pairs = self._may_reach(written(pairs.distinct(), "near-pairs"))
-        pairs = written(pairs, "pairs")
-        self.found = pairs if self.found is None else self.found.union(pairs)
-
-    def _may_reach(self, pairs: DataFrame) -> DataFrame:
-        wide = lambda to: self.sets.select(F.col("id").alias(to), F.col("wide").alias(f"wide_{to}"))
-        met = pairs.join(wide("a"), "a").join(wide("b"), "b")
-        differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-        return met.filter(differ <= DIFFER_WIDE).select("a", "b")
-
-    def confirm(self) -> None:
-        """Of the pairs not tried yet, those between different classes: first one for each set, then the rest."""
-        for first in (True, False):
-            open_ = _labelled(_labelled(self.found.distinct(), self.labels, "a", "ra"), self.labels, "b", "rb").filter("ra <> rb")
-            if self.tried is not None:
-                open_ = open_.join(self.tried, ["a", "b"], "left_anti")
-            if first:
-                open_ = open_.groupBy("b").agg(F.min("a").alias("a"))
-            now = written(open_.select("a", "b"), "to-confirm")
-            if not now.limit(1).count():
-                return
-            good = written(confirmed(now, self.documents, self.n, self.per_cent, self.rows), "links")
-            self.tried = now if self.tried is None else self.tried.union(now)
-            self.edges = good if self.edges is None else self.edges.union(good)
-            self.labels = classes(self.edges)
-
-
-def _branch(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The children of the nodes' members: by one coordinate, and by a second one in a share of the nodes."""
-    at = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES)).cast("int")
-    child = lambda k: F.xxhash64("node", at(k), F.get("minwise", at(k)))
-    more = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < int(BRANCH * 1000)
-    children = F.when(more, F.array_distinct(F.array(child(0), child(1)))).otherwise(F.array(child(0)))
-    met = members.join(nodes.select("node"), "node").join(sets.select("id", "minwise"), "id")
-    return written(met.select(F.explode(children).alias("node"), "id", "s0", "s1"), "members")
-
-
-def _labelled(df: DataFrame, labels: DataFrame | None, of: str, to: str) -> DataFrame:
-    if labels is None:
-        return df.withColumn(to, F.col(of))
-    return df.join(labels.select(F.col("id").alias(of), F.col("root").alias(to)), of, "left").withColumn(to, F.coalesce(to, of))
+    shares = F.ceil(F.col("size") / SHARE)
+    own = items.select("group", F.pmod(F.xxhash64("id"), shares).alias("share"), F.lit(1).alias("kind"), "id", "items")
+    centre = centres.select("group", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "items")
+    add = np.uint64(1)
+
+    def run(it):
+        of, have, middle = None, set(), np.empty(0, np.uint64)
+        for b in it:
+            out: list[tuple] = []
+            for g, s, kind, i, raw in zip(*[b.column(c).to_pylist() for c in ("group", "share", "kind", "id", "items")], strict=True):
+                if (g, s) != of:
+                    of, have, middle = (g, s), set(), np.empty(0, np.uint64)
+                x = np.frombuffer(raw, np.uint64)
+                if kind == 0:
+                    middle = x
+                elif i not in have:
+                    have.add(i)
+                    gone, more = np.setdiff1d(middle, x, assume_unique=True), np.setdiff1d(x, middle, assume_unique=True)
+                    cost = 100 * len(gone) + per_cent * len(more)
+                    out.append((g, i, cost, (100 - per_cent) * len(middle), np.concatenate([gone & ~add, more | add]).view(np.int64)))
+            if out:
+                g, i, c, s, d = zip(*out, strict=True)
+                ends = pa.array(np.cumsum([0, *map(len, d)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (g, i, c, s)], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(d)))], ["group", "id", "cost", "slack", "delta"])
+
+    dealt = own.union(centre).repartition("group", "share").sortWithinPartitions("group", "share", "kind")
+    return dealt.mapInArrow(run, "group long, id long, cost long, slack long, delta array<long>")
+
+
+def _slots(group: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return (_mix((token ^ group).view(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _prefixes(open_: DataFrame, per_cent: int) -> DataFrame:
+    """group, token, id, any, outer: by which differences a set can meet an outer one, and an outer one any set."""
+    spark = open_.sparkSession
+
+    def count(it):
+        n = np.zeros(SLOTS, np.int64)
+        for b in it:
+            d = b.column("delta")
+            group = np.repeat(b.column("group").to_numpy(), np.diff(d.offsets.to_numpy()))
+            n += np.bincount(_slots(group, d.flatten().to_numpy()), minlength=SLOTS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
+
+    # at most SLOTS rows, whatever the input
+    met = open_.select("group", "delta").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[met.column("slot").to_numpy()] = met.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+    unit = 100 + per_cent
+
+    def run(it):
+        for b in it:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                d = part.column("delta")
+                sizes, token = np.diff(d.offsets.to_numpy()), d.flatten().to_numpy()
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                group, cost, slack, least = (part.column(c).to_numpy() for c in ("group", "cost", "slack", "least"))
+                order = np.lexsort((token, shared.value[_slots(group[row], token)], row))
+                token, place = token[order], np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                outer = cost + least > slack
+                # differences that a set must share with an outer one, and an outer one with any
+                any_, out = -((least - 1 - cost) // unit), np.maximum(1, -((slack - cost - least) // unit))
+                is_any = place < (sizes - any_ + 1)[row]
+                is_out = outer[row] & (place < (sizes - out + 1)[row])
+                on = is_any | is_out
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group[row][on]), pa.array(token[on]), pa.array(part.column("id").to_numpy()[row][on]), pa.array(is_any[on]), pa.array(is_out[on])],
+                    ["group", "token", "id", "any", "outer"],
+                )
+
+    out = written(open_.mapInArrow(run, "group long, token long, id long, any boolean, outer boolean"), "prefixes")
+    shared.destroy()
+    return out
+
+
+def _of_large_groups(items: DataFrame, per_cent: int) -> DataFrame:
+    """id, root of the sets of larger groups."""
+    centres = written(_centres(items), "centres")
+    deltas = written(_differences(items, centres, per_cent), "differences")
+    least = deltas.groupBy("group").agg(F.min(F.struct("cost", "id")).alias("least"), (F.max("cost") + F.min("cost") > F.max("slack")).alias("open"))
+    deltas = written(deltas.join(least, "group").select("group", "id", "cost", "slack", F.col("least.cost").alias("least"), F.col("least.id").alias("least_id"), "open", "delta"), "differences")
+    inner = F.col("cost") + F.col("least") <= F.col("slack")
+    named = deltas.select("id", F.when(inner, F.col("least_id")).otherwise(F.col("id")).alias("root"))
+    open_ = deltas.filter("open")
+    if not open_.limit(1).count():
+        return named
+    tokens = _prefixes(open_, per_cent)
+    x, y = tokens.filter("outer").select("group", "token", F.col("id").alias("x")), tokens.filter("any").select("group", "token", F.col("id").alias("y"))
+    pairs = written(x.join(y, ["group", "token"]).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "differing-pairs")
+    side = lambda c: open_.select(F.col("id").alias(c), F.col("cost").alias(f"cost_{c}"), "slack" if c == "a" else F.lit(0).alias("unused"), F.when(inner, F.col("least_id")).otherwise(F.col("id")).alias(f"up_{c}"), F.col("delta").alias(f"delta_{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").filter("up_a <> up_b")
+    good = met.filter((100 + per_cent) * F.size(F.array_intersect("delta_a", "delta_b")) >= F.col("cost_a") + F.col("cost_b") - F.col("slack"))
+    up = classes(good.select(F.col("up_a").alias("a"), F.col("up_b").alias("b")))
+    out = written(named.join(up.select(F.col("id").alias("root"), F.col("root").alias("up")), "root", "left").select("id", F.coalesce("up", "root").alias("root")), "large-classes")
+    discard(centres, deltas, tokens, pairs, up)
+    return out
 
 
 def _linked(documents: DataFrame, n: int, per_cent: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, root (null in a row that is linked with nothing) and kept."""
+    """doc_id, text_hash, n_shingles, component_id, root (null in a row without a set or a doc_id) and kept."""
     own = written(signatures(documents, n), "signatures")
-    sets = written(
+    first = F.struct("doc_id", "text_hash")
+    sets = (
         own.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("set_hash")
-        .agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "text_hash"))["text_hash"].alias("text_hash"), *[F.first(c).alias(c) for c in ("minwise", "roots", "wide", "s0", "s1")]),
-        "sets",
+        .agg(F.min(first).alias("first"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
+        .select("set_hash", "first.doc_id", "first.text_hash", "tokens", "bits")
     )
-    sets, rows = sets.withColumn("doc_id", F.col("id")), None
-    if sets.groupBy("id").count().filter("count > 1").limit(1).count():  # texts of one doc_id: ids of their own
-        sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
-        rows = sets.select("id", "doc_id", "text_hash")
-    links = _Links(documents, sets, n, per_cent, rows)
-    members = sets.select(F.explode("roots").alias("node"), "id", "s0", "s1")
-    level = 0
-    while True:
-        sizes = _sizes(members)
-        links.add(_compare(members, sizes))
-        large = sizes.filter(F.col("n") > LEAF).select("node")
-        some = large.limit(1).count() > 0
-        if level >= BLIND or not some:
-            links.confirm()
-            if some:
-                by = written(_labelled(members.join(large, "node"), links.labels, "id", "root"), "large-nodes")
-                of = by.groupBy("node", "root").agg(F.count("*").alias("n")).groupBy("node").agg((F.sum("n") - F.max("n")).alias("others"), F.max_by("root", F.struct("n", "root")).alias("most"))
-                few = LEAF << (level - BLIND)
-                of = written(of.filter("others > 0"), "mixed-nodes")
-                links.add(_few_against_all(by, of.filter(F.col("others") <= few)))
-                links.confirm()
-                large = of.filter(F.col("others") > few).select("node")
-                some = large.limit(1).count() > 0
-        if not some:
-            break
-        members = _branch(members, large, sets)
-        level += 1
-    labels = links.labels
-    named = written(_labelled(sets.select("set_hash", "id", "doc_id"), labels, "id", "root"), "named")
+    sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    parts = max(1, -(-sets.count() * TREES // ROWS_PER_TASK))
+    dealt = _paths(sets).repartitionByRange(parts, "node", "path").sortWithinPartitions("node", "path")
+    joined = written(dealt.mapInArrow(_near, "a long, b long"), "near")
+    groups = classes(joined)
+    sizes = written(groups.groupBy("root").agg(F.count("*").alias("size")), "group-sizes")
+    members = written(groups.withColumnRenamed("root", "group").join(sizes.withColumnRenamed("root", "group"), "group").join(sets.select("id", "doc_id", "text_hash"), "id"), "members")
+    items = written(_items(members, documents, n), "items")
+    small = written(_of_small_groups(items.filter(F.col("size") <= LEAF), per_cent), "small-classes")
+    large = _of_large_groups(items.filter(F.col("size") > LEAF), per_cent)
+    roots = small.union(large)
+    named = written(sets.select("set_hash", "id", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "named")
     # stored first, so that Spark can split a class of many sets in the join
     least = written(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "class-names")
     of_set = written(named.join(least, "root").select("set_hash", "component_id", "root"), "components")
+    discard(joined, groups, sizes, members, items, small, large, sets, named, least)
     out = own.select("doc_id", "text_hash", "n_shingles", "set_hash").join(of_set, "set_hash", "left")
     there = F.col("doc_id").isNotNull()
     component = F.when(there, F.coalesce("component_id", "doc_id"))
@@ -327,14 +499,16 @@ def link(documents: DataFrame, *, n: int = 5, per_cent: int = 80) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame, *, n: int = 5, per_cent: int = 80) -> DataFrame:
-    """The rows of documents, all columns, less those that are linked to a document of smaller doc_id or repeat one."""
-    out = written(_linked(documents, n, per_cent).select("doc_id", "text_hash", "root", "kept"), "decided")
-    first = out.filter("kept and root is not null").groupBy("root").agg(F.count("*").alias("rows"), F.min("text_hash").alias("own"))
-    more = written(out.filter("kept").join(first.filter("rows > 1"), "root").select("doc_id", "text_hash", "own"), "repeated-ids")
-    gone = out.filter("not kept").select("doc_id", "text_hash").union(more.filter("text_hash <> own").select("doc_id", "text_hash"))
-    by = lambda df, there: documents.join(df.distinct().toDF("_doc", "_hash"), (documents["doc_id"] == F.col("_doc")) & (F.xxhash64(documents["text"]) == F.col("_hash")), there)
-    if not more.limit(1).count():
-        return by(gone, "left_anti")
-    same = more.filter("text_hash = own").select("doc_id", "text_hash")
-    one = by(same, "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return by(gone.union(same), "left_anti").union(one)
+    """The rows of documents, all columns, but one row only of each class."""
+    out = written(_linked(documents, n, per_cent).filter("root is not null").select("doc_id", "text_hash", "root"), "decided")
+    key = F.struct("doc_id", "text_hash")
+    first = written(out.groupBy("root").agg(F.min(key).alias("first")), "first-rows")
+    told = out.join(first, "root").withColumn("is_first", key == F.col("first"))
+    gone = written(told.filter("not is_first").select("doc_id", "text_hash").distinct(), "gone")
+    again = written(told.filter("is_first").groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash"), "repeated-rows")
+    left = without(documents, gone.union(again))
+    if not again.limit(1).count():
+        return left
+    rows, keys = keyed(documents), again.select(F.col("doc_id").alias("row_id"), F.col("text_hash").alias("row_hash"))
+    one = rows.join(keys, ["row_id", "row_hash"], "left_semi").dropDuplicates(["row_id", "row_hash"]).drop("row_id", "row_hash")
+    return left.union(one.toDF(*documents.columns))
