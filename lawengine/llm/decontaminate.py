@@ -7,7 +7,8 @@ training and benchmark texts misses none. Each hit is then extended: the windows
 word with those of the items. Items shorter than the window are one window of their own length; their hashes are
 looked up at every place.
 
-A null text has no words and is not contaminated. Rows with one doc_id are judged each by its own text. An empty
+A null text has no words and is not contaminated. Rows are judged each by its own text, whatever their doc_id, null and
+repeated ones included. An item without an id contaminates, but can't be named. Ids may be of any type. An empty
 documents table gives no rows, an empty benchmark no hits. Columns other than those named are not read.
 """
 
@@ -16,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, only_columns, written
+from .common import ascii_lower, discard, only_columns, without, written
 
 GRAM, KEEP = 5, 6
 WINDOW = GRAM + KEEP - 1
-#: Rows of the benchmark's side of a join up to which it is broadcast (16 MB of hashes, or some 100 MB of windows); larger sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows of the benchmark's side of a join up to which it is broadcast (a few MB of hashes, or some 40 MB of windows); larger sides are shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def words(c):
@@ -50,13 +51,15 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _short_places(grams: str, m: int):
-    own = F.filter(F.sequence(F.lit(0), F.greatest(F.size(grams) - 1, F.lit(0))), lambda i: F.array_contains(F.col("hits"), F.get(F.col(grams), i)))
-    return F.transform(own, lambda s: F.struct(s.alias("start"), F.lit(m).alias("length")))
+def _window(start, length):
+    return F.array_join(F.slice("words", start + 1, length), " ")
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, spans array<struct<start, length>> of windows hit and items array: one row for each document."""
+def _found(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored: all rows (doc_id, doc_key, text_hash, n_words); hits (doc_key, text_hash, start, length, window); windows of items.
+
+    doc_key and text_hash tell rows of different content apart. Each hit is there once.
+    """
     items = written(
         _with_grams(only_columns(benchmark, "item_id", "text").select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0)),
         "benchmark-words",
@@ -64,16 +67,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     n = F.size("words")
     length = F.least(n, F.lit(WINDOW))
     short = sorted(r["m"] for r in items.filter(n < WINDOW).select(n.alias("m")).distinct().collect())  # at most WINDOW - 1 numbers
-    windows = written(
-        items.select("item_id", "words", length.alias("length"), F.explode(F.sequence(F.lit(0), n - length)).alias("start"))
-        .select("item_id", "length", F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " ").alias("window"))
-        .distinct(),
-        "benchmark-windows",
-    )
-    kept = items.filter(n >= WINDOW).select(F.explode(_fingerprints()).alias("print"))
+    of_items = items.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), n - length), lambda s: F.struct(length.alias("length"), _window(s, length).alias("window")))).alias("w"))
+    windows = written(of_items.select("item_id", "w.length", "w.window").distinct(), "benchmark-windows")
+    kept = items.filter(n >= WINDOW).select(F.lit(GRAM).alias("m"), F.explode(_fingerprints()).alias("print"))
     for m in short:
-        kept = kept.union(items.filter(n == m).select(F.explode(_grams("h", m)).alias("print")))
+        kept = kept.union(items.filter(n == m).select(F.lit(m).alias("m"), F.explode(_grams("h", m)).alias("print")))
     kept = written(kept.distinct(), "benchmark-prints")
+    known = _bounded(kept)
 
     docs = only_columns(documents, "doc_id", "text").withColumns({"text_hash": F.xxhash64("text"), "doc_key": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
     own = _fingerprints()
@@ -83,26 +83,39 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         _with_grams(docs.select("doc_id", "doc_key", "text_hash", words(F.col("text")).alias("words"))).select("doc_id", "doc_key", "text_hash", F.size("words").cast("long").alias("n_words"), own.alias("prints")),
         "document-prints",
     )
-    hits = (
-        prints.select("doc_key", "text_hash", F.explode("prints").alias("print"))
-        .join(_bounded(kept), "print")
-        .groupBy("doc_key", "text_hash")
-        .agg(F.collect_set("print").alias("hits"))
-    )
-    near = _with_grams(docs.join(written(hits, "document-hits"), ["doc_key", "text_hash"]).select("doc_key", "text_hash", "hits", words(F.col("text")).alias("words")).distinct())
-    last = F.size("words") - WINDOW
-    found = F.filter(F.sequence(F.lit(0), F.greatest(F.size("g") - 1, F.lit(0))), lambda i: F.array_contains(F.col("hits"), F.get(F.col("g"), i)))
-    around = F.flatten(F.transform(found, lambda p: F.when(last >= 0, F.sequence(F.greatest(p - (KEEP - 1), F.lit(0)), F.least(F.greatest(last, F.lit(0)), p))).otherwise(F.array().cast("array<int>"))))
-    places = F.transform(F.filter(F.array_distinct(around), lambda s: s <= last), lambda s: F.struct(s.alias("start"), F.lit(WINDOW).alias("length")))
+    met = prints.select("doc_key", "text_hash", F.explode("prints").alias("print")).join(_bounded(kept.select("print").distinct()), "print", "left_semi")
+    near = docs.join(met.select("doc_key", "text_hash").distinct(), ["doc_key", "text_hash"]).select("doc_key", "text_hash", words(F.col("text")).alias("words"))
+    # with the hashes of words: what is made from them below would compute them anew for each element
+    near = written(near.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))), "near-documents")
+
+    # places of hits, one row for each gram of the documents that have any; then the windows around them
+    grams = near.select("doc_key", "text_hash", F.size("words").alias("n"), "h", _grams("h", GRAM).alias("g"))
+    # what a row carries is copied for each of its grams, so it carries no array but the one that is taken apart
+    places = grams.select("doc_key", "text_hash", "n", "g").select("doc_key", "text_hash", "n", F.posexplode("g").alias("at", "print")).join(known.filter(F.col("m") == GRAM), "print")
+    around = F.explode(F.sequence(F.greatest(F.col("at") - (KEEP - 1), F.lit(0)), F.col("at")))
+    starts = places.select("doc_key", "text_hash", "n", around.alias("start")).filter(F.col("start") <= F.col("n") - WINDOW).select("doc_key", "text_hash", "start", F.lit(WINDOW).alias("length"))
     for m in short:
-        near = near.withColumn(f"g{m}", _grams("h", m))
-        places = F.concat(places, _short_places(f"g{m}", m))
-    tried = near.select("doc_key", "text_hash", "words", F.explode(places).alias("at")).select(
-        "doc_key", "text_hash", "at", F.col("at.length").alias("length"), F.array_join(F.slice("words", F.col("at.start") + 1, F.col("at.length")), " ").alias("window")
-    )
-    met = tried.join(_bounded(windows), ["length", "window"]).groupBy("doc_key", "text_hash").agg(F.collect_set("at").alias("spans"), F.collect_set("item_id").alias("items"))
-    out = prints.select("doc_id", "doc_key", "text_hash", "n_words").join(met, ["doc_key", "text_hash"], "left")
-    return out.select("doc_id", "text_hash", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+        own_grams = grams.select("doc_key", "text_hash", _grams("h", m).alias("g"))
+        at = own_grams.select("doc_key", "text_hash", F.posexplode("g").alias("start", "print")).join(known.filter(F.col("m") == m), "print")
+        starts = starts.union(at.select("doc_key", "text_hash", "start", F.lit(m).alias("length")))
+    of_row = starts.groupBy("doc_key", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("starts"))
+    tried = near.join(of_row, ["doc_key", "text_hash"]).select("doc_key", "text_hash", F.explode(F.transform("starts", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), _window(s["start"], s["length"]).alias("window")))).alias("w"))
+    hits = tried.select("doc_key", "text_hash", "w.*").join(_bounded(windows.select("length", "window").distinct()), ["length", "window"], "left_semi").distinct()
+    hits = written(hits.select("doc_key", "text_hash", "start", "length", "window"), "document-hits")
+    discard(items, kept, near)
+    return prints.select("doc_id", "doc_key", "text_hash", "n_words"), hits, windows
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, spans array<struct<start, length>> of windows hit and items array: one row for each document."""
+    rows, hits, windows = _found(documents, benchmark)
+    key = ["doc_key", "text_hash"]
+    spans = hits.groupBy(*key).agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    # of a row's windows each text counts once before it meets the items that have it
+    items = hits.select(*key, "length", "window").distinct().join(_bounded(windows), ["length", "window"]).groupBy(*key).agg(F.collect_set("item_id").alias("items"))
+    out = rows.join(spans.join(items, key, "left"), key, "left")
+    kind = windows.schema["item_id"].dataType.simpleString()
+    return out.select("doc_id", "text_hash", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>")).alias("spans"), F.coalesce("items", F.array().cast(f"array<{kind}>")).alias("items"))
 
 
 def covered(spans):
@@ -119,5 +132,6 @@ def contamination_digest(documents: DataFrame, benchmark: DataFrame) -> DataFram
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents, all columns, without those that hold a window of an item."""
-    bad = contamination(documents, benchmark).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_hash"))
-    return documents.join(bad.distinct(), documents["doc_id"].eqNullSafe(F.col("_bad")) & (F.xxhash64(documents["text"]) == F.col("_bad_hash")), "left_anti")
+    rows, hits, _ = _found(documents, benchmark)
+    bad = hits.select("doc_key", "text_hash").distinct()
+    return without(documents, rows.join(bad, ["doc_key", "text_hash"]).select("doc_id", "text_hash"))
