@@ -47,19 +47,23 @@ def _rule(of: dict[str, str]) -> str:
     return out
 
 
-def url_filter(rules: dict[str, str]) -> str:
-    """The same tree, with paths written out where the operator has digests."""
+def url_filter(rules: dict[str, str], levels: int = 16) -> str:
+    """The same tree, one level after the other, with paths written out where the operator has digests."""
     block = ", ".join(f"'{r}'" for r, v in rules.items() if v == "block")
+    tree = ",\n".join(
+        f"""c{k} AS MATERIALIZED (SELECT host, names, segs[{k + 1}] AS child, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM s{k} WHERE len(segs) > {k} GROUP BY 1, 2, 3),
+t{k} AS (SELECT host, names, count(*) AS kinds, sum(n) AS an, sum(l) AS al, sum(b) AS ab FROM c{k} GROUP BY 1, 2 HAVING count(*) > 1),
+w{k} AS (SELECT host, names, child FROM c{k} JOIN t{k} USING (host, names) WHERE child <> '' AND ((kinds > 20 AND an < 5.0 * kinds AND n < 5.0) OR (l > 0 AND al > 0 AND abs(b / l - ab / al) <= 2.0 * sqrt((ab / al) * (1 - ab / al) / l)))),
+s{k + 1} AS MATERIALIZED (SELECT s.host, s.segs, s.n, s.l, s.b, CASE WHEN len(segs) > {k} THEN list_append(s.names, CASE WHEN w.child IS NULL THEN segs[{k + 1}] ELSE '*' END) ELSE s.names END AS names FROM s{k} s LEFT JOIN w{k} w ON w.host = s.host AND w.names = s.names AND w.child = s.segs[{k + 1}])"""
+        for k in range(levels)
+    )
     return f"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r AS (SELECT *, {_rule(rules)} AS rule FROM u),
 p AS (SELECT *, list_transform(string_split(path, '/'), lambda s: CASE WHEN regexp_matches(s, '^[0-9a-f]{{8,}}$') AND regexp_matches(s, '[0-9]') AND NOT regexp_matches(s, '^[0-9]+$') THEN '{{x}}' ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END) AS segs, rule IN ({block}) AS blocked FROM r),
-sh AS (SELECT host, segs, count(*) AS n, count(rule) AS l, count(*) FILTER (blocked) AS b FROM p GROUP BY 1, 2),
-st AS (SELECT host, segs, n, l, b, unnest(range(1, len(segs) + 1)) AS k FROM sh),
-ch AS (SELECT host, segs[1:k-1] AS node, segs[k] AS child, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM st GROUP BY 1, 2, 3),
-nd AS (SELECT host, node, count(*) AS kinds, sum(n) AS an, sum(l) AS al, sum(b) AS ab FROM ch GROUP BY 1, 2),
-wi AS (SELECT host, node, child, (kinds > 20 AND an < 5.0 * kinds AND n < 5.0) OR (l > 0 AND kinds > 1 AND al > 0 AND abs(b / l - ab / al) <= 2.0 * sqrt((ab / al) * (1 - ab / al) / l)) AS wild FROM ch JOIN nd USING (host, node)),
-te AS (SELECT st.host, st.segs, any_value(st.l) AS l, any_value(st.b) AS b, string_agg(CASE WHEN coalesce(wild, false) AND child <> '' THEN '*' ELSE child END, '/' ORDER BY k) AS template FROM st JOIN wi ON wi.host = st.host AND wi.node = st.segs[1:k-1] AND wi.child = st.segs[k] GROUP BY 1, 2),
+s0 AS MATERIALIZED (SELECT host, segs, count(*) AS n, count(rule) AS l, count(*) FILTER (blocked) AS b, CAST([] AS VARCHAR[]) AS names FROM p GROUP BY 1, 2),
+{tree},
+te AS (SELECT host, segs, l, b, array_to_string(list_concat(names, segs[{levels + 1}:]), '/') AS template FROM s{levels}),
 pu AS (SELECT host, template, (sum(b) + 1.0) / (sum(l) + 4.0) AS purity FROM te GROUP BY 1, 2)
 SELECT page_id, p.host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE WHEN blocked THEN 'block' ELSE 'allow' END WHEN purity >= 0.6 THEN 'block' ELSE 'allow' END AS verdict, te.template, CAST(purity AS DOUBLE) AS purity
 FROM p JOIN te ON te.host = p.host AND te.segs = p.segs JOIN pu ON pu.host = te.host AND pu.template = te.template

@@ -4,13 +4,17 @@
    rules that fit, the longest decides (of equally long ones, the first in string order). A page with a rule is
    a labelled page.
 2. Templates. In each segment of a path a run of digits becomes {n}, and a hexadecimal word of eight letters or
-   more, with a digit, becomes {x}. In each node of a host's tree (the generalised path down to it), a level with
-   more than `max_children` different children of under `min_support` pages each on average is variable: its rare
-   children become `*`. Labelled siblings whose shares of blocked pages do not differ from the node's by more than
-   `z` standard errors are merged, too.
+   more, with a digit, becomes {x}. Then each host's tree is merged from the top down. In a node, a level with more than
+   `max_children` different children of under `min_support` pages each on average is variable: its rare children
+   become `*`. Labelled siblings whose shares of blocked pages do not differ from the node's by more than `z` standard
+   errors become `*`, too. What becomes `*` is one branch from there on, so that the next level is counted over all
+   of it: a variable segment below a variable one is found. Segments beyond the first `levels` stay as they are.
 3. Purity. A template is rejected when (blocked + strength * prior) / (labelled + strength) reaches `reject`.
    A template without labelled pages keeps the prior and is allowed.
 
+A host's different shapes are counted before anything is shuffled by node, and a node's totals are summed from partial
+sums, so a host of any number of pages or branches is no single task's.
+
 A null url, or one without ://, has an empty host and an empty path. Repeated page_ids are judged row by row; an
 empty table gives no rows. Columns other than page_id and url are not read.
 """
@@ -19,9 +23,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import ascii_lower, only_columns, written
+from .common import ascii_lower, discard, only_columns, written
 
 
 def url_parts(c):
@@ -40,7 +43,40 @@ def rule_of(host, path, rules: dict[str, str]):
     return out
 
 
-def judge(pages: DataFrame, rules: dict[str, str], *, max_children: int = 20, min_support: float = 5.0, z: float = 2.0, prior: float = 0.25, strength: float = 4.0, reject: float = 0.6) -> DataFrame:
+def _merged(shapes: DataFrame, levels: int, max_children: int, min_support: float, z: float) -> DataFrame:
+    """host, shape, n, labelled, blocked, template: the tree merged level by level. A node is known by a digest of the merged names down to it."""
+    names = F.array().cast("array<string>")
+    state = shapes.withColumns({"segments": F.split("shape", "/"), "node": F.xxhash64("host"), "names": names})
+    depth = state.agg(F.max(F.size("segments"))).first()[0] or 0
+    before = None
+    for k in range(min(depth, levels)):
+        child = F.get("segments", F.lit(k))
+        children = state.filter(child.isNotNull()).groupBy("node", child.alias("child")).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+        children = written(children, "url-children")
+        all_ = children.groupBy("node").agg(F.count("*").alias("kinds"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")]).filter("kinds > 1")
+        share = F.when(F.col("all_labelled") > 0, F.col("all_blocked") / F.col("all_labelled"))
+        own = F.when(F.col("labelled") > 0, F.col("labelled"))
+        similar = F.abs(F.col("blocked") / own - share) <= z * F.sqrt(share * (1 - share) / own)
+        variable = (F.col("kinds") > max_children) & (F.col("all_n") < min_support * F.col("kinds")) & (F.col("n") < min_support)
+        wild = children.filter("child <> ''").join(all_, "node").filter(variable | F.coalesce(similar, F.lit(False))).select("node", "child", F.lit("*").alias("merged"))
+        met = state.withColumn("child", child).join(wild, ["node", "child"], "left")
+        name = F.coalesce("merged", "child")
+        there = F.col("child").isNotNull()
+        state = written(
+            met.select(
+                "host", "shape", "n", "labelled", "blocked", "segments",
+                F.when(there, F.xxhash64("node", name)).otherwise(F.col("node")).alias("node"),
+                F.when(there, F.concat("names", F.array(name))).otherwise(F.col("names")).alias("names"),
+            ),
+            "url-tree",
+        )
+        discard(children, *[before] * (before is not None))
+        before = state
+    rest = F.slice("segments", F.lit(levels + 1), F.greatest(F.size("segments") - levels, F.lit(0)))
+    return state.select("host", "shape", "n", "labelled", "blocked", F.array_join(F.concat("names", rest), "/").alias("template"))
+
+
+def judge(pages: DataFrame, rules: dict[str, str], *, max_children: int = 20, min_support: float = 5.0, z: float = 2.0, levels: int = 16, prior: float = 0.25, strength: float = 4.0, reject: float = 0.6) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of each page."""
     rows = only_columns(pages, "page_id", "url")
     host, path = url_parts(F.col("url"))
@@ -58,29 +94,10 @@ def judge(pages: DataFrame, rules: dict[str, str], *, max_children: int = 20, mi
         rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("rule").alias("labelled"), F.count_if(blocked).alias("blocked")),
         "url-shapes",
     )
-    # a node is known by a digest chained along its path: rows stay small however long a path is
-    nodes = F.aggregate(
-        F.split("shape", "/"),
-        F.array(F.xxhash64("host")),
-        lambda chain, s: F.concat(chain, F.array(F.xxhash64(F.element_at(chain, -1), s))),
-    )
-    steps = shapes.select("host", "shape", "n", "labelled", "blocked", F.split("shape", "/").alias("segments"), nodes.alias("chain"))
-    steps = steps.select("host", "shape", "n", "labelled", "blocked", "chain", F.posexplode("segments").alias("depth", "child"))
-    steps = steps.withColumn("node", F.get("chain", F.col("depth"))).drop("chain")
-    children = steps.groupBy("node", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    at = Window.partitionBy("node")
-    share = F.when(F.col("all_labelled") > 0, F.col("all_blocked") / F.col("all_labelled"))
-    error = F.sqrt(share * (1 - share) / F.when(F.col("labelled") > 0, F.col("labelled")))
-    similar = (F.col("labelled") > 0) & (F.col("kinds") > 1) & (F.abs(F.col("blocked") / F.when(F.col("labelled") > 0, F.col("labelled")) - share) <= z * error)
-    variable = (F.col("kinds") > max_children) & (F.col("all_n") < min_support * F.col("kinds")) & (F.col("n") < min_support)
-    decided = (
-        children.withColumns({"kinds": F.count("*").over(at), "all_n": F.sum("n").over(at), "all_labelled": F.sum("labelled").over(at), "all_blocked": F.sum("blocked").over(at)})
-        .select("node", "child", (variable | F.coalesce(similar, F.lit(False))).alias("wild"))
-    )
-    named = steps.join(decided, ["node", "child"]).groupBy("host", "shape").agg(F.array_sort(F.collect_list(F.struct("depth", F.when(F.col("wild") & (F.col("child") != ""), "*").otherwise(F.col("child")).alias("name")))).alias("steps"))
-    templates = named.select("host", "shape", F.array_join(F.transform("steps", lambda s: s["name"]), "/").alias("template")).join(shapes, ["host", "shape"])
+    templates = _merged(shapes, levels, max_children, min_support, z)
     purity = templates.groupBy("host", "template").agg(((F.sum("blocked") + strength * prior) / (F.sum("labelled") + strength)).alias("purity"))
     judged = written(templates.select("host", "shape", "template").join(purity, ["host", "template"]), "url-templates")
+    discard(shapes)
 
     verdict = F.when(F.col("rule").isNotNull(), F.when(blocked, "block").otherwise("allow")).when(F.col("purity") >= reject, "block").otherwise("allow")
     return rows.join(judged, ["host", "shape"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
