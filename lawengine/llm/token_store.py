@@ -5,8 +5,9 @@ compressed with zstandard. A store is a Parquet table, which any store that Spar
 commit survives lost tasks. One row is a chunk of whole documents; its columns `sizes` (bytes of each plane),
 `doc_ids` and `ends` are the index of the chunk, so that any document can be read without its neighbours.
 
-Null or empty texts are documents of one id, the end id. Repeated doc_ids are kept as they come, next to each
-other. An empty table gives an empty store. Columns other than doc_id and text are not read.
+Null or empty texts are documents of one id, the end id. Rows of one doc_id are next to each other, in the order of their
+texts' hashes; null doc_ids come first. An empty table gives an empty store. Columns other than doc_id and text are not
+read.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import only_columns, shared_dir
+from .common import only_columns, remove, scratch, written
 from .tokens import encoder
 
 BLOCK = 65_536
@@ -63,105 +66,62 @@ def unpack(sizes: list[int], data: bytes, n: int, planes: str = "byte", block: i
     return np.concatenate(blocks) if blocks else np.empty(0, np.uint32)
 
 
-def bounded(df: DataFrame, key: str, bounds: list[int]) -> DataFrame:
-    """Rows dealt to partitions (`shard`) in ascending order of a long key, nulls first, and sorted there.
+def write_store(documents: DataFrame, path: str, tokenizer: str, *, kind: str = "byte", end_id: int = 0, planes: str = "byte", block: int = BLOCK, docs_per_shard: int = 10_000) -> None:
+    """Encode whole texts and write the store at path, documents in ascending doc_id order.
 
-    The bounds are quantiles of the key alone, so that what df costs is not paid twice for sampling.
+    Rows are range-sorted by doc_id, and rows of one doc_id by their text and their place, so that a doc_id of many rows
+    is dealt out, too. A range is a shard; it is encoded where it is sorted.
     """
-    # halving, as an expression over constants: its depth is the logarithm of their number
-    def pick(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) > F.lit(bounds[mid]), pick(mid + 1, hi)).otherwise(pick(lo, mid))
-
-    return df.withColumn("shard", pick(0, len(bounds)).cast("int")).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(key)
-
-
-def encode(documents: DataFrame, tokenizer: str, kind: str = "byte", end_id: int | None = None) -> DataFrame:
-    """doc_id, n long, ids binary: unsigned 16-bit integers, or 32-bit ones (width) where an id needs more."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        enc, tail = encoder(tokenizer, kind), array("I", [] if end_id is None else [end_id]).tobytes()
-        n, out, width = [], [], []
-        for t in b.column(1):
-            ids = np.frombuffer(enc.encode(t.as_py()) + tail, "<u4")
-            small = not len(ids) or int(ids.max()) < 65_536
-            n.append(len(ids))
-            width.append(2 if small else 4)
-            out.append((ids.astype("<u2") if small else ids).tobytes())
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(width, pa.int32()), pa.array(out, pa.binary())], ["doc_id", "n", "width", "ids"])
-
-    def each(it):
-        for b in it:
-            yield run(b)
-
-    docs = only_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(each, "doc_id long, n long, width int, ids binary")
-
-
-def write_store(documents: DataFrame, path: str, tokenizer: str, *, kind: str = "byte", end_id: int = 0, planes: str = "byte", block: int = BLOCK, docs_per_shard: int = 10_000) -> None:
-    """Encode whole texts and write the store at path, documents in ascending doc_id order."""
-    keys = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
-    n = keys.count()
-    parts = max(1, -(-n // docs_per_shard))
-    bounds: list[int] = []
-    if parts > 1:
-        at = [i / parts for i in range(1, parts)]
-        bounds = sorted(set(keys.select(F.percentile_approx("doc_id", F.lit(at), F.lit(100 * parts)).alias("q")).first()["q"] or []))
-    ordered = bounded(encode(documents, tokenizer, kind, end_id), "doc_id", bounds)
+    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("planes", pa.string()), ("block", pa.int32()), ("sizes", pa.list_(pa.int32())), ("data", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 
     def chunks(it):
-        state: dict = {"chunk": 0, "start": 0}
+        enc, tail = encoder(tokenizer, kind), array("I", [end_id]).tobytes()
+        shard, chunk, start, size = TaskContext.get().partitionId(), 0, 0, 0
         held: list[tuple[int, np.ndarray]] = []
-        size, shard = 0, 0
 
         def row():
+            nonlocal chunk, start, size, held
             ids = np.concatenate([x for _, x in held])
             ends = np.cumsum([len(x) for _, x in held])
             sizes, data = pack(ids, planes, block)
-            out = {"shard": shard, "chunk": state["chunk"], "start": state["start"], "n_ids": len(ids), "planes": planes, "block": block, "sizes": sizes, "data": data, "doc_ids": [d for d, _ in held], "ends": ends.tolist()}
-            state["chunk"] += 1
-            state["start"] += len(ids)
-            return pa.RecordBatch.from_pylist([out], schema=SCHEMA)
+            out = {"shard": shard, "chunk": chunk, "start": start, "n_ids": len(ids), "planes": planes, "block": block, "sizes": sizes, "data": data, "doc_ids": [d for d, _ in held], "ends": ends.tolist()}
+            chunk, start, size, held = chunk + 1, start + len(ids), 0, []
+            return pa.RecordBatch.from_pylist([out], schema=schema)
 
         for b in it:
-            for d, w, x, s in zip(b.column("doc_id"), b.column("width"), b.column("ids"), b.column("shard"), strict=True):
-                ids = np.frombuffer(x.as_py(), "<u2" if w.as_py() == 2 else "<u4").astype(np.uint32)
-                shard = s.as_py()
-                held.append((d.as_py(), ids))
-                size += len(ids)
+            for d, t in zip(b.column("doc_id"), b.column("text"), strict=True):
+                held.append((d.as_py(), np.frombuffer(enc.encode(t.as_py()) + tail, "<u4")))
+                size += len(held[-1][1])
                 if size >= CHUNK_IDS:
                     yield row()
-                    held, size = [], 0
         if held:
             yield row()
 
-    SCHEMA = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("planes", pa.string()), ("block", pa.int32()), ("sizes", pa.list_(pa.int32())), ("data", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+    docs = only_columns(documents, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "h": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    parts = max(1, -(-documents.count() // docs_per_shard))
+    ordered = docs.repartitionByRange(parts, "doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at").select("doc_id", "text")
     ordered.mapInArrow(chunks, CHUNK).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start long (ids of all documents before it), n_tokens long, ids binary (32-bit)."""
     rows = spark.read.schema(CHUNK).parquet(path)
-    # one row for each shard: there are as many as the writer had tasks, and one shard holds many documents
-    totals = rows.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
-    base, at = {}, 0
-    for r in totals:
-        base[r["shard"]] = at
-        at += r["n"]
+    # one row for each shard: as many as the writer had tasks, each of many documents
+    totals = rows.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    before = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
 
     def docs(it):
         for b in it:
-            for r in b.to_pylist():
+            for k in range(b.num_rows):  # a chunk at a time: its ids are as many as it says, and no more are held
+                r = b.slice(k, 1).to_pylist()[0]
                 ids = unpack(r["sizes"], r["data"], r["n_ids"], r["planes"], r["block"])
                 starts = [0, *r["ends"][:-1]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array([base[r["shard"]] + r["start"] + s for s in starts], pa.int64()), pa.array([e - s for s, e in zip(starts, r["ends"], strict=True)], pa.int64()), pa.array([ids[s:e].tobytes() for s, e in zip(starts, r["ends"], strict=True)], pa.binary())],
+                    [pa.array(r["doc_ids"], pa.int64()), pa.array([r["base"] + r["start"] + s for s in starts], pa.int64()), pa.array([e - s for s, e in zip(starts, r["ends"], strict=True)], pa.int64()), pa.array([ids[s:e].tobytes() for s, e in zip(starts, r["ends"], strict=True)], pa.binary())],
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return rows.mapInArrow(docs, "doc_id long, start long, n_tokens long, ids binary")
+    return rows.join(before, "shard").mapInArrow(docs, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def with_crc32(docs: DataFrame, column: str = "ids") -> DataFrame:
@@ -171,10 +131,9 @@ def with_crc32(docs: DataFrame, column: str = "ids") -> DataFrame:
 def store_digest(documents: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
     """Write the store, read it back, and digest each document's ids."""
     spark = documents.sparkSession
+    store = path or scratch(spark, "token-store")
+    write_store(documents, store, tokenizer)
+    out = written(with_crc32(read_store(spark, store)).select("doc_id", "start", "n_tokens", "ids_crc32"), "token-digest")
     if path is None:
-        import uuid
-
-        path = f"{shared_dir(spark)}/lawengine-token-store-{uuid.uuid4().hex}"
-    write_store(documents, path, tokenizer)
-    return with_crc32(read_store(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
-
+        remove(spark, store)
+    return out
