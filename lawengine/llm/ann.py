@@ -12,7 +12,8 @@ nearest, so of a hot vector only those are scored.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part,
 nor do rows without an id. Rows of one id are one another's own row; the first of them asks. An empty table gives
-no rows. With fewer than k other rows, all of them are returned.
+no rows. With fewer than k other rows, all of them are returned. Scores are cosines in double precision, summed in NumPy's
+order of summation over a row.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import only_columns, written
+from .common import discard, only_columns, written
 
 #: Standard errors of the estimate that the bound allows for.
 EPSILON = 3.0
@@ -196,12 +197,20 @@ def search(rows: DataFrame, asks: Column, *, k: int = 5, id_column: str = "vec_i
             q, ids, score = _walk(batches, dim, rotate, qid, qvec, floors(), k)
             yield pa.RecordBatch.from_arrays([pa.array(qid[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
-        found.append(coded.mapInArrow(run, out))
+        # one block after the other: neither the driver nor the plan holds more than one
+        rows_near = written(coded.mapInArrow(run, out).distinct(), "near-rows")
+        found.append(written(_ranked(rows_near, k), "nearest"))
+        discard(rows_near)
+        shared.destroy()
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    discard(coded)
     near = found[0]
     for f in found[1:]:
         near = near.unionByName(f)
-    near = near.distinct()
+    return near
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -25,8 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import only_columns, written
+from .common import discard, only_columns, written
 from .near_dup import _mix, word_hashes
 
 MIN_WORDS, BLOCK = 50, 31
@@ -201,6 +202,8 @@ def repeats(documents: DataFrame, *, min_words: int = MIN_WORDS, block: int = BL
     # by doc_id and start as well, so that a group of any size is dealt out
     dealt = kept.repartitionByRange(parts, "key", "doc_id", "start").sortWithinPartitions("key")
     found = written(dealt.mapInArrow(lambda it: _groups(it, min_words), "doc_id long, start int, end int, n_words int, window long"), "matches")
+    discard(again, kept)
+    shared.destroy()
     open_ = found.filter("window is not null")
     twice = written(open_.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("window"), "repeated-windows")
     late = open_.filter("start is not null").join(twice, "window", "left_semi")
@@ -210,17 +213,11 @@ def repeats(documents: DataFrame, *, min_words: int = MIN_WORDS, block: int = BL
 
 def merged(spans: DataFrame) -> DataFrame:
     """One row for each document: spans that overlap or touch are one."""
-    one = spans.groupBy("doc_id").agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    joined = F.aggregate(
-        "spans",
-        empty,
-        lambda out, s: F.when(
-            (F.size(out) > 0) & (s["start"] <= F.element_at(out, -1)["end"]),
-            F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    return one.select("doc_id", "n_words", joined.alias("spans"))
+    along = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.distinct().withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    runs = new.withColumn("run", F.sum("new").over(along)).groupBy("doc_id", "run").agg(F.max("n_words").cast("long").alias("n_words"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def repeats_digest(documents: DataFrame) -> DataFrame:
