@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import only_columns
 
 BUCKETS = 1 << 15
-#: Documents of each language that are learned from, on average; a language with fewer is learned whole.
+#: Documents of each language that are learned from, on average, dealt row by row; a language with fewer is learned whole.
 SAMPLE = 3_000
 UNKNOWN = "und"
 _SPACE = np.arange(256, dtype=np.uint8)
@@ -49,7 +49,7 @@ def learn(documents: DataFrame, *, sample: int = SAMPLE) -> tuple[list[str], np.
     if not langs:
         return [], np.empty((BUCKETS, 0))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int((1 << 30) * min(1.0, sample / n[lang])))])
-    some = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
+    some = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample"), F.monotonically_increasing_id()), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
 
     def count(it):
         total: dict[str, np.ndarray] = {}
@@ -133,5 +133,6 @@ def held_out(doc_id):
 
 def cross_checked(documents: DataFrame) -> DataFrame:
     """Predictions for all documents, learned from those that are not held out."""
-    model = learn(documents.filter(~held_out(documents["doc_id"])))
+    known = only_columns(documents, "doc_id", "text", "lang")
+    model = learn(known.filter(~held_out(F.col("doc_id"))))
     return predict(documents, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "mixture")

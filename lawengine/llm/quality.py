@@ -7,8 +7,8 @@ grade, by which documents are chosen. Features: presence of each word (A-Z lower
 `min_docs` training documents or more have, and the shape of the text (its length, and shares of capitals, digits,
 symbols, bars, lines and repeated words), each in a few steps.
 
-The model is fitted on a bounded sample of labelled rows (`sample` on average); every document is scored on its
-whole text. Labels with a null in any column are not learned from. Without labels nothing is known, and every
+The model is fitted on a bounded sample of labelled rows (`sample` on average, however many rows a doc_id has here or
+there); every document is scored on its whole text. Labels with a null in any column are not learned from. Without labels nothing is known, and every
 document is of the highest grade. A null text is an empty one. Rows with one doc_id are judged each by its own
 text; an empty table gives no rows.
 """
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_columns
+from .common import numbered, only_columns, place_of, written
 
 BITS = 18
 SAMPLE = 8_000
@@ -109,16 +109,27 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Mod
     n = known.count()
     if not n:
         return None
-    share = int((1 << 30) * min(1.0, sample / n))
     grade = F.when(F.col("quality") <= 0, 0).when(F.col("toxic") > 0, 1).otherwise(2)
-    some = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < share).select("doc_id", grade.alias("grade"))
+
+    def dealt(df: DataFrame, rows: int) -> DataFrame:
+        """`sample` rows on average, dealt row by row: a doc_id of many rows is no more likely than others."""
+        share = int((1 << 30) * min(1.0, sample / max(rows, 1)))
+        return df.filter(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 30)) < share)
+
+    some = dealt(known, n).select("doc_id", grade.alias("grade"))
+    if n > sample:
+        some = written(some, "label-sample")  # what is dealt out by place is dealt out once
+    docs = only_columns(documents, "doc_id", "text")
+    met = docs.join(F.broadcast(some), "doc_id")
+    rows = docs.select("doc_id").join(F.broadcast(some), "doc_id").count()  # texts of one doc_id may be many
+    met = (met if rows <= 2 * sample else dealt(met, rows)).select("grade", "text")
 
     def run(it):
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([features(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], ["grade", "features"])
 
     # the sample is bounded by its parameter, and so are the rows that come back
-    met = only_columns(documents, "doc_id", "text").join(F.broadcast(some), "doc_id").select("grade", "text").mapInArrow(run, "grade int, features binary").toArrow()
+    met = met.mapInArrow(run, "grade int, features binary").toArrow()
     if not met.num_rows:
         return None
     return train([np.frombuffer(x, np.int32) for x in met.column("features").to_pylist()], met.column("grade").to_numpy().astype(int))
@@ -147,10 +158,10 @@ def score(documents: DataFrame, model: Model | None, *, least: float = 0.5) -> D
 def accepted(documents: DataFrame, model: Model | None, *, least: float = 0.5) -> DataFrame:
     """The rows of documents, all columns, whose probability of the highest grade is `least` or more."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    at = [i for i, c in enumerate(documents.columns) if c == "text"][0]
+    at, rows = place_of(documents, "text"), numbered(documents)
 
     def run(it):
         for b in it:
             yield b.filter(pa.array(_tails(b.column(at), shared.value)[:, -1] >= least))
 
-    return documents.mapInArrow(run, documents.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*documents.columns)
