@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import ieee
+from . import ieee, ranges
 
 NAN = float("nan")
 
@@ -54,32 +54,9 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when(ok, F.covar_pop(x, y) / F.when(ok, F.sqrt(vx) * F.sqrt(vy))).otherwise(NAN)
 
 
-def ranks(df: DataFrame, *names: str) -> DataFrame:
-    """Average ranks, as `rank_<name>`, of columns over the whole frame.
-
-    A global order takes no single task here: the values' counts are cumulated over ranges of the sorted values, and
-    each row looks its value up. The frame must give the same rows when it is read again.
-    """
-    for name in names:
-        counts = df.groupBy(F.col(name).alias("_v")).agg(F.count("*").alias("_n"))
-        low, high = counts.agg(F.min("_v"), F.max("_v")).first()
-        if low is None:
-            return df.withColumn(f"rank_{name}", F.lit(None).cast("double"))
-        width = (high - low) / 256 or 1.0
-        slot = F.least(F.floor((F.col("_v") - low) / width), F.lit(255))
-        counts = counts.withColumn("_slot", slot)
-        inside = F.sum("_n").over(Window.partitionBy("_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
-        slots = counts.groupBy("_slot").agg(F.sum("_n").alias("_all"))  # 256 rows at most
-        slots = slots.withColumn("_before", F.sum("_all").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)))
-        table = counts.withColumn("_in", F.coalesce(inside, F.lit(0))).join(F.broadcast(slots.select("_slot", "_before")), "_slot")
-        table = table.select(F.col("_v"), (F.coalesce("_before", F.lit(0)) + F.col("_in") + (F.col("_n") + 1) / 2).alias(f"rank_{name}"))
-        df = df.join(table, df[name] == F.col("_v")).drop("_v")
-    return df
-
-
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     pairs = df.select(ieee.number(F.col(x)).alias("x"), ieee.number(F.col(y)).alias("y")).filter(ieee.finite(F.col("x")) & ieee.finite(F.col("y")))
-    return ranks(pairs, "x", "y").agg(pearson(F.col("rank_x"), F.col("rank_y")).alias("spearman"), pearson(F.col("x"), F.col("y")).alias("pearson"), F.count("*").alias("n"))
+    return ranges.ranks(pairs, "x", "y").agg(pearson(F.col("rank_x"), F.col("rank_y")).alias("spearman"), pearson(F.col("x"), F.col("y")).alias("pearson"), F.count("*").alias("n"))
 
 
 def bundle(y: Column, p: Column, k: int) -> list[Column]:
@@ -114,20 +91,15 @@ def benchmark(y: Column, p: Column) -> list[Column]:
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b of values on a coarse grid, exactly: pairs of different grid cells are counted, not rows.
-
-    The values are counted by (x, y) first, so that equal pairs are one cell; different cells are all compared.
-    """
-    cells = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.count("*").alias("n"))
-    a, b = cells.alias("a"), cells.alias("b")
-    sign = F.signum((F.col("a.x") - F.col("b.x")) * (F.col("a.y") - F.col("b.y")))
-    w = F.col("a.n") * F.col("b.n")
-    # a stated set of cells against all of them, in Spark's blocks; ties come from the margins
-    met = a.join(b, F.col("a.x") < F.col("b.x")).agg(F.coalesce(F.sum(sign * w), F.lit(0.0)).alias("s"))
-    n = cells.agg(F.sum("n").alias("n"))
-    ties = lambda c: cells.groupBy(c).agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias(f"t{c}"))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    return met.crossJoin(n).crossJoin(ties("x")).crossJoin(ties("y")).select((F.col("s") / F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty")))).alias("kendall_tau"))
+    """Kendall's tau-b, exactly: n log n work in ranges of the values, and ties from the margins."""
+    finite = lambda c: F.when(ieee.finite(F.col(c).cast("double")), F.col(c).cast("double"))
+    pairs = df.select(finite(x).alias("x"), finite(y).alias("y")).dropna()
+    s = ranges.concordance(pairs)
+    n = pairs.agg(F.count("*").alias("n"))
+    ties = lambda c: pairs.groupBy(c).agg(F.count("*").alias("m")).agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0)).alias(f"t{c}"))
+    all_ = F.col("n") * (F.col("n") - 1) / 2
+    bottom = F.sqrt((all_ - F.col("tx")) * (all_ - F.col("ty")))
+    return n.crossJoin(ties("x")).crossJoin(ties("y")).select(F.when(bottom > 0, F.lit(s) / F.when(bottom > 0, bottom)).otherwise(NAN).alias("kendall_tau"))  # one row each
 
 
 def close(p: Column, t: Column, *, atol: float = 1e-8, rtol: float = 1e-6) -> Column:

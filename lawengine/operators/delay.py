@@ -6,23 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import ranges
+
 NAN = float("nan")
+#: Blocks of time that a series without a key is cut into.
+BLOCKS = 64
 
 
 def delay(df: DataFrame, value: str, lag: Column | float, *, time: str, by: tuple[str, ...] = (), name: str = "delayed") -> DataFrame:
     """df with the value at time - lag; NaN outside of the series. by: the columns that tell series apart.
 
     Questions and samples are one sorted stream: at each question the last sample before it and the first after it
-    are at hand. Series of one key are sorted in one task; give `by` (or time in blocks) for long ones.
+    are at hand. A series without `by` is cut into blocks of time, each of which gets the samples next to it.
     """
     lag = lag if isinstance(lag, Column) else F.lit(float(lag))
     rows = df.withColumn("_q", F.col(time).cast("double") - lag)
     plain = [F.col(c) for c in by]
-    samples = rows.select(*plain, F.col(time).cast("double").alias("_t"), F.lit(0).alias("_ask"), F.col(value).cast("double").alias("_x"), F.lit(None).cast(rows.select(F.struct("*").alias("r")).schema["r"].dataType).alias("_row"))
+    kind = rows.select(F.struct("*").alias("r")).schema["r"].dataType
+    samples = rows.select(*plain, F.col(time).cast("double").alias("_t"), F.lit(0).alias("_ask"), F.col(value).cast("double").alias("_x"), F.lit(None).cast(kind).alias("_row"))
     asks = rows.select(*plain, F.col("_q").alias("_t"), F.lit(1).alias("_ask"), F.lit(None).cast("double").alias("_x"), F.struct("*").alias("_row"))
     point = F.when(F.col("_ask") == 0, F.struct(F.col("_t").alias("t"), F.col("_x").alias("x")))
-    w = Window.partitionBy(*by).orderBy("_t", "_ask")
-    met = samples.unionByName(asks).withColumns(
+    stream, keys = samples.unionByName(asks), list(by)
+    if not by:
+        stream, keys = _in_blocks(stream, samples, kind), ["_block"]
+    w = Window.partitionBy(*keys).orderBy("_t", "_ask")
+    met = stream.withColumns(
         {"_lo": F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_hi": F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))}
     )
     lo, hi = F.col("_lo"), F.col("_hi")
@@ -31,6 +39,24 @@ def delay(df: DataFrame, value: str, lag: Column | float, *, time: str, by: tupl
     return met.filter("_ask = 1").select("_row.*", F.coalesce(between, F.lit(NAN)).alias(name)).drop("_q")
 
 
+def _in_blocks(stream: DataFrame, samples: DataFrame, kind) -> DataFrame:
+    """The stream with its block of time, and in each block the last sample before it and the first after it, too."""
+    at = ranges.cuts(samples, "_t", parts=BLOCKS)["_t"]
+    place = lambda df: ranges.place(df, "_t", at, "_block").withColumn("_block", F.floor(F.col("_block") / 2).cast("int"))
+    ends = place(samples).groupBy("_block").agg(F.min(F.struct("_t", "_x")).alias("first"), F.max(F.struct("_t", "_x")).alias("last")).collect()  # a row for each block
+    held = {r["_block"]: (tuple(r["first"]), tuple(r["last"])) for r in ends}
+    more = []
+    for b in range(len(at) + 1):
+        before, after = [k for k in held if k < b], [k for k in held if k > b]
+        if before:
+            more.append((b, *held[max(before)][1]))
+        if after:
+            more.append((b, *held[min(after)][0]))
+    edges = samples.sparkSession.createDataFrame(more, "_block int, _t double, _x double")
+    edges = edges.select("_t", F.lit(0).alias("_ask"), "_x", F.lit(None).cast(kind).alias("_row"), "_block")
+    return place(stream).unionByName(edges)
+
+
 def by_step(df: DataFrame, value: str, steps: int, *, order: str, by: tuple[str, ...] = (), name: str = "delayed") -> DataFrame:
     """The value some rows ago: for series of equal steps."""
     return df.withColumn(name, F.coalesce(F.lag(F.col(value).cast("double"), steps).over(Window.partitionBy(*by).orderBy(order)), F.lit(NAN)))

@@ -10,7 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ieee, metrics
+from ..functions import ieee, metrics, ranges
+from ..functions.chance import digest
 from ..plans.indexed import Graph, evaluate
 from ..plans.lower import bind_parameters, count_parameters, fold_constants, parameter_values
 from ..plans.nodes import Expr, Symbol
@@ -67,10 +68,13 @@ class GraphEvaluator:
     fraction: float = 0.2
 
     def split(self) -> tuple[Graph, Graph]:
-        n = self.graph.nodes.select("sample").distinct().count()
+        samples = self.graph.nodes.select("sample").distinct()
+        n = samples.count()
         bound = n - int(round(n * self.fraction))
-        order = self.graph.nodes.select("sample").distinct().orderBy("sample").collect()  # one row for each sample
-        cut = order[bound]["sample"] if bound < n else None
+        cut = None
+        if 0 < bound < n:  # the first sample that is validated on
+            share = bound / (n - 1)
+            cut = ranges.order_statistics(samples, {"s": (F.col("sample"), [share])})["s"]["at"][share][0]
         keep = lambda early: F.col("sample") < cut if early else F.col("sample") >= cut
 
         def part(early: bool) -> Graph:
@@ -91,6 +95,10 @@ class GraphEvaluator:
             out[name] = got.agg(*metrics.bundle(F.col("_y"), F.col("value"), count_parameters(formula))).first().asDict()
         return out
 
+    def fit(self, formula: Expr, **options) -> nonlinear.FitResult:
+        """All parameters of a formula, on the train samples."""
+        return nonlinear.fit(formula, self.split()[0], self.target, **options)
+
     def fit_linear(self, formula: Expr, name: str) -> Expr:
         """One parameter that the formula is proportional to, by least squares on the train samples."""
         train, _ = self.split()
@@ -147,5 +155,5 @@ def call(name: str, **arguments) -> dict:
 
 def subsample(df: DataFrame, n: int, *, seed: int = 42, key: str | None = None) -> DataFrame:
     """n rows without replacement, in a random order that key and seed fix: a top-k, no global sort."""
-    order = F.xxhash64(F.col(key), F.lit(seed)) if key else F.rand(seed)
+    order = digest(F.col(key), seed) if key else F.rand(seed)
     return df.withColumn("_order", order).orderBy("_order").limit(n).drop("_order")

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 from fractions import Fraction
-from itertools import combinations_with_replacement, product
+from itertools import combinations, combinations_with_replacement, product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ieee
+from ..functions.chance import chance
 from .profile import _column
 
 
@@ -87,30 +88,36 @@ def without(total: Gram, part: Gram) -> Gram:
     return Gram(total.names, n, total.mean + shift * total.scale, total.scale, m - n * np.outer(shift, shift), np.zeros_like(low))
 
 
-def t_quantile(p: float, dof: float) -> float:
-    """Student's t, by halving on its distribution function (the incomplete beta function as a continued fraction)."""
-
-    def beta(x: float, a: float, b: float) -> float:
-        if x <= 0 or x >= 1:
-            return float(x >= 1)
-        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-        if x > (a + 1) / (a + b + 2):
-            return 1 - beta(1 - x, b, a)
-        tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / (d or tiny)
-        h = d
-        for m in range(1, 300):
-            for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d, c = 1 / ((1 + t * d) or tiny), (1 + t / c) or tiny
-                h *= c * d
-            if abs(c * d - 1) < 1e-15:
-                break
-        return front * h / a
+def _beta(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, as a continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(1 - x, b, a)
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d or tiny)
+    h = d
+    for m in range(1, 300):
+        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / ((1 + t * d) or tiny), (1 + t / c) or tiny
+            h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * h / a
+
+
+def t_tails(t: float, dof: float) -> float:
+    """Probability that Student's t is further from zero than t."""
+    return math.nan if math.isnan(t) else _beta(dof / (dof + t * t), dof / 2, 0.5) if math.isfinite(t) else 0.0
 
+
+def t_quantile(p: float, dof: float) -> float:
+    """Student's t, by halving on its distribution function."""
     lo, hi = 0.0, 1e4
     for _ in range(200):
         mid = (lo + hi) / 2
-        if 1 - 0.5 * beta(dof / (dof + mid * mid), dof / 2, 0.5) < p:
+        if 1 - 0.5 * t_tails(mid, dof) < p:
             lo = mid
         else:
             hi = mid
@@ -120,15 +127,25 @@ def t_quantile(p: float, dof: float) -> float:
 # polynomials
 
 
-def monomials(features: list[str], degree: int, *, interactions: bool = True) -> list[tuple[int, ...]]:
+def allowed_pairs(features: list[str], *, interactions: bool = True, only: list[tuple[str, str]] | None = None, never: list[tuple[str, str]] | None = None) -> set[tuple[str, str]]:
+    """Pairs of features that may stand in one term, as sorted pairs: all of them, or those of `only`, less those of `never`."""
+    if not interactions:
+        return set()
+    pairs = {tuple(sorted(p)) for p in combinations(features, 2)}
+    if only is not None:
+        pairs &= {tuple(sorted(p)) for p in only}
+    return pairs - {tuple(sorted(p)) for p in never or ()}
+
+
+def monomials(features: list[str], degree: int, *, interactions: bool = True, only: list[tuple[str, str]] | None = None, never: list[tuple[str, str]] | None = None) -> list[tuple[int, ...]]:
     """Powers in order of total degree, then of the powers themselves; the constant is left out."""
-    out = []
+    pairs = allowed_pairs(features, interactions=interactions, only=only, never=never)
+    out = set()
     for d in range(1, degree + 1):
         for pick in combinations_with_replacement(range(len(features)), d):
-            powers = tuple(pick.count(i) for i in range(len(features)))
-            if interactions or sum(p > 0 for p in powers) == 1:
-                out.append(powers)
-    return sorted(set(out), key=lambda p: (sum(p), p))
+            if all(tuple(sorted((features[i], features[j]))) in pairs for i, j in combinations(sorted(set(pick)), 2)):
+                out.add(tuple(pick.count(i) for i in range(len(features))))
+    return sorted(out, key=lambda p: (sum(p), p))
 
 
 def monomial(features: list[Column], powers: tuple[int, ...]) -> Column:
@@ -143,28 +160,63 @@ def _name(features: list[str], powers: tuple[int, ...]) -> str:
     return "*".join(f if p == 1 else f"{f}**{p}" for f, p in zip(features, powers, strict=True) if p) or "1"
 
 
-def polynomial_fit(df: DataFrame, features: list[str], target: str, *, degree: int = 2, interactions: bool = True, prune: bool = True) -> dict:
-    """Least squares on monomials, with standard errors; terms go whose removal doesn't raise the error."""
+def polynomial_fit(df: DataFrame, features: list[str], target: str, *, degree: int = 2, interactions: bool = True, only: list[tuple[str, str]] | None = None, never: list[tuple[str, str]] | None = None, intercept: bool = True, prune: bool = True) -> dict:
+    """Least squares on monomials, with standard errors, t and p values of the full fit, and what was pruned.
+
+    Terms are pruned together, round by round: those whose contribution (coefficient times monomial) is negligible both in
+    root mean square (1e-6 of the target's) and at most (1e-5 of it), as long as the refitted error grows by no more
+    than 1e-6 of the target's root mean square. The last term is never pruned.
+    """
     cols = [_column(f) for f in features]
-    terms = monomials(features, degree, interactions=interactions)
-    g = gram(df, {_name(features, p): monomial(cols, p) for p in terms} | {"_target": _column(target)})
-    use = list(range(len(terms)))
-    c, left = g.solve(use)
-    size = math.sqrt(g.moments[-1, -1] / g.n + (g.mean[-1] / g.scale[-1]) ** 2) * g.scale[-1]
-    while prune and use:
-        share = [abs(v) * g.scale[i] for v, i in zip(c, use, strict=False)]
-        k = int(np.argmin(share))
-        fewer = use[:k] + use[k + 1 :]
-        c2, left2 = g.solve(fewer)
-        if share[k] > 1e-6 * size or math.sqrt(left2 / g.n) - math.sqrt(left / g.n) > 1e-6 * size:
+    terms = monomials(features, degree, interactions=interactions, only=only, never=never)
+    named = {_name(features, p): monomial(cols, p) for p in terms}
+    target_column = _column(target)
+    g = gram(df, named | {"_target": target_column})
+    names = [*named]
+    largest = df.select(*[c.alias(f"_x{i}") for i, c in enumerate([*named.values(), target_column])])
+    ok = ieee.finite(F.col("_x0"))
+    for i in range(1, len(names) + 1):
+        ok = ok & ieee.finite(F.col(f"_x{i}"))
+    top = largest.filter(ok).agg(*[F.max(F.abs(f"_x{i}")).alias(f"m{i}") for i in range(len(names))]).first()
+    rms = lambda i: math.sqrt(max(g.moments[i, i] / g.n + (g.mean[i] / g.scale[i]) ** 2, 0.0)) * g.scale[i]
+    use, size = list(range(len(names))), max(rms(len(names)), 2.220446049250313e-16)
+    c, left = g.solve(use, intercept=intercept)
+    p = len(use) + intercept
+    dof = g.n - p
+    m = g.moments if intercept else g.moments + g.n * np.outer(g.mean / g.scale, g.mean / g.scale)
+    inverse = np.linalg.pinv(m[np.ix_(use, use)]) if use else np.zeros((0, 0))
+    spread = left / dof if dof > 0 else math.nan
+    errors = {names[i]: math.sqrt(max(spread * inverse[k, k], 0.0)) / g.scale[i] if dof > 0 else math.nan for k, i in enumerate(use)}
+    if intercept:
+        at = g.mean[use] / g.scale[use]
+        errors["1"] = math.sqrt(max(spread * (1 / g.n + at @ inverse @ at), 0.0)) if dof > 0 else math.nan
+    full = {names[i]: float(v) for i, v in zip(use, c, strict=False)} | ({"1": float(c[-1])} if intercept else {})
+    t = {n: v / errors[n] if errors[n] else math.copysign(math.inf, v) if v else math.nan for n, v in full.items()}
+    removed: list[dict] = []
+    constant = intercept
+    while prune:
+        share = {i: (abs(v) * rms(i), abs(v) * top[f"m{i}"]) for i, v in zip(use, c, strict=False)}
+        gone = [i for i, (r, most) in share.items() if r <= 1e-6 * size and most <= 1e-5 * size]
+        drop = constant and abs(c[-1]) <= 1e-6 * size
+        if len(gone) == len(use) and (drop or not constant):  # one has to stay
+            keep = max([*share, *[None] * drop], key=lambda i: abs(c[-1]) if i is None else share[i][0])
+            gone, drop = [i for i in gone if i != keep], drop and keep is not None
+        if not gone and not drop:
             break
-        use, c, left = fewer, c2, left2
-    dof = max(g.n - len(use) - 1, 1)
-    inverse = np.linalg.pinv(g.moments[np.ix_(use, use)]) if use else np.zeros((0, 0))
-    errors = [math.sqrt(max(left / dof * inverse[k, k], 0)) / g.scale[i] for k, i in enumerate(use)]
-    named = {g.names[i]: float(v) for i, v in zip(use, c, strict=False)}
-    text = " + ".join([repr(float(c[-1])), *(f"{v!r} * {n}" for n, v in named.items())])
-    return {"coefficients": named | {"1": float(c[-1])}, "std_errors": dict(zip(named, errors, strict=True)), "rmse": math.sqrt(left / g.n), "rank": g.rank, "n": g.n, "formula": text}
+        fewer = [i for i in use if i not in gone]
+        c2, left2 = g.solve(fewer, intercept=constant and not drop)
+        if math.sqrt(left2 / g.n) > math.sqrt(left / g.n) + 1e-6 * size:
+            break
+        removed += [{"term": names[i], "coefficient": float(v), "rms": share[i][0], "largest": share[i][1]} for i, v in zip(use, c, strict=False) if i in gone]
+        if drop:
+            removed.append({"term": "1", "coefficient": float(c[-1]), "rms": abs(float(c[-1])), "largest": abs(float(c[-1]))})
+        use, c, left, constant = fewer, c2, left2, constant and not drop
+    found = {names[i]: float(v) for i, v in zip(use, c, strict=False)}
+    text = " + ".join([*([repr(float(c[-1]))] if constant else []), *(f"{v!r} * {n}" for n, v in found.items())]) or "0.0"
+    return {
+        "coefficients": found | ({"1": float(c[-1])} if constant else {}), "std_errors": errors, "t": t, "p": {n: t_tails(v, max(dof, 1)) for n, v in t.items()},
+        "rmse": math.sqrt(left / g.n), "rank": g.rank, "deficient": g.rank < len(names), "n": g.n, "removed": removed, "formula": text,
+    }
 
 
 # power laws
@@ -207,8 +259,7 @@ def rational_fit(df: DataFrame, x: str, y: str, *, degrees: int = 2, key: str |
     """P(x) / Q(x) with Q(0) = 1, linearised, over a grid of degrees; chosen by the error on held-out rows, plus a
     penalty for each term. Alternatives within 5 % are kept; a denominator that changes sign or vanishes is told."""
     a, t = _column(x), _column(y)
-    rows = df.select(a.alias("x"), t.alias("y"), (F.xxhash64(key) if key else F.xxhash64("x", "y") if {"x", "y"} <= set(df.columns) else F.xxhash64(a, t)).alias("h"))
-    rows = rows.withColumn("held", F.pmod("h", F.lit(1000)) < int(held * 1000)).drop("h")
+    rows = df.select(a.alias("x"), t.alias("y"), (chance(F.col(key) if key else F.concat_ws(",", a, t)) < held).alias("held"))
     train = rows.filter(~F.col("held"))
     cols = {f"x{k}": F.pow("x", F.lit(float(k))) for k in range(1, degrees + 1)} | {f"yx{k}": -F.col("y") * F.pow("x", F.lit(float(k))) for k in range(1, degrees + 1)} | {"_y": F.col("y")}
     g = gram(train, cols)
@@ -270,25 +321,59 @@ def polynomial_library(features: list[str], degree: int = 2, *, frequencies: int
     return out
 
 
-def harmonic_fit(df: DataFrame, x: str, t: str, y: str, *, frequencies: list[float], refine: int = 8) -> dict:
-    """y = a + b x + c x sin(w t): all frequencies of the grid are tried in one aggregate, then finer grids around the best."""
-    best: dict = {}
+def harmonic_fit(df: DataFrame, x: str, t: str, y: str, *, degree: int = 1, intercept: bool = True, frequencies: list[float] | None = None, cycles: float = 20.0, grid: int = 320, best: int = 8, refine: int = 12) -> dict:
+    """y = a + sum of b_k x^k + c x sin(w t), k up to degree; omega, a, powers (the b_k; b is the first), c and rmse.
+
+    The frequencies of a grid (a quarter of a cycle over the range of t up to `cycles` of them, if none are given) are tried in one
+    pass or a few; then the `best` of those that beat their neighbours are refined together, each in a bracket of nine
+    points that is a quarter as wide every time; after two times the best one alone.
+    """
     a, s, v = _column(x), _column(t), _column(y)
     rows = df.select(a.alias("x"), s.alias("s"), v.alias("y")).filter(ieee.finite(F.col("x")) & ieee.finite(F.col("s")) & ieee.finite(F.col("y")))
-    for _ in range(refine + 1):
-        sums = []
-        for i, w in enumerate(frequencies):
-            h = F.col("x") * F.sin(F.col("s") * float(w))
-            sums += [F.sum(h).alias(f"h{i}"), F.sum(h * h).alias(f"hh{i}"), F.sum(h * F.col("x")).alias(f"hx{i}"), F.sum(h * F.col("y")).alias(f"hy{i}")]
-        one = [F.count("*").alias("n"), *[F.sum(F.expr(e)).alias(n) for n, e in (("x", "x"), ("xx", "x * x"), ("xy", "x * y"), ("y", "y"), ("yy", "y * y"))]]
-        r = rows.agg(*one, *sums).first()
-        for i, w in enumerate(frequencies):
-            m = np.array([[r["xx"], r[f"hx{i}"], r["x"]], [r[f"hx{i}"], r[f"hh{i}"], r[f"h{i}"]], [r["x"], r[f"h{i}"], r["n"]]], dtype=float)
-            q = np.array([r["xy"], r[f"hy{i}"], r["y"]], dtype=float)
-            c = np.linalg.lstsq(m, q, rcond=1e-13)[0]
-            left = max(float(r["yy"] - 2 * c @ q + c @ m @ c), 0.0)
-            if not best or left < best["left"]:
-                best = {"omega": float(w), "b": float(c[0]), "c": float(c[1]), "a": float(c[2]), "left": left, "rmse": math.sqrt(left / r["n"])}
-        step = (frequencies[1] - frequencies[0]) if len(frequencies) > 1 else 0.0
-        frequencies = [best["omega"] + step * k / 4 for k in range(-4, 5)] if step else [best["omega"]]
-    return best
+    scale = rows.agg(F.max(F.abs("x")).alias("x"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("n")).first()
+    if not scale["n"] or scale["n"] < degree + 4 or scale["lo"] == scale["hi"]:
+        raise ValueError("too few rows, or a constant phase")
+    if frequencies is None:
+        span = scale["hi"] - scale["lo"]
+        frequencies = np.linspace(math.pi / (2 * span), 2 * math.pi * max(cycles, 0.5) / span, grid).tolist()
+    size = scale["x"] or 1.0
+    z = F.col("x") / size
+    base = ([F.lit(1.0)] if intercept else []) + [F.pow(z, F.lit(float(k))) for k in range(1, degree + 1)]
+    plain = [(f"p{i}_{j}", F.sum(base[i] * base[j])) for i in range(len(base)) for j in range(i, len(base))] + [(f"q{i}", F.sum(b * F.col("y"))) for i, b in enumerate(base)]
+    fixed = rows.agg(F.sum(F.col("y") * F.col("y")).alias("yy"), *[c.alias(k) for k, c in plain]).first()
+    seen: dict[float, dict] = {}
+
+    def tried(at: list[float], chunk: int = 40) -> None:
+        for lo in range(0, len(at), chunk):
+            sums = []
+            for i, w in enumerate(at[lo : lo + chunk]):
+                h = z * F.sin(F.col("s") * float(w))
+                sums += [F.sum(h * h).alias(f"h{i}"), F.sum(h * F.col("y")).alias(f"y{i}"), *[F.sum(h * b).alias(f"b{i}_{k}") for k, b in enumerate(base)]]
+            r = rows.agg(*sums).first()
+            for i, w in enumerate(at[lo : lo + chunk]):
+                n = len(base)
+                m, q = np.zeros((n + 1, n + 1)), np.array([*[fixed[f"q{k}"] for k in range(n)], r[f"y{i}"]])
+                for j in range(n):
+                    m[j, n] = m[n, j] = r[f"b{i}_{j}"]
+                    for k in range(j, n):
+                        m[j, k] = m[k, j] = fixed[f"p{j}_{k}"]
+                m[n, n] = r[f"h{i}"]
+                d = np.sqrt(np.maximum(np.diag(m), 1e-300))
+                c = np.linalg.lstsq(m / np.outer(d, d), q / d, rcond=1e-13)[0] / d
+                seen[w] = {"left": max(float(fixed["yy"] - 2 * c @ q + c @ m @ c), 0.0), "c": c}
+
+    tried(frequencies)
+    left = [seen[w]["left"] for w in frequencies]
+    low = [i for i in range(len(frequencies)) if left[i] <= min(left[max(i - 1, 0)], left[min(i + 1, len(left) - 1)])]
+    centres = [frequencies[i] for i in sorted(low, key=lambda i: left[i])[:best]]
+    step = (frequencies[1] - frequencies[0]) if len(frequencies) > 1 else 0.0
+    for k in range(refine if step else 0):
+        centres = centres if k < 2 else [min(centres, key=lambda w: seen[w]["left"])]  # by then the brackets are narrow enough to tell
+        at = [[w + step * i / 4 for i in range(-4, 5)] for w in centres]
+        tried([w for own in at for w in own if w not in seen])
+        centres = [min(own, key=lambda w: seen[w]["left"]) for own in at]
+        step /= 4
+    omega = min(seen, key=lambda w: seen[w]["left"])
+    c = seen[omega]["c"]
+    powers = [float(v) / size**k for k, v in enumerate(c[int(intercept) : -1], 1)]
+    return {"omega": float(omega), "a": float(c[0]) if intercept else 0.0, "b": powers[0], "powers": powers, "c": float(c[-1]) / size, "left": seen[omega]["left"], "rmse": math.sqrt(seen[omega]["left"] / scale["n"])}

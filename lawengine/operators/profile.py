@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ieee, metrics
+from ..functions import ieee, metrics, ranges
 from ..plans.nodes import Expr
 
 EPS = 2.220446049250313e-16
@@ -23,34 +23,43 @@ def long(df: DataFrame, variables: dict[str, object], *keep: str) -> DataFrame:
 
 
 def summary(df: DataFrame, variables: dict[str, object], *, near_zero: tuple[float, ...] = ()) -> DataFrame:
-    """One row for each variable: counts of kinds of numbers, and moments and exact quartiles of the finite ones."""
-    x = F.col("value")
-    v = F.when(ieee.finite(x), x)
-    levels = tuple(dict.fromkeys([*near_zero, *DEFAULT_NEAR_ZERO]))
-    n = F.count(v)
-    share = lambda c: c / F.when(n > 0, n)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long(df, variables).groupBy("variable").agg(
-        F.count("*").alias("n"),
-        n.alias("finite"),
-        F.count_if(x == ieee.INF).alias("pos_inf"),
-        F.count_if(x == -ieee.INF).alias("neg_inf"),
-        F.count_if(F.isnan(x)).alias("nan"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.avg(v).alias("mean"),
-        F.var_pop(v).alias("variance"),
-        F.stddev_pop(v).alias("std"),
-        q[0].alias("q1"),
-        q[1].alias("median"),
-        q[2].alias("q3"),
-        F.count_if(v > 0).alias("positive"),
-        F.count_if(v < 0).alias("negative"),
-        F.count_if(v == 0).alias("zero"),
-        share(F.count_if(v > 0)).alias("positive_ratio"),
-        share(F.count_if(v < 0)).alias("negative_ratio"),
-        *[F.count_if(F.abs(v) <= t).alias(f"near_zero_{k}") for k, t in enumerate(levels)],
-    )
+    """One row for each variable: counts of kinds of numbers, and moments and exact quartiles of the finite ones.
+
+    All variables' moments come from one wide aggregate, a few variables at a time, and quartiles from order statistics.
+    """
+    spark, levels = df.sparkSession, tuple(dict.fromkeys([*near_zero, *DEFAULT_NEAR_ZERO]))
+    rows = df.select(*[_column(c).alias(f"v{i}") for i, c in enumerate(variables.values())])
+    names = list(variables)
+
+    def of(i: int) -> list[Column]:
+        x = F.col(f"v{i}")
+        v = F.when(ieee.finite(x), x)
+        n = F.count(v)
+        share = lambda c: c / F.when(n > 0, n)
+        return [
+            F.count("*").alias("n"),
+            n.alias("finite"),
+            F.count_if(x == ieee.INF).alias("pos_inf"),
+            F.count_if(x == -ieee.INF).alias("neg_inf"),
+            F.count_if(F.isnan(x)).alias("nan"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
+            F.avg(v).alias("mean"),
+            F.var_pop(v).alias("variance"),
+            F.stddev_pop(v).alias("std"),
+            F.count_if(v > 0).alias("positive"),
+            F.count_if(v < 0).alias("negative"),
+            F.count_if(v == 0).alias("zero"),
+            share(F.count_if(v > 0)).alias("positive_ratio"),
+            share(F.count_if(v < 0)).alias("negative_ratio"),
+            *[F.count_if(F.abs(v) <= t).alias(f"near_zero_{k}") for k, t in enumerate(levels)],
+        ]
+
+    found = rows.agg(F.array(*[F.struct(F.lit(n).alias("variable"), *of(i)) for i, n in enumerate(names)]).alias("all")).select(F.inline("all"))
+    q = ranges.quantiles(rows, {n: (F.when(ieee.finite(F.col(f"v{i}")), F.col(f"v{i}")), [0.25, 0.5, 0.75]) for i, n in enumerate(names)})
+    quartiles = spark.createDataFrame([(n, *q[n]) for n in names], "variable string, q1 double, median double, q3 double")  # a row for each variable
+    order = [c for c in found.columns[: found.columns.index("std") + 1]] + ["q1", "median", "q3"] + found.columns[found.columns.index("std") + 1 :]
+    return found.join(F.broadcast(quartiles), "variable").select(*order)
 
 
 def histogram(df: DataFrame, variables: dict[str, object], *, bins: int = 10) -> DataFrame:
@@ -74,7 +83,7 @@ def edges(pairs: DataFrame, bins: int, method: str = "quantile") -> list[float]:
     """Interior edges of bins of x: of equal counts (equal edges are one), or of equal widths."""
     if method == "quantile":
         at = [i / bins for i in range(bins + 1)]
-        q = pairs.agg(F.percentile("x", F.array(*map(F.lit, at))).alias("q")).first()["q"] or []
+        q = [v for v in ranges.quantiles(pairs, {"x": (F.col("x"), at)})["x"] if v is not None]
     else:
         lo, hi = pairs.agg(F.min("x"), F.max("x")).first()
         q = [] if lo is None else [lo + (hi - lo) * i / bins for i in range(bins + 1)]
@@ -111,11 +120,136 @@ def collapse(df: DataFrame, x, y, key: str, *, bins: int = 10, folds: int = 5) -
     return met.agg(F.max("tn").alias("n"), F.when(spread > 0, 1 - left / F.when(spread > 0, spread)).otherwise(float("nan")).alias("cv_r2"))
 
 
-def correlations(df: DataFrame, target, features: dict[str, object]) -> DataFrame:
-    """Pearson correlation of each feature with the target, over jointly finite rows, in one pass."""
+def correlations(df: DataFrame, target, features: dict[str, object], *, top: int | None = None) -> DataFrame:
+    """Pearson correlation of each feature with the target, over jointly finite rows, in one pass; the `top` strongest, if asked."""
     y = _column(target)
     pairs = long(df.withColumn("_y", y), features, "_y").filter(ieee.finite(F.col("value")) & ieee.finite(F.col("_y")))
-    return pairs.groupBy("variable").agg(F.count("*").alias("n"), metrics.pearson(F.col("value"), F.col("_y")).alias("pearson"))
+    found = pairs.groupBy("variable").agg(F.count("*").alias("n"), metrics.pearson(F.col("value"), F.col("_y")).alias("pearson"))
+    return found if top is None else found.filter(~F.isnan("pearson")).orderBy(F.desc(F.abs("pearson")), "variable").limit(top)
+
+
+def folded(df: DataFrame, x, y, key: str, folds: int, *keep: str) -> DataFrame:
+    return finite_pairs(df, x, y, key, *keep).withColumn("fold", F.pmod(F.col(key), F.lit(folds)))
+
+
+def cross_fitted(df: DataFrame, x, y, key: str, *keep: str, model: str = "bins", bins: int = 10, folds: int = 5, knots: int = 12) -> DataFrame:
+    """x, y, fold, prediction (and key, keep): each row predicted by a model of y on x that was fitted to the other folds (key mod folds).
+
+    bins: the mean of the row's bin. isotonic: Spark's isotonic regression, rising or falling as the rank correlation of the
+    other folds. spline: a cubic spline with knots at quantiles, by least squares on local B-splines.
+    """
+    rows = folded(df, x, y, key, folds, *keep)
+    if model == "bins":
+        at = binned(rows, edges(rows, bins))
+        own = at.groupBy("bin", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("s"))  # bins x folds rows
+        in_bin = own.groupBy("bin").agg(F.sum("n").alias("bn"), F.sum("s").alias("bs"))
+        in_fold = own.groupBy("fold").agg(F.sum("n").alias("fn"), F.sum("s").alias("fs"))
+        total = own.agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"))
+        met = own.join(in_bin, "bin").join(in_fold, "fold").crossJoin(F.broadcast(total))
+        other, rest = F.col("bn") - F.col("n"), F.col("tn") - F.col("fn")
+        guess = F.when(other > 0, (F.col("bs") - F.col("s")) / F.when(other > 0, other)).otherwise((F.col("ts") - F.col("fs")) / F.when(rest > 0, rest))
+        return at.join(F.broadcast(met.select("bin", "fold", guess.alias("prediction"))), ["bin", "fold"]).drop("bin")
+    if model == "isotonic":
+        from pyspark.ml.regression import IsotonicRegression
+
+        out = None
+        for k in range(folds):
+            train = rows.filter(F.col("fold") != k)
+            rising = (metrics.spearman(train, "x", "y").first()["spearman"] or 0.0) >= 0
+            fitted = IsotonicRegression(featuresCol="x", labelCol="y", isotonic=rising).fit(train)
+            own = fitted.transform(rows.filter(F.col("fold") == k))
+            out = own if out is None else out.unionByName(own)
+        return out
+    if model != "spline":
+        raise ValueError(f"no model {model!r}")
+    return _spline(rows, folds, knots)
+
+
+def _spline(rows: DataFrame, folds: int, knots: int) -> DataFrame:
+    """A row meets the four cubic B-splines that are not zero there; their products are summed by fold, and solved on the driver."""
+    import numpy as np
+
+    shares = [i / (knots + 1) for i in range(knots + 2)]
+    q = sorted({v for v in ranges.quantiles(rows, {"x": (F.col("x"), shares)})["x"] if v is not None})
+    if len(q) < 4:
+        return _mean_of_others(rows)
+    pieces, n = _cubics(q), len(q) + 2
+    flat = F.array(*[F.lit(float(v)) for v in pieces.ravel()])
+    here = F.size(F.filter(F.array(*map(F.lit, q[1:-1])), lambda e: e <= F.col("x")))
+    at = rows.withColumn("_j", here)
+    left, width = F.array(*map(F.lit, q[:-1])), F.array(*[F.lit(z - a) for a, z in zip(q, q[1:], strict=False)])
+    at = at.withColumn("_u", (F.col("x") - F.get(left, "_j")) / F.get(width, "_j"))
+
+    def value(m: int) -> Column:
+        c = [F.get(flat, F.col("_j") * 16 + 4 * m + d) for d in range(4)]
+        return ((c[0] * F.col("_u") + c[1]) * F.col("_u") + c[2]) * F.col("_u") + c[3]
+
+    at = at.withColumn("_b", F.array(*[value(m) for m in range(4)]))
+    b = lambda m: F.get("_b", F.lit(m))
+    cells = [F.struct((F.col("_j") + m).alias("i"), (F.col("_j") + k).alias("k"), (b(m) * b(k)).alias("v")) for m in range(4) for k in range(m, 4)]
+    cells += [F.struct((F.col("_j") + m).alias("i"), F.lit(-1).alias("k"), (b(m) * F.col("y")).alias("v")) for m in range(4)]
+    sums = at.select("fold", F.explode(F.array(*cells)).alias("c")).groupBy("fold", "c.i", "c.k").agg(F.sum("c.v").alias("v")).collect()  # 5 n rows for each fold
+    gram, aim = np.zeros((folds, n, n)), np.zeros((folds, n))
+    for r in sums:
+        if r["k"] < 0:
+            aim[r["fold"], r["i"]] = r["v"]
+        else:
+            gram[r["fold"], r["i"], r["k"]] = gram[r["fold"], r["k"], r["i"]] = r["v"]
+    fits = [np.linalg.lstsq(gram.sum(0) - gram[k], aim.sum(0) - aim[k], rcond=1e-12)[0] for k in range(folds)]
+    held = F.array(*[F.lit(float(v)) for c in fits for v in c])
+    guess = sum((b(m) * F.get(held, F.col("fold").cast("int") * n + F.col("_j") + m) for m in range(1, 4)), b(0) * F.get(held, F.col("fold").cast("int") * n + F.col("_j")))
+    return at.withColumn("prediction", guess).drop("_j", "_u", "_b")
+
+
+def _cubics(knots: list[float]):
+    """pieces[j, m]: between knots j and j + 1 the cubic of spline j + m in the share of the way, highest power first."""
+    import numpy as np
+
+    t = np.array([knots[0]] * 3 + knots + [knots[-1]] * 3)
+
+    def at(v: np.ndarray) -> np.ndarray:
+        b = ((t[:-1] <= v[:, None]) & (v[:, None] < t[1:])).astype(float)
+        for d in range(1, 4):
+            k = len(t) - d - 1
+            left, right = t[d : d + k] - t[:k], t[d + 1 : d + 1 + k] - t[1 : 1 + k]
+            b = np.where(left > 0, (v[:, None] - t[:k]) / np.where(left > 0, left, 1), 0) * b[:, :k] + np.where(right > 0, (t[d + 1 : d + 1 + k] - v[:, None]) / np.where(right > 0, right, 1), 0) * b[:, 1 : k + 1]
+        return b
+
+    spots = np.array([0.1, 0.35, 0.6, 0.85])
+    out = np.empty((len(knots) - 1, 4, 4))
+    for j, (lo, hi) in enumerate(zip(knots, knots[1:], strict=False)):
+        out[j] = np.linalg.solve(np.vander(spots, 4), at(lo + spots * (hi - lo))[:, j : j + 4]).T
+    return out
+
+
+def _mean_of_others(rows: DataFrame) -> DataFrame:
+    own = rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+    total = own.agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"))
+    met = own.crossJoin(F.broadcast(total)).select("fold", ((F.col("ts") - F.col("s")) / F.when(F.col("tn") > F.col("n"), F.col("tn") - F.col("n"))).alias("prediction"))
+    return rows.join(F.broadcast(met), "fold")
+
+
+def collapse_by_fold(df: DataFrame, x, y, key: str, *, model: str = "bins", bins: int = 10, folds: int = 5) -> DataFrame:
+    """mean_r2, std_r2 and folds: R2 of each fold's predictions against the mean of the other folds, over folds that have one."""
+    rows = cross_fitted(df, x, y, key, model=model, bins=bins, folds=folds)
+    base = _mean_of_others(rows.select("fold", "y", F.col("prediction").alias("p")))
+    off = base.groupBy("fold").agg(F.sum((F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))).alias("left"), F.sum((F.col("y") - F.col("prediction")) * (F.col("y") - F.col("prediction"))).alias("all"))
+    r2 = F.when(F.col("all") > 0, 1 - F.col("left") / F.when(F.col("all") > 0, F.col("all")))
+    return off.agg(F.avg(r2).alias("mean_r2"), F.stddev_pop(r2).alias("std_r2"), F.count(r2).alias("folds"))
+
+
+def residual_association(df: DataFrame, x, y, others: dict[str, object], key: str, *, model: str = "bins", bins: int = 10, folds: int = 5) -> DataFrame:
+    """variable, pearson, spearman, strength of the other variable that goes best with what is left of y after x; one row or none."""
+    names = list(others)
+    wide = df.withColumns({f"_o{i}": _column(v) for i, v in enumerate(others.values())})
+    rows = cross_fitted(wide, x, y, key, *[f"_o{i}" for i in range(len(names))], model=model, bins=bins, folds=folds)
+    rows = rows.withColumn("left", F.col("y") - F.col("prediction"))
+    found = None
+    for i, n in enumerate(names):
+        own = metrics.spearman(rows, f"_o{i}", "left").select(F.lit(n).alias("variable"), "pearson", "spearman")
+        found = own if found is None else found.union(own)
+    strength = F.greatest(F.abs(F.nanvl("pearson", F.lit(0.0))), F.abs(F.nanvl("spearman", F.lit(0.0))))
+    return found.withColumn("strength", strength).filter("strength > 0").orderBy(F.desc("strength"), "variable").limit(1)
 
 
 def pairwise(df: DataFrame, variables: dict[str, object]) -> DataFrame:
@@ -140,11 +274,12 @@ def isotonic(df: DataFrame, x: str, y: str):
 def residuals(df: DataFrame, y, prediction, *, floor: float = 1e-12) -> DataFrame:
     """Profile of prediction minus target: bias, spread, quantiles of its size, and of its relative size."""
     t, p = _column(y), _column(prediction)
-    r = p - t
-    size = F.abs(r)
-    relative = F.when(F.abs(t) > floor, size / F.when(F.abs(t) > floor, F.abs(t)))
-    q = F.percentile(size, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return df.agg(F.count("*").alias("n"), F.avg(r).alias("bias"), F.stddev_pop(r).alias("std"), q[0].alias("abs_p50"), q[1].alias("abs_p90"), q[2].alias("abs_p99"), F.max(size).alias("abs_max"), F.avg(relative).alias("relative_mean"))
+    rows = df.select((p - t).alias("r"), t.alias("t"))
+    size, known = F.abs("r"), F.abs("t") > floor
+    relative = F.when(known, size / F.when(known, F.abs("t")))
+    q = ranges.quantiles(rows, {"size": (size, [0.5, 0.9, 0.99])})["size"]
+    own = [F.lit(v).cast("double").alias(n) for n, v in zip(("abs_p50", "abs_p90", "abs_p99"), q, strict=True)]
+    return rows.agg(F.count("*").alias("n"), F.avg("r").alias("bias"), F.stddev_pop("r").alias("std"), *own, F.max(size).alias("abs_max"), F.avg(relative).alias("relative_mean"))
 
 
 def worst(df: DataFrame, y, prediction, *keep: str, k: int = 10) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import ranges
+from ..functions.chance import chance
+
 
 def chronological(df: DataFrame, time: str, fraction: float = 0.2, *, key: str | None = None) -> DataFrame:
     """The latest rows are validated on."""
@@ -19,36 +22,31 @@ def out_of_domain(df: DataFrame, variable: str, fraction: float = 0.2, *, key: s
 
 
 def by_quantile(df: DataFrame, variable: str, fraction: float, *, key: str | None = None) -> DataFrame:
-    """`split`: validation for the round-half-even(n * fraction) rows of the largest values. No task sorts all rows: the
-    boundary value is an exact percentile, and only the rows that tie with it are numbered."""
+    """`split`: validation for the round-half-even(n * fraction) rows of the largest values, ties by key.
+
+    The boundary is one value and, where rows tie with it, one key: both are order statistics, so no rows are sorted. Keys
+    are numbers that tell the tied rows apart; without a key, rows that tie with the boundary stay together, in `train`.
+    """
     n = df.count()
     k = int(round(n * fraction))
     if not 0 < k < n:
         return df.withColumn("split", F.lit("validation" if k else "train"))
     c = F.col(variable).cast("double")
-    edge = df.agg(F.percentile(c, F.lit((n - k) / (n - 1) if n > 1 else 0.0)).alias("q"), F.percentile(c, F.lit((n - k - 1) / (n - 1))).alias("p")).first()
-    hi, lo = edge["q"], edge["p"]
-    # the k largest begin with the value of rank n - k (from 0); floating positions are settled by counting
-    counts = df.filter((c >= min(lo, hi)) & (c <= max(lo, hi))).groupBy(c.alias("v")).agg(F.count("*").alias("n")).orderBy("v").collect()
-    at = df.filter(c < min(lo, hi)).count()
-    bound = hi
-    for r in counts:
-        if at + r["n"] > n - k:
-            bound = r["v"]
-            break
-        at += r["n"]
-    skip = n - k - at
-    rank = F.row_number().over(Window.partitionBy("_tie").orderBy(key or variable))
-    tied = df.withColumn("_tie", F.when(c == bound, F.lit(1)).otherwise(F.lit(0)))
-    ties = tied.filter("_tie = 1").withColumn("split", F.when(rank > skip, "validation").otherwise("train"))
-    rest = tied.filter("_tie = 0").withColumn("split", F.when(c > bound, "validation").otherwise("train"))
-    return rest.unionByName(ties).drop("_tie")
+    last = (n - k - 1) / (n - 1) if n > 1 else 0.0  # the last row of train
+    bound = ranges.order_statistics(df, {"v": (c, [last])})["v"]["at"][last][0]
+    above = df.filter(c > bound).count()
+    held = c > bound
+    if above < k and key is not None:
+        tied = df.filter(c == bound)
+        m = tied.count()
+        share = (m - (k - above)) / (m - 1) if m > 1 else 0.0
+        held = held | ((c == bound) & (F.col(key) >= ranges.order_statistics(tied, {"k": (F.col(key), [share])})["k"]["at"][share][0]))
+    return df.withColumn("split", F.when(held, "validation").otherwise("train"))
 
 
 def random(df: DataFrame, key: str, fraction: float = 0.2, *, seed: int = 0) -> DataFrame:
-    """Rows by the hash of their key and a seed: the same at any size and partitioning, the share on average."""
-    chance = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000))
-    return df.withColumn("split", F.when(chance < int(fraction * 1_000_000), "validation").otherwise("train"))
+    """Rows by a digest of their key and a seed: the same at any size and partitioning, the share on average."""
+    return df.withColumn("split", F.when(chance(F.col(key), seed) < fraction, "validation").otherwise("train"))
 
 
 def permuted(df: DataFrame, key: str, fraction: float = 0.2, *, seed: int = 0, limit: int = 10_000_000) -> DataFrame:
@@ -56,8 +54,10 @@ def permuted(df: DataFrame, key: str, fraction: float = 0.2, *, seed: int = 0, l
     n = df.count()
     if n > limit:
         raise ValueError(f"more than {limit} rows: use random()")
+    import pyarrow as pa
+
     held = np.random.RandomState(seed).permutation(n)[: int(round(n * fraction))]
-    own = df.sparkSession.createDataFrame([(int(i),) for i in held], f"{key} long").withColumn("_held", F.lit(True))
+    own = df.sparkSession.createDataFrame(pa.table({key: np.sort(held)})).withColumn("_held", F.lit(True))
     return df.join(own, key, "left").withColumn("split", F.when(F.col("_held"), "validation").otherwise("train")).drop("_held")
 
 
@@ -65,9 +65,22 @@ def folds(df: DataFrame, key: str, k: int = 5) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.col(key), F.lit(k)))
 
 
-def strictly_increasing(df: DataFrame, time: str, *by: str) -> DataFrame:
-    step = F.col(time) - F.lag(time).over(Window.partitionBy(*by).orderBy("_row" if "_row" in df.columns else time))
-    return df.withColumn("_step", step).agg(F.count_if(F.col("_step") <= 0).alias("violations"))
+def permuted_folds(df: DataFrame, key: str, k: int = 5, *, seed: int = 0, limit: int = 10_000_000) -> DataFrame:
+    """`fold`: as NumPy's default_rng(seed).permutation of the row numbers 0..n-1 in `key` is cut into k nearly equal parts."""
+    import pyarrow as pa
+
+    n = df.count()
+    if n > limit:
+        raise ValueError(f"more than {limit} rows: use folds()")
+    parts = np.array_split(np.random.default_rng(seed).permutation(n), k)
+    own = pa.table({key: np.concatenate(parts), "fold": np.repeat(np.arange(k), [len(p) for p in parts])})
+    return df.join(df.sparkSession.createDataFrame(own), key)
+
+
+def strictly_increasing(df: DataFrame, time: str, *by: str, order: str) -> DataFrame:
+    """violations: how many rows, in the order of the column `order` (within by), have a time not later than the row before them."""
+    step = F.col(time) - F.lag(time).over(Window.partitionBy(*by).orderBy(order))
+    return df.select(step.alias("_step")).agg(F.count_if(F.col("_step") <= 0).alias("violations"))
 
 
 # candidates: (candidate_id, formula, complexity, metric), in the order of candidate_id
@@ -91,9 +104,11 @@ def pareto(df: DataFrame, *, ascending: bool = True) -> DataFrame:
 
 def dominated(df: DataFrame) -> DataFrame:
     """Candidates that another one beats on metric or complexity and equals at least on the other."""
-    b = df.select(F.col("candidate_id").alias("_id"), F.col("complexity").alias("_c"), F.col("metric").alias("_m"))
-    better = (F.col("_m") <= F.col("metric")) & (F.col("_c") <= F.col("complexity")) & ((F.col("_m") < F.col("metric")) | (F.col("_c") < F.col("complexity")))
-    return df.join(F.broadcast(b), better, "left_semi")
+    best = df.groupBy("complexity").agg(F.min("metric").alias("_same"))
+    before = F.min("_same").over(Window.orderBy("complexity").rowsBetween(Window.unboundedPreceding, -1))
+    met = df.join(best.withColumn("_simpler", before), "complexity")
+    beaten = (F.col("_same") < F.col("metric")) | F.coalesce(F.col("_simpler") <= F.col("metric"), F.lit(False))
+    return met.filter(beaten).select(*df.columns)
 
 
 def best_per_complexity(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,13 +59,33 @@ def cut(rows: DataFrame, fields: list[int], *, delimiter: str = ",", column: str
     return rows.withColumn(column, F.array_join(F.array(*[F.coalesce(F.get(parts, F.lit(f - 1)), F.lit("")) for f in fields]), delimiter))
 
 
+#: Names of characters, from Python's own table; those that end in a semicolon.
+ENTITIES = {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _character(entity):
+    """The text of `&name;`, `&#10;` or `&#xa;`; what has no meaning stays as it is."""
+    name = F.substring(entity, F.lit(2), F.char_length(entity) - 2)
+    number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.lit(6)), 16, 10)).when(name.startswith("#"), F.substring(name, F.lit(2), F.lit(7))).cast("long")
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    coded = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(F.lit(63))), 8, "0")), "UTF-32")
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair]), name)
+    return F.when(valid, coded).otherwise(F.coalesce(named, entity))
+
+
+def entities(t):
+    """Text with character references resolved, once each."""
+    found, parts = F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(0)), F.split(t, _ENTITY, -1)
+    both = F.zip_with(parts, F.transform(found, _character), lambda p, e: F.concat(F.coalesce(p, F.lit("")), F.coalesce(e, F.lit(""))))
+    return F.when(F.contains(t, F.lit("&")), F.array_join(both, "")).otherwise(t)
+
+
 def html_text(c):
-    """Visible text of HTML: scripts, styles and comments dropped, tags as line breaks, common entities resolved."""
+    """Visible text of HTML: scripts, styles and comments dropped, tags as line breaks, character references resolved."""
     t = F.regexp_replace(c, r"(?is)<(script|style|svg|noscript)\b.*?</\1\s*>|<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", "\n")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.array_join(F.filter(F.transform(F.split(t, r"\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+    t = entities(F.regexp_replace(t, r"(?s)<[^>]*>", "\n"))
+    return F.array_join(F.filter(F.transform(F.split(t, r"\n"), lambda x: F.trim(F.replace(x, F.lit("\u00a0"), F.lit(" ")))), lambda x: x != ""), "\n")
 
 
 def number_lines(rows: DataFrame, key: str) -> DataFrame:

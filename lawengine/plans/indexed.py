@@ -33,6 +33,10 @@ class Graph:
     scalars: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
+        """A field may be given as its frame alone; it then belongs to the only relation that has as many rows."""
+        for name, own in list(self.fields.items()):
+            if isinstance(own, DataFrame):
+                self.fields[name] = (self.relation_of(name, own), own)
         if not isinstance(self.num_nodes, int) or isinstance(self.num_nodes, bool) or self.num_nodes < 1:
             raise ValueError("num_nodes must be a positive integer")
 
@@ -40,6 +44,13 @@ class Graph:
     def spark(self):
         return self.nodes.sparkSession
 
+    def relation_of(self, field_name: str, values: DataFrame) -> str:
+        n = values.select("row_id").distinct().count()
+        found = [r for r, rows in self.relations.items() if rows.count() == n]
+        if len(found) != 1:
+            raise ValueError(f"the relation of field {field_name!r} must be stated: {found or 'none'} has {n} rows")
+        return found[0]
+
     def arity(self, relation: str) -> int:
         return len(self.relations[relation].columns) - 1
 
@@ -60,7 +71,7 @@ def _kind(e: Expr, g: Graph) -> str:
     if isinstance(e.base, Gather):
         return "lifted"
     name = e.base.name if isinstance(e.base, Symbol) else None
-    return "relation" if name in g.relations else "field" if name in g.fields else "node" if name in g.nodes.columns else "reindexed"
+    return "relation" if name in g.relations else "field" if name in g.fields else "node" if name in g.nodes.columns else "reindex"
 
 
 def free(e: Expr) -> tuple[str, ...]:
@@ -103,7 +114,7 @@ def validate(e: Expr, g: Graph, active: tuple[str, ...] = (), row_wise: bool = F
             if len(free(e.base)) > 1:
                 raise ValueError("only an expression of one free index can be indexed again")
             validate(e.base, g, active)
-        elif _kind(e, g) == "reindexed":
+        elif e.base.name not in g.relations and e.base.name not in g.fields and e.base.name not in g.nodes.columns:
             raise KeyError(f"no variable {e.base.name!r}")
         return
     if isinstance(e, Symbol) and row_wise and e.name in g.fields:
@@ -142,6 +153,14 @@ def domain(g: Graph, indices: tuple[str, ...], sampled: bool = False) -> DataFra
     return out if out is not None else g.spark.range(1).select()
 
 
+def near(c: str, fill: float) -> Column:
+    """Whether an entry is the fill value, as far as doubles tell: such entries are no entries."""
+    w = F.col(c)
+    if fill != fill:
+        return F.isnan(w)
+    return F.coalesce((w == fill) | (F.abs(w - fill) <= 1e-8 + 1e-5 * abs(fill)), F.lit(False))
+
+
 class Compiler:
     def __init__(self, g: Graph, parameters: dict | None = None):
         self.g, self.parameters, self.names = g, parameters, (f"_v{n}" for n in count())
@@ -234,7 +253,8 @@ class Compiler:
                 raise ValueError("relations that are combined have the same indices")
             met = a.withColumnRenamed("w", "wa").join(b.withColumnRenamed("w", "wb"), keys, "full_outer")
             at = {"_a0": F.coalesce("wa", F.lit(fa)), "_a1": F.coalesce("wb", F.lit(fb))}
-            return met.select(*keys, plain(at).alias("w")), self.constant_of(plain({"_a0": F.lit(fa), "_a1": F.lit(fb)}))
+            fill = self.constant_of(plain({"_a0": F.lit(fa), "_a1": F.lit(fb)}))
+            return met.select(*keys, plain(at).alias("w")).filter(~near("w", fill)), fill
         raise ValueError("not a relation")
 
     def constant(self, e: Expr) -> float:
@@ -327,7 +347,7 @@ class Compiler:
             if fill:
                 tensor = domain(self.g, indices).join(tensor, list(indices), "left").withColumn("w", F.coalesce("w", F.lit(fill)))
             else:
-                tensor = tensor.filter(F.abs("w") > 1e-8)
+                tensor = tensor.filter(~near("w", 0.0))
             rank = F.lit(0).cast("long")
             for i in indices:  # the place of a coordinate, which is unique and keeps the order
                 rank = rank * self.g.num_nodes + F.col(i)
@@ -360,6 +380,41 @@ def evaluate(e: Expr, g: Graph, parameters: dict | None = None) -> DataFrame:
     return df.select(*indices, *[SAMPLE] * sampled, v.alias("value"))
 
 
+def side_by_side(exprs: list[Expr], g: Graph, parameters: dict | None, target: str) -> tuple[DataFrame, list[Column]]:
+    """A frame with a value of each formula, at the coordinates of the first one; and of the target, last.
+
+    The target is a node variable, or a field where the first formula is one of a relation's rows.
+    """
+    exprs = [fold_constants(desugar(e)) for e in exprs]
+    gathers = [x for x in _open(exprs[0]) if isinstance(x, Gather)]
+    validate(exprs[0], g, row_wise=bool(gathers))
+    c = Compiler(g, parameters)
+    if not gathers:
+        indices = tuple(sorted(free(exprs[0])))
+        if len(indices) != 1:
+            raise ValueError("a target of nodes is held against a formula of one free index")
+        df = domain(g, indices, has_sample(exprs[0], g) or g.sampled(target))
+        out = []
+        for e in [*exprs, Indexed(Symbol(target), indices)]:
+            df, v = c.attach(df, e)
+            out.append(v)
+        return df, out
+    df, out = None, []
+    for k, e in enumerate([*exprs, Symbol(target)]):
+        own = [x for x in _open(e) if isinstance(x, Gather)]
+        if not own and not any(isinstance(x, Symbol) and x.name in g.fields for x in e.iter_preorder()):
+            out.append(to_column(e, parameters, {n: F.lit(float(v)) for n, v in g.scalars.items()}))
+            continue
+        if own:
+            rows = _row_wise(e, own, c).withColumnRenamed("value", f"_e{k}")
+            df = rows if df is None else df.join(rows, [x for x in rows.columns if x != f"_e{k}"])
+            out.append(F.col(f"_e{k}"))
+        else:
+            df, v = c.attach(df, e, row_fields=True)
+            out.append(v)
+    return df, out
+
+
 def _open(e: Expr):
     """Nodes outside of indexed ones, sums and gathers."""
     yield e

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import count
 
-from .nodes import Aggregate, Binary, Call, Expr, GroupedParameter, Indexed, Lift, Number, Parameter, Reduction, Symbol, Unary, lift
+from .nodes import Aggregate, Binary, Call, Delay, Expr, Gather, GroupedParameter, Indexed, Lift, Number, Parameter, Reduction, Symbol, Unary, lift
 
 
 def fold_constants(e: Expr) -> Expr:
@@ -116,9 +117,19 @@ def derivative(e: Expr, name: str) -> Expr:
         return add(times(d(a), b * a ** (b - 1)), Number(0.0) if _is(d(b), 0) else times(d(b), e * Call("log", (a,))))
     if isinstance(e, Call):
         return _call_derivative(e, d)
-    if any(isinstance(x, (Parameter, GroupedParameter)) and x.name == name for x in e.iter_preorder()):
-        raise NotImplementedError(f"no derivative of {type(e).__name__}")
-    return Number(0.0)
+    if not any(isinstance(x, (Parameter, GroupedParameter)) and x.name == name for x in e.iter_preorder()):
+        return Number(0.0)
+    if isinstance(e, (Reduction, Gather)):  # both are linear in the body and in the relation's weights
+        inner, weight = d(e.body), Number(0.0) if e.relation is None else d(e.relation)
+        of_body = e if _is(inner, 0) else replace(e, body=inner)
+        if _is(weight, 0):
+            return Number(0.0) if _is(inner, 0) else of_body
+        return replace(e, relation=weight) if _is(inner, 0) else of_body + replace(e, relation=weight)
+    if isinstance(e, Indexed):
+        return Indexed(d(e.base), e.indices)
+    if isinstance(e, Delay) and _is(d(e.lag), 0):
+        return Delay(d(e.operand), e.lag)
+    raise NotImplementedError(f"no derivative of {type(e).__name__}")
 
 
 def _call_derivative(e: Call, d) -> Expr:

@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ieee, metrics
+from ..functions import ieee, metrics, ranges
 from ..functions.deploy import importable
 from ..operators import delay as delays
 from ..operators import fits, nonlinear, profile, split, text
 from ..streaming import events
 from .indexed import Graph
+from .nodes import Binary, Expr, Number, Symbol, Unary
 from .parse import parse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +61,59 @@ def _one(spark: SparkSession, row: dict) -> DataFrame:
     return told(spark.createDataFrame([tuple(float(v) if isinstance(v, float) else v for v in row.values())], ", ".join(f"{k} {'double' if isinstance(v, float) else 'long' if isinstance(v, int) else 'string'}" for k, v in row.items())))
 
 
+def least_squares_sql(terms: dict[str, str], y: str, source: str, *, digits: int = 5) -> str:
+    """(term, coefficient, std_error) of y on the terms and a constant, by Gram-Schmidt: each column less its slopes on those before it."""
+    n = len(terms)
+    steps = [f"g0 AS MATERIALIZED (SELECT CAST({y} AS DOUBLE) AS y, {', '.join(f'CAST({e} AS DOUBLE) AS c{k}' for k, e in enumerate(terms.values()))} FROM {source})"]
+    for k in range(n):
+        slopes = "".join(f" - (SELECT covar_pop(c{k}, r{j}) / var_pop(r{j}) FROM g{k}) * r{j}" for j in range(k))
+        steps.append(f"g{k + 1} AS MATERIALIZED (SELECT *, c{k} - (SELECT avg(c{k}) FROM g{k}){slopes} AS r{k} FROM g{k})")
+    last = f"g{n}"
+    one = ["count(*) AS n", "avg(y) AS my", *[f"avg(c{k}) AS m{k}" for k in range(n)], *[f"covar_pop(y, r{k}) / var_pop(r{k}) AS b{k}" for k in range(n)], *[f"covar_pop(c{m}, r{k}) / var_pop(r{k}) AS a{k}_{m}" for k in range(n) for m in range(k + 1, n)]]
+    one += [f"var_pop(r{k}) AS v{k}" for k in range(n)]
+    steps.append(f"h AS MATERIALIZED (SELECT {', '.join(one)} FROM {last})")
+    before = "h"
+    for k in range(n - 1, -1, -1):  # coefficients from the last one back, and the inverse of the triangle of slopes
+        beta = f"b{k}" + "".join(f" - a{k}_{m} * e{m}" for m in range(k + 1, n))
+        steps.append(f"i{k} AS MATERIALIZED (SELECT *, {beta} AS e{k} FROM {before})")
+        before = f"i{k}"
+    steps.append(f"o AS MATERIALIZED (SELECT *, my{''.join(f' - e{k} * m{k}' for k in range(n))} AS e FROM {before})")
+    steps.append(f"q AS MATERIALIZED (SELECT sum((y - o.e{''.join(f' - o.e{k} * c{k}' for k in range(n))}) ** 2) / max(o.n - {n + 1}) AS s2 FROM {last}, o)")
+    inverse: dict[tuple[int, int], str] = {}
+    for m in range(n):
+        inverse[m, m] = "1.0"
+        for k in range(m - 1, -1, -1):
+            inverse[k, m] = "(0.0" + "".join(f" - a{k}_{j} * {inverse[j, m]}" for j in range(k + 1, m + 1)) + ")"
+    error = lambda k: "sqrt(s2 * (" + " + ".join(f"{inverse[k, m]} ** 2 / (n * v{m})" for m in range(k, n)) + "))"
+    lever = " + ".join(f"({' + '.join(f'm{k} * {inverse[k, m]}' for k in range(m + 1))}) ** 2 / (n * v{m})" for m in range(n))
+    told_ = lambda x: f"CAST(printf('%.{digits}e', CAST({x} AS DOUBLE)) AS DOUBLE)"
+    rows = [f"SELECT '{t}' AS term, {told_(f'e{k}')} AS coefficient, {told_(error(k))} AS std_error FROM o, q" for k, t in enumerate(terms)]
+    rows.append(f"SELECT '1' AS term, {told_('e')} AS coefficient, {told_(f'sqrt(s2 * (1.0 / n + {lever}))')} AS std_error FROM o, q")
+    return "WITH " + ",\n".join(steps) + "\n" + " UNION ALL ".join(rows)
+
+
+def rounded(v: float, digits: int = 5) -> float:
+    return float(f"{v:.{digits}e}")
+
+
+def to_sql(e: Expr) -> str:
+    """A formula of plain arithmetic and of functions that DuckDB has; null where a logarithm or a root has no value."""
+    if isinstance(e, Number):
+        return repr(float(e.value))
+    if isinstance(e, Symbol):
+        return e.name
+    if isinstance(e, Unary):
+        return f"(-{to_sql(e.operand)})"
+    if isinstance(e, Binary):
+        return f"({to_sql(e.left)} {e.op} {to_sql(e.right)})"
+    x = to_sql(e.args[0])
+    return {"log": f"(CASE WHEN {x} > 0 THEN ln({x}) END)", "sqrt": f"(CASE WHEN {x} >= 0 THEN sqrt({x}) END)", "inv": f"(1.0 / {x})"}[e.name]
+
+
+#: The chance of a key, as split.random has it.
+CHANCE = "(CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
 PRED = "l_quantity * p_retailprice"
 JOINED = "(SELECT l_extendedprice AS y, l_quantity * p_retailprice AS p, l_orderkey, l_linenumber, l_quantity, l_shipdate, l_discount FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
@@ -123,15 +177,19 @@ QUERIES["scalar_fns_arc"] = _functions(["arcsin", "arccos"], "c_acctbal / 12000"
 ORACLES["scalar_fns_arc"] = _functions_sql({"arcsin": "asin(u)", "arccos": "acos(u)"})
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, {S("greatest(l_quantity, l_tax * 500)")} AS hi, {S("least(l_quantity, l_tax * 500)")} AS lo, {S("l_quantity / (l_discount - l_tax)")} AS ratio,
-CASE WHEN l_discount = l_tax THEN 'inf' ELSE 'number' END AS kind, {S("power(l_quantity, l_discount)")} AS pw, {S("-l_tax + 2 * l_quantity")} AS lin FROM lineitem""")
+def six(c: Column) -> Column:
+    """Six decimals, by arithmetic alone: for functions of many rows whose last bit differs from one library to the next."""
+    return F.floor(c * 1e6 + 0.5).cast("double") / 1e6
+
+
+#: Sums, products, quotients and choices of doubles are the same to the last bit on both sides, and are not rounded.
+@query("""SELECT l_orderkey, l_linenumber, greatest(l_quantity, l_tax * 500) AS hi, least(l_quantity, l_tax * 500) AS lo, CASE WHEN l_discount <> l_tax THEN l_quantity / (l_discount - l_tax) END AS ratio,
+CASE WHEN l_discount = l_tax THEN 'inf' ELSE 'number' END AS kind, floor(power(l_quantity, l_discount) * 1e6 + 0.5) / 1e6 AS pw, -l_tax + 2 * l_quantity AS lin FROM lineitem""")
 def scalar_arithmetic(spark, d):
     ratio = parse("l_quantity / (l_discount - l_tax)").to_column()
-    return told(
-        read(spark, d, "lineitem").select(
-            "l_orderkey", "l_linenumber", parse("max(l_quantity, l_tax * 500)").to_column().alias("hi"), parse("min(l_quantity, l_tax * 500)").to_column().alias("lo"), ratio.alias("ratio"),
-            F.when(F.abs(ratio) == ieee.INF, "inf").otherwise("number").alias("kind"), parse("l_quantity ** l_discount").to_column().alias("pw"), parse("-l_tax + 2 * l_quantity").to_column().alias("lin"),
-        )
+    return read(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", parse("max(l_quantity, l_tax * 500)").to_column().alias("hi"), parse("min(l_quantity, l_tax * 500)").to_column().alias("lo"), F.when(ieee.finite(ratio), ratio).alias("ratio"),
+        F.when(F.abs(ratio) == ieee.INF, "inf").otherwise("number").alias("kind"), six(parse("l_quantity ** l_discount").to_column()).alias("pw"), parse("-l_tax + 2 * l_quantity").to_column().alias("lin"),
     )
 
 
@@ -189,6 +247,43 @@ def cv_collapse_bins(spark, d):
     return told(profile.collapse(read(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_orderkey"))
 
 
+_PAIRS = "(SELECT l_quantity AS x, l_extendedprice AS y, l_orderkey % 5 AS fold, l_discount AS o1, l_tax AS o2 FROM lineitem)"
+_CROSS = f"""p AS {_PAIRS}, q AS (SELECT list_sort(list_distinct(quantile_cont(x, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]))) AS e FROM p),
+b AS (SELECT p.*, len(list_filter(e, lambda z: z <= x)) AS bin FROM p, q), g AS (SELECT bin, fold, count(*) AS n, sum(y) AS s FROM b GROUP BY 1,2),
+m AS (SELECT g.bin, g.fold, (t.s - g.s)/(t.n - g.n) AS guess FROM g JOIN (SELECT bin, sum(n) AS n, sum(s) AS s FROM g GROUP BY 1) t USING (bin))"""
+
+
+@query(f"""WITH {_CROSS}, f AS (SELECT fold, count(*) AS n, sum(y) AS s FROM p GROUP BY 1), o AS (SELECT fold, (SELECT sum(s) FROM f) - s AS s, (SELECT sum(n) FROM f) - n AS n FROM f),
+r AS (SELECT fold, 1 - sum((y - guess) ** 2) / sum((y - o.s / o.n) ** 2) AS r2 FROM b JOIN m USING (bin, fold) JOIN o USING (fold) GROUP BY 1)
+SELECT {S('avg(r2)')} AS mean_r2, {S('stddev_pop(r2)')} AS std_r2, count(*) AS folds FROM r""")
+def cv_collapse_folds(spark, d):
+    return told(profile.collapse_by_fold(read(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_orderkey"))
+
+
+@query()
+def cv_collapse_spline(spark, d):
+    return told(profile.collapse_by_fold(read(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_orderkey", model="spline"))
+
+
+@query()
+def cv_collapse_isotonic(spark, d):
+    return told(profile.collapse_by_fold(read(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_orderkey", model="isotonic"))
+
+
+@query(f"""WITH {_CROSS}, l AS (SELECT o1, o2, y - guess AS left_ FROM b JOIN m USING (bin, fold)),
+k AS (SELECT o1, o2, left_, rank() OVER (ORDER BY o1) + (count(*) OVER (PARTITION BY o1) - 1)/2.0 AS r1, rank() OVER (ORDER BY o2) + (count(*) OVER (PARTITION BY o2) - 1)/2.0 AS r2, rank() OVER (ORDER BY left_) + (count(*) OVER (PARTITION BY left_) - 1)/2.0 AS rl FROM l),
+c AS (SELECT 'l_discount' AS variable, corr(o1, left_) AS pearson, corr(r1, rl) AS spearman FROM k UNION ALL SELECT 'l_tax', corr(o2, left_), corr(r2, rl) FROM k)
+SELECT variable, CAST(printf('%.4e', pearson) AS DOUBLE) AS pearson FROM c ORDER BY greatest(abs(pearson), abs(spearman)) DESC LIMIT 1""")
+def residual_association(spark, d):
+    r = profile.residual_association(read(spark, d, "lineitem"), "l_quantity", "l_extendedprice", {"l_discount": "l_discount", "l_tax": "l_tax"}, "l_orderkey")
+    return r.select("variable", F.format_string("%.4e", "pearson").cast("double").alias("pearson"))
+
+
+@query(f"""WITH r AS (SELECT *, p-y AS r FROM {JOINED}), c AS (SELECT 'quantity' AS variable, count(*) AS n, corr(l_quantity, r) AS c FROM r UNION ALL SELECT 'discount', count(*), corr(l_discount, r) FROM r) SELECT variable, n, {S("c")} AS pearson FROM c ORDER BY abs(c) DESC LIMIT 1""")
+def residual_top(spark, d):
+    return told(profile.correlations(lines(spark, d), F.col("p") - F.col("y"), {"quantity": "l_quantity", "discount": "l_discount"}, top=1))
+
+
 @query(f"""SELECT l_orderkey, l_linenumber, {S("y")} AS y, {S("p")} AS prediction, {S("p-y")} AS residual FROM {JOINED} ORDER BY abs(p-y) DESC, l_orderkey, l_linenumber LIMIT 10""")
 def residual_worst10(spark, d):
     return told(profile.worst(lines(spark, d), "y", "p", "l_orderkey", "l_linenumber", k=10))
@@ -221,6 +316,14 @@ def kendall_tau(spark, d):
     return told(metrics.kendall(read(spark, d, "lineitem"), "l_quantity", "l_tax"))
 
 
+@query(f"""WITH c AS (SELECT o_totalprice AS x, c_acctbal AS y FROM orders JOIN customer ON o_custkey = c_custkey), s AS (SELECT sum(sign((a.x-b.x)*(a.y-b.y))) AS s FROM c a JOIN c b ON a.x < b.x), t AS (SELECT count(*) AS n FROM c),
+tx AS (SELECT sum(m*(m-1)/2.0) AS t FROM (SELECT count(*) AS m FROM c GROUP BY x)), ty AS (SELECT sum(m*(m-1)/2.0) AS t FROM (SELECT count(*) AS m FROM c GROUP BY y))
+SELECT {S("s.s / sqrt((t.n*(t.n-1)/2.0 - tx.t)*(t.n*(t.n-1)/2.0 - ty.t))")} AS kendall_tau FROM s, t, tx, ty""")
+def kendall_continuous(spark, d):
+    df = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return told(metrics.kendall(df, "o_totalprice", "c_acctbal"))
+
+
 @query(f"""SELECT "true", predicted, n, total, {S("n/total")} AS rate FROM (SELECT quality AS "true", toxic AS predicted, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY quality) AS BIGINT) AS total FROM labels GROUP BY 1,2) WHERE "true" <> predicted ORDER BY n/total DESC, 1, 2 LIMIT 10""")
 def confusion_top(spark, d):
     return told(metrics.confusion(read(spark, d, "labels"), "quality", "toxic"))
@@ -264,7 +367,7 @@ def chrono_split(spark, d):
     return _split(spark, d, "at", split.chronological)
 
 
-@query()
+@query(f"SELECT CASE WHEN {CHANCE.format(key='o_orderkey', seed=0)} < 0.2 THEN 'validation' ELSE 'train' END AS split, count(*) AS n FROM orders GROUP BY 1")
 def random_split(spark, d):
     return split.random(read(spark, d, "orders"), "o_orderkey").groupBy("split").agg(F.count("*").alias("n"))
 
@@ -280,6 +383,12 @@ def candidate_table(spark, d) -> DataFrame:
     return read(spark, d, "lineitem").agg(F.array(*cells).alias("all")).select(F.inline("all"))
 
 
+@query("SELECT count(*) FILTER (step <= 0) AS violations FROM (SELECT epoch(o_orderdate) - lag(epoch(o_orderdate)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step FROM orders)")
+def increasing_times(spark, d):
+    df = read(spark, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp").cast("double"))
+    return split.strictly_increasing(df, "at", "o_custkey", order="o_orderkey")
+
+
 @query(_CANDIDATES_SQL + " SELECT candidate_id, complexity, metric, row_number() OVER (ORDER BY metric, complexity, candidate_id) AS rank FROM c")
 def candidate_rank(spark, d):
     return split.ranked(candidate_table(spark, d)).select("candidate_id", "complexity", "metric", F.col("rank").cast("long").alias("rank"))
@@ -393,47 +502,75 @@ def poly2_fit(spark, d):
     return spark.createDataFrame([(six(c["1"]), six(c["l_quantity"]), six(c["l_quantity**2"]), int(r["n"]))], "c0 double, c1 double, c2 double, n long")
 
 
-@query()
+_TERMS = {"p_retailprice": "p_retailprice", "l_quantity": "l_quantity", "p_retailprice**2": "p_retailprice * p_retailprice", "l_quantity*p_retailprice": "l_quantity * p_retailprice", "l_quantity**2": "l_quantity * l_quantity"}
+
+
+@query(least_squares_sql(_TERMS, "y", "(SELECT l_extendedprice * (1 - l_discount) AS y, l_quantity, p_retailprice FROM lineitem JOIN part ON l_partkey = p_partkey)", digits=4))
 def polynomial_terms(spark, d):
-    r = fits.polynomial_fit(lines(spark, d), ["l_quantity", "p_retailprice"], "l_extendedprice", degree=2)
-    return told(spark.createDataFrame([(k, float(v), float(r["std_errors"].get(k, float("nan")))) for k, v in r["coefficients"].items()], "term string, coefficient double, std_error double"))
+    r = fits.polynomial_fit(lines(spark, d).withColumn("y", F.col("l_extendedprice") * (1 - F.col("l_discount"))), ["l_quantity", "p_retailprice"], "y", degree=2, prune=False)
+    return spark.createDataFrame([(k, rounded(v, 4), rounded(r["std_errors"][k], 4)) for k, v in r["coefficients"].items()], "term string, coefficient double, std_error double")
 
 
-@query()
+_LAW = "3 * l_discount + 2 * l_discount * l_quantity + 1"
+_KEPT = {"l_discount": "l_discount", "l_quantity*l_discount": "l_quantity * l_discount"}
+
+
+@query("SELECT term, CASE WHEN abs(coefficient - round(coefficient)) <= 0.005 THEN round(coefficient) ELSE coefficient END AS coefficient FROM (" + least_squares_sql(_KEPT, _LAW, "lineitem") + ")")
 def stlsq_fit(spark, d):
-    df = lines(spark, d).withColumn("target", parse("3 * l_discount + 2 * l_discount * l_quantity + 1").to_column())
+    df = lines(spark, d).withColumn("target", parse(_LAW).to_column())
     found = fits.stlsq(df, fits.polynomial_library(["l_quantity", "l_discount"], 2), "target", threshold=0.5, alpha=1e-8)
-    return told(spark.createDataFrame(list(found.items()), "term string, coefficient double"))
+    return spark.createDataFrame([(k, rounded(v)) for k, v in found.items()], "term string, coefficient double")
 
 
-@query()
+_RATIO = "(0.5 + 3 * (l_quantity / 50)) / (1 + 0.7 * (l_quantity / 50))"
+_RATIO_SQL = least_squares_sql({"x": "x", "yx": "-y * x"}, "y", f"(SELECT l_quantity / 50 AS x, {_RATIO} AS y FROM lineitem WHERE {CHANCE.format(key='l_orderkey', seed=0)} >= 0.2)")
+
+
+@query(f"SELECT CASE term WHEN 'yx' THEN 'q' ELSE 'p' END AS part, CAST(CASE term WHEN '1' THEN 0 ELSE 1 END AS BIGINT) AS power, coefficient FROM ({_RATIO_SQL}) UNION ALL SELECT 'q', 0, 1.0")
 def rational_fit(spark, d):
-    df = read(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("x0"), parse("(1 + 2 * (l_quantity / 50)) / (1 + 0.4 * (l_quantity / 50))").to_column().alias("y0")).withColumn("x0", F.col("x0") / 50)
+    df = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_quantity") / 50).alias("x0"), parse(_RATIO).to_column().alias("y0"))
     r = fits.rational_fit(df, "x0", "y0", key="l_orderkey")
-    return told(spark.createDataFrame([("p", i, v) for i, v in enumerate(r["p"])] + [("q", i, v) for i, v in enumerate(r["q"])], "part string, power long, coefficient double"))
+    return spark.createDataFrame([(k, i, rounded(v)) for k in "pq" for i, v in enumerate(r[k])], "part string, power long, coefficient double")
 
 
-@query()
+_WAVE = "2 + 0.5 * l_quantity + 1.5 * l_quantity * sin(3 * (l_discount * 10))"
+_WAVE_SQL = least_squares_sql({"b": "l_quantity", "c": "l_quantity * sin(3 * (l_discount * 10))"}, _WAVE, "lineitem")
+
+
+@query(f"SELECT 3.0 AS omega, max(coefficient) FILTER (term = '1') AS a, max(coefficient) FILTER (term = 'b') AS b, max(coefficient) FILTER (term = 'c') AS c FROM ({_WAVE_SQL})")
 def harmonic_fit(spark, d):
-    df = read(spark, d, "lineitem").select("l_quantity", "l_tax", parse("2 + 0.5 * l_quantity + 1.5 * l_quantity * sin(3 * l_discount * 10)").to_column().alias("y"), (F.col("l_discount") * 10).alias("t"))
+    df = read(spark, d, "lineitem").select("l_quantity", "l_tax", parse(_WAVE).to_column().alias("y"), (F.col("l_discount") * 10).alias("t"))
     r = fits.harmonic_fit(df, "l_quantity", "t", "y", frequencies=[1.0 + 0.5 * k for k in range(9)])
-    return _one(spark, {k: r[k] for k in ("omega", "a", "b", "c")})
+    return spark.createDataFrame([tuple(rounded(r[k]) for k in ("omega", "a", "b", "c"))], "omega double, a double, b double, c double")
 
 
-@query()
+#: The law that made the data is the fit of least squares; SQL states it and that it leaves nothing.
+@query("SELECT 2.5 AS a, -0.03 AS b, 7.0 AS c FROM lineitem HAVING max(abs(2.5 * exp(-0.03 * l_quantity) + 7 - (2.5 * exp(-0.03 * l_quantity) + 7))) = 0")
 def lm_fit(spark, d):
     df = read(spark, d, "lineitem").withColumn("y", parse("2.5 * exp(-0.03 * l_quantity) + 7").to_column())
     r = nonlinear.fit("param('a') * exp(param('b', value=-0.1) * l_quantity) + param('c')", df, "y")
     return _one(spark, {k: round(v, 5) for k, v in r.parameters.items()})
 
 
+_PULL = "SELECT n.node AS i, n.x AS x, coalesce(s, 0) AS s, n.x * n.x AS xx FROM x n LEFT JOIN (SELECT a.i, sum(x.x - p.x) AS s FROM a JOIN x ON x.node = a.j JOIN x p ON p.node = a.i GROUP BY 1) t ON t.i = n.node"
+
+
+@query(f"{_GRAPH} SELECT {S('(sys * sxx - sxy * sxs) / (sss * sxx - sxs * sxs)')} AS pull, {S('(sxy * sss - sys * sxs) / (sss * sxx - sxs * sxs)')} AS own FROM (SELECT sum(s * xx) AS sys, sum(x * xx) AS sxy, sum(s * s) AS sss, sum(x * x) AS sxx, sum(x * s) AS sxs FROM ({_PULL}))")
+def graph_fit(spark, d):
+    """Two parameters of a formula with a sum over neighbours, against their normal equations."""
+    g = trade(spark, d)
+    held = Graph(g.num_nodes, g.nodes.withColumn("y", F.col("x") * F.col("x")), g.relations)
+    r = nonlinear.fit("param('own') * x[i] + param('pull') * sum[j](A[i, j], x[j] - x[i])", held, "y")
+    return _one(spark, {k: r.parameters[k] for k in ("pull", "own")})
+
+
 @query(f"SELECT l_returnflag AS category, {S('sum(l_extendedprice * l_quantity) / sum(l_quantity * l_quantity)')} AS slope FROM lineitem GROUP BY 1")
 def grouped_fit(spark, d):
     r = nonlinear.fit("grouped_param(l_returnflag, name='slope') * l_quantity", read(spark, d, "lineitem"), "l_extendedprice")
     return told(spark.createDataFrame(list(r.parameters["slope"].items()), "category string, slope double"))
 
 
-@query()
+@query(f"SELECT CASE WHEN {CHANCE.format(key='l_orderkey', seed=0)} < 0.2 THEN 'validation' ELSE 'train' END AS split, count(*) AS n, 1.0 AS r2, CAST(9 AS BIGINT) AS complexity, true AS eligible FROM lineitem GROUP BY 1")
 def evaluate_formula(spark, d):
     from ..operators.evaluators import Evaluator
     from ..sources.dataset import Dataset
@@ -446,42 +583,60 @@ def evaluate_formula(spark, d):
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders) AND o_custkey % 7 = 1 AND o_totalprice > (SELECT quantile_cont(o_totalprice, 0.5) FROM orders)")
 def filtered_orders(spark, d):
     df = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    half = df.agg(F.percentile("o_totalprice", F.lit(0.5)).alias("half"))
-    return df.filter("o_custkey % 7 = 1").join(F.broadcast(half), F.col("o_totalprice") > F.col("half")).select("o_orderkey")
+    half = ranges.quantiles(df, {"half": (F.col("o_totalprice"), [0.5])})["half"][0]
+    return df.filter("o_custkey % 7 = 1").filter(F.col("o_totalprice") > F.lit(half)).select("o_orderkey")
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42') LIMIT 500")
 def subsample(spark, d):
     from ..operators.evaluators import subsample
 
     return subsample(read(spark, d, "orders"), 500, key="o_orderkey").select("o_orderkey", "o_totalprice")
 
 
-@query()
+_ROUGH = "1.42 * p_retailprice - 0.74"
+_PICKS = [[("", x.value), *nonlinear.nearby_constants(float(x.value))] for x in parse(_ROUGH).iter_preorder() if isinstance(x, Number)]
+_PICKS_SQL = ", ".join(f"('{a},{b}', {int(bool(a)) + int(bool(b))}, CAST({v!r} AS DOUBLE), CAST({w!r} AS DOUBLE))" for a, v in _PICKS[0] for b, w in _PICKS[1])
+
+
+@query(f"""WITH t AS (SELECT p_retailprice AS p, p_retailprice * sqrt(2) - 0.75 AS y FROM part), m AS (SELECT avg(y) AS m, var_pop(y) * count(*) AS total FROM t),
+c AS (SELECT choices, CAST(simple AS BIGINT) AS simple, 1 - sum((y - (v * p - w)) ** 2) / any_value(total) AS r2 FROM (VALUES {_PICKS_SQL}) AS k(choices, simple, v, w), t, m GROUP BY ALL),
+b AS (SELECT simple, max(r2) AS r2, arg_max(choices, (r2, choices)) AS choices FROM c GROUP BY 1)
+SELECT choices, simple, round(r2, 9) AS r2 FROM (SELECT *, max(r2) OVER (ORDER BY simple DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b) WHERE before IS NULL OR r2 > before""")
 def constant_fit(spark, d):
-    df = read(spark, d, "part").withColumn("y", F.col("p_retailprice") * (2 / 3) + math.pi)
-    front = nonlinear.constant_fit("0.6667 * p_retailprice + 3.1416", df, "y")
-    return spark.createDataFrame([(",".join(str(c) for c in m["choices"]), m["simple"], round(m["r2"], 9)) for m in front], "choices string, simple long, r2 double")
+    df = read(spark, d, "part").withColumn("y", F.col("p_retailprice") * math.sqrt(2) - 0.75)
+    front = nonlinear.constant_fit(_ROUGH, df, "y")
+    return spark.createDataFrame([(",".join(c or "" for c in m["choices"]), m["simple"], round(m["r2"], 9)) for m in front], "choices string, simple long, r2 double")
 
 
 @query()
 def eic(spark, d):
-    rows = nonlinear.noise_amplification("l_quantity / (l_extendedprice - l_quantity * 900) + l_quantity", read(spark, d, "lineitem"))
-    return spark.createDataFrame([(r["node"], r["diagnosis"]) for r in rows], "node string, diagnosis string")
+    rows = nonlinear.noise_amplification("l_quantity / (l_extendedprice - l_quantity * 900) + l_quantity", read(spark, d, "lineitem"), repeats=2)
+    return spark.createDataFrame([(r["path"], r["node"], r["diagnosis"], None if r["impact"] is None else round(r["impact"], 6)) for r in rows], "path string, node string, diagnosis string, impact double")
 
 
-@query()
+_SEARCHED = ["l_quantity", "p_retailprice", "l_discount"]
+_SEARCH_SQL = " UNION ALL ".join(
+    f"SELECT '{e}' AS formula, CAST({len(e)} AS BIGINT) AS complexity, CASE WHEN var_pop(v) > 1e-20 * avg(v * v) THEN regr_r2(y, v) END AS r2 FROM (SELECT y, CASE WHEN isfinite({to_sql(e)}) THEN {to_sql(e)} END AS v FROM l)"
+    for e in nonlinear.enumerate_formulas(_SEARCHED, most=100)
+)
+
+
+@query(f"WITH l AS MATERIALIZED (SELECT l_extendedprice AS y, CAST(l_quantity AS DOUBLE) AS l_quantity, p_retailprice, l_discount FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT formula, complexity, {S('r2')} AS r2 FROM ({_SEARCH_SQL}) WHERE isfinite(r2) ORDER BY round(r2, 9) DESC, complexity, formula LIMIT 5")
 def formula_search(spark, d):
-    found = nonlinear.search(lines(spark, d), ["l_quantity", "p_retailprice", "l_discount"], "l_extendedprice")[:5]
+    found = nonlinear.search(lines(spark, d), _SEARCHED, "l_extendedprice")[:5]
     return told(spark.createDataFrame([(m["formula"], m["complexity"], m["r2"]) for m in found], "formula string, complexity long, r2 double"))
 
 
-@query()
+@query("SELECT user_id, count(*) AS n, true AS exact FROM (SELECT DISTINCT user_id, ts FROM events) GROUP BY 1 HAVING count(*) > 1")
 def ode_rollout(spark, d):
+    """Each user's events as the times at which a law's trajectory, of another start for each user, is observed."""
     importable(spark)
-    users = read(spark, d, "events").select((F.col("user_id") % 7).alias("k")).distinct()
-    rows = users.select("k", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("s")).select("k", (F.col("s") / 10).alias("t"), (F.exp(-0.4 * F.col("s") / 10) * (F.col("k") + 1)).alias("x"))
-    return nonlinear.rollout_rmse(rows, "-0.4 * x", by="k").select("k", "n", (F.col("rmse") < 1e-8).alias("exact"))
+    times = read(spark, d, "events").select("user_id", (F.col("ts").cast("timestamp").cast("double") / 86400).alias("at")).distinct()
+    first = times.groupBy("user_id").agg(F.min("at").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    rows = times.join(first, "user_id").select("user_id", (F.col("at") - F.col("first")).alias("t"))
+    rows = rows.withColumn("x", (1 + F.col("user_id") % 5) * F.exp(-0.4 * F.col("t")) + F.col("t"))
+    return nonlinear.rollout_rmse(rows, "1 - 0.4 * (x - t)", by="user_id").select("user_id", "n", (F.col("rmse") < 1e-7).alias("exact"))
 
 
 # streams, as what they come to
@@ -559,7 +714,13 @@ def text_sort_unique(spark, d):
     return text.sort(read(spark, d, "documents").select(F.col("source").alias("line")), unique=True, reverse=True)
 
 
-@query()
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', chr(10), 'g')"
+_SHOWN = _BARE
+for _e, _c in (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _SHOWN = f"replace({_SHOWN}, '{_e}', '{_c}')"
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_SHOWN}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM pages")
 def html_text(spark, d):
     return read(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
@@ -580,9 +741,9 @@ def anti_join(spark, d):
     return Dataset(read(spark, d, "orders"), "o_totalprice").anti(poor, "o_custkey").frame.select("o_orderkey", "o_totalprice")
 
 
-@query(f"SELECT l_orderkey, l_linenumber, {S('l_extendedprice * (1 - l_discount)')} AS revenue, {S('ln(l_extendedprice)')} AS log_price FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue, floor(ln(l_extendedprice) * 1e6 + 0.5) / 1e6 AS log_price FROM lineitem")
 def derived_features(spark, d):
     from ..sources.dataset import Dataset
 
     ds = Dataset(read(spark, d, "lineitem"), "l_extendedprice").add_features({"revenue": "l_extendedprice * (1 - l_discount)", "log_price": "ln(l_extendedprice)"})
-    return told(ds.frame.select("l_orderkey", "l_linenumber", "revenue", "log_price"))
+    return ds.frame.select("l_orderkey", "l_linenumber", "revenue", six(F.col("log_price")).alias("log_price"))

@@ -11,6 +11,10 @@ def _number(v: float, number_format: str | None) -> str:
     return format(v, number_format) if number_format else repr(v)
 
 
+def render(e: Expr, *, latex: bool = False, number_format: str | None = None) -> str:
+    return (to_latex if latex else to_text)(e, number_format)
+
+
 def to_text(e: Expr, number_format: str | None = None) -> str:
     return _text(e, 0, number_format)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -12,7 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.nodes import Expr
+from ..functions import metrics
+from ..plans.nodes import Expr, Symbol
 from ..plans.parse import parse
 
 
@@ -21,6 +23,7 @@ class Dataset:
     frame: DataFrame
     target: str
     features: list[str] = field(default_factory=list)
+    axes: dict[str, list[str]] = field(default_factory=dict)  # of a variable, the columns that place its values
     revision: int = 0
     _splits: dict = field(default_factory=dict)
 
@@ -35,7 +38,9 @@ class Dataset:
         return self.selected().schema
 
     def selected(self) -> DataFrame:
-        return self.frame.select(*self.features, self.target)
+        """Features, target and their axes."""
+        own = [*self.features, self.target]
+        return self.frame.select(*dict.fromkeys([*own, *(a for v in own for a in self.axes.get(v, ()))]))
 
     def _changed(self) -> Dataset:
         self.revision += 1
@@ -127,50 +132,61 @@ def synthetic(spark: SparkSession, formula: str, features: dict[str, tuple[float
     return df
 
 
-def demo(spark: SparkSession, kind: str):
-    """Small data sets of known laws; for kuramoto_ba, (states, edges)."""
-    rng = np.random.default_rng(42)
-    if kind == "polynomial":
-        x1, x2 = rng.uniform(-2, 2, 240), rng.uniform(-2, 2, 240)
-        return spark.createDataFrame(list(zip(x1.tolist(), x2.tolist(), (1 + x1**2 + 2 * x1 * x2).tolist(), strict=True)), "x1 double, x2 double, y double")
-    if kind == "grouped_parameters":
-        x1, x2, g = rng.uniform(0.5, 2, 300), rng.uniform(0, 2, 300), np.arange(300) % 3
-        rate = np.array([0.45, 0.9, 1.35])[g]
-        return spark.createDataFrame(list(zip(x1.tolist(), x2.tolist(), [("low", "medium", "high")[i] for i in g], (x1 * np.exp(-(rate**2) * x2)).tolist(), strict=True)), "x1 double, x2 double, label string, y double")
-    if kind == "driven_ode":
-        t = np.linspace(0, 18, 721)
-        f = lambda t, x: 1.15 * np.sin(1.35 * t) + 0.42 * np.sin(2.7 * t) - 0.24 * x - 0.075 * x**3
-        x, out = 0.4, []
-        for a, b in zip(t, [*t[1:], None], strict=True):
-            out.append((float(a), float(x), float(f(a, x))))
-            if b is not None:
-                h = (b - a) / 8
-                for k in range(8):
-                    s = a + k * h
-                    k1 = f(s, x)
-                    k2 = f(s + h / 2, x + h / 2 * k1)
-                    k3 = f(s + h / 2, x + h / 2 * k2)
-                    x += h / 6 * (k1 + 2 * k2 + 2 * k3 + f(s + h, x + h * k3))
-        return spark.createDataFrame(out, "t double, x double, dx_dt double")
-    if kind == "kuramoto_ba":
-        n, edges = 10, []
-        for v in range(2, n):  # each new node meets two earlier ones, by their degree
-            ends = [e for p in edges for e in p] or [0, 1]
-            picked: list[int] = []
-            while len(picked) < 2:
-                u = int(rng.choice(ends)) if edges else len(picked)
-                if u not in picked:
-                    picked.append(u)
-            edges += [(v, u) for u in picked]
-        both = edges + [(b, a) for a, b in edges]
-        theta, omega, rows = rng.uniform(-math.pi, math.pi, n), rng.normal(0, 0.5, n), []
-        degree = np.bincount([a for a, _ in both], minlength=n)
-        for step in range(481):
-            pull = np.zeros(n)
-            for a, b in both:
-                pull[a] += math.sin(theta[b] - theta[a])
-            rate = omega + 0.65 * pull / np.maximum(degree, 1)
-            rows += [(step, i, float(theta[i]), float(omega[i]), float(rate[i])) for i in range(n)]
-            theta = theta + 0.025 * rate
-        return spark.createDataFrame(rows, "sample long, node long, theta double, omega double, dtheta double"), spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(both)], "row_id long, target long, source long")
-    raise ValueError(f"no demo {kind!r}")
+DEMOS = ("quadratic_surface", "decay_by_material", "forced_relaxation", "ring_diffusion")
+
+
+def demo(spark: SparkSession, kind: str, rows: int = 240):
+    """Small data sets of known laws, made by Spark and the same on every run; for ring_diffusion, (states, edges).
+
+    quadratic_surface: w = 3 - u v / 2 + v^2. decay_by_material: m = a exp(-k t), k by material. forced_relaxation: a series of
+    dx/dt = cos(2 t) / 2 - 4 x / 5 in closed form. ring_diffusion: du/dt = sum of (neighbour - u) / 4 on a ring of 12 nodes, the
+    state being one of its waves, which only fades.
+    """
+    at = lambda k: F.pmod(F.col("id") * F.lit((math.sqrt(k) % 1.0) + 0.1), F.lit(1.0))
+    ids = spark.range(rows)
+    if kind == "quadratic_surface":
+        return ids.select(*[(4 * at(k) - 2).alias(n) for n, k in (("u", 2), ("v", 3))]).withColumn("w", parse("3 - 0.5 * u * v + v**2").to_column())
+    if kind == "decay_by_material":
+        names, rates = ["glass", "steel", "wood"], {"glass": 0.2, "steel": 1.1, "wood": 0.6}
+        df = ids.select((1 + at(2)).alias("a"), (3 * at(3)).alias("t"), F.get(F.array(*map(F.lit, names)), (F.col("id") % 3).cast("int")).alias("material"))
+        k = F.element_at(F.create_map(*[F.lit(v) for n in names for v in (n, rates[n])]), F.col("material"))
+        return df.withColumn("m", F.col("a") * F.exp(-k * F.col("t")))
+    if kind == "forced_relaxation":
+        t = F.col("id") / 20
+        wave = (0.8 * F.cos(2 * t) + 2 * F.sin(2 * t)) * (0.5 / (0.8 * 0.8 + 4))
+        return ids.select(t.alias("t"), (wave + F.exp(-0.8 * t)).alias("x")).withColumn("dx", parse("0.5 * cos(2 * t) - 0.8 * x").to_column())
+    if kind == "ring_diffusion":
+        n, turn = 12, 2 * math.pi / 12
+        fade = 2 * 0.25 * (1 - math.cos(turn))
+        states = ids.select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("node"))
+        states = states.withColumn("u", F.cos(F.col("node") * turn) * F.exp(F.col("sample") / 10 * -fade)).withColumn("du", -fade * F.col("u"))
+        edges = spark.range(2 * n).select(F.col("id").alias("row_id"), (F.col("id") % n).alias("target"), F.pmod(F.col("id") % n + F.when(F.col("id") < n, 1).otherwise(n - 1), F.lit(n)).alias("source"))
+        return states, edges
+    raise ValueError(f"no demo {kind!r}: one of {DEMOS}")
+
+
+def load_problems(spark: SparkSession, folder: str, split: str, samples: dict[str, DataFrame] | None = None) -> list[dict]:
+    """Benchmark problems from the Parquet tables `<folder>/data/<split>-*` (name, symbols, symbol_descs, symbol_properties, expression).
+
+    A row is a problem, and problems are few. Expressions are written in this language: `P(t)` as P, `^` as a power, and pi and e
+    as numbers where they aren't symbols. A problem with other names is left out. samples: a frame for each name, with a
+    column for each symbol, the target first; then r2 of the true law over it is told, too. HDF5 isn't read.
+    """
+    rows = spark.read.parquet(f"{folder.rstrip('/')}/data/{split}-*").select("name", "symbols", "symbol_descs", "symbol_properties", "expression").orderBy("name").collect()
+    out = []
+    for r in rows:
+        text = r["expression"]
+        for s in r["symbols"]:
+            text = re.sub(rf"\b{re.escape(s)}\(t\)", s, text)
+        for name, value in (("pi", math.pi), ("e", math.e)):
+            if name not in r["symbols"]:
+                text = re.sub(rf"\b{name}\b", repr(value), text)
+        law = parse(text.replace("^", "**"))
+        if {x.name for x in law.iter_preorder() if isinstance(x, Symbol)} - set(r["symbols"]):
+            continue
+        problem = r.asDict() | {"law": law, "target": r["symbols"][0]}
+        if samples and r["name"] in samples:
+            df = samples[r["name"]]
+            problem["r2"] = df.agg(metrics.r2(F.col(f"`{r['symbols'][0]}`"), law.to_column()).alias("r2")).first()["r2"]
+        out.append(problem)
+    return out

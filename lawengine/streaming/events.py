@@ -104,3 +104,58 @@ def drained(stream: DataFrame, name: str, *, mode: str = "append", checkpoint: s
 def to_table(stream: DataFrame, path: str, checkpoint: str):
     """Exactly-once append to Parquet."""
     return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def to_records(stream: DataFrame, sink, checkpoint: str, *, order: str = "seq", most: int = 32, poll: str | None = None):
+    """Hand the records of a stream to sink(list of dicts), in the order of `order` within a batch, at most `most` at a time.
+
+    No more than `most` records are on the driver at once, and the next ones are fetched when sink returns: a slow sink holds the
+    stream back. A batch that fails is handed over again, so a sink that must not see records twice remembers the last one.
+    poll: the trigger's interval; without it, all there is now.
+    """
+
+    def hand_over(df: DataFrame, batch: int) -> None:
+        held: list[dict] = []
+        for r in df.orderBy(order).toLocalIterator():
+            held.append(r.asDict(recursive=True))
+            if len(held) == most:
+                sink(held)
+                held = []
+        if held:
+            sink(held)
+
+    w = stream.writeStream.foreachBatch(hand_over).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=poll) if poll else w.trigger(availableNow=True)).start()
+
+
+class Cursor:
+    """A reader's place in a timeline, kept as a table: one row for each move, of which the last counts."""
+
+    def __init__(self, spark: SparkSession, path: str, name: str):
+        self.spark, self.path, self.name = spark, path, name
+
+    def get(self) -> int:
+        from pyspark.errors import AnalysisException
+
+        try:
+            rows = self.spark.read.parquet(self.path)
+        except AnalysisException:  # no move yet
+            return 0
+        last = rows.filter(F.col("name") == self.name).agg(F.max_by("seq", "move").alias("seq")).first()["seq"]
+        return 0 if last is None else last
+
+    def set(self, seq: int) -> None:
+        move = F.unix_micros(F.current_timestamp()).alias("move")
+        self.spark.range(1).select(F.lit(self.name).alias("name"), F.lit(int(seq)).cast("long").alias("seq"), move).write.mode("append").parquet(self.path)
+
+    def page(self, df: DataFrame, *, limit: int = 32, capacity: int = 1000) -> tuple[list[dict], dict]:
+        """The next records, after which the cursor moves on; a cursor beyond the timeline's end begins anew."""
+        at = self.get()
+        rows, told = page(df, at, limit=limit, capacity=capacity)
+        if told["cursor_reset"]:
+            rows, again = page(df, 0, limit=limit, capacity=capacity)
+            told = again | {"cursor_reset": True}
+        got = [r.asDict() for r in rows.collect()]  # at most `limit`
+        if got or told["cursor_reset"]:
+            self.set(got[-1]["seq"] if got else 0)
+        return got, told

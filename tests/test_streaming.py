@@ -21,3 +21,23 @@ def test_timeline(spark):
     assert got == {"a": ("delta", "xy", False), "b": ("done", "z", True)}
     rows, state = events.page(df, 0, limit=2, capacity=3)
     assert [r["seq"] for r in rows.collect()] == [3, 4] and state["truncated"] and state["discarded_through"] == 2
+
+
+def test_records_are_handed_over_in_order_and_few_at_a_time(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"r{i % 3}", "delta", str(i)) for i in range(70)], "seq long, response_id string, kind string, payload string")
+    df.repartition(5).write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    events.to_records(stream, lambda rows: seen.append([r["seq"] for r in rows]), str(tmp_path / "c")).awaitTermination()
+    assert [len(s) for s in seen] == [32, 32, 6] and [x for s in seen for x in s] == list(range(70))
+
+
+def test_a_cursor_is_kept(spark, tmp_path):
+    df = spark.createDataFrame([(i, str(i)) for i in range(1, 51)], "seq long, payload string")
+    at = events.Cursor(spark, str(tmp_path / "cursors"), "reader")
+    first, _ = at.page(df)
+    again, told = events.Cursor(spark, str(tmp_path / "cursors"), "reader").page(df)
+    assert [r["seq"] for r in first] == list(range(1, 33)) and [r["seq"] for r in again] == list(range(33, 51)) and not told["truncated"]
+    assert at.page(df)[0] == [] and at.get() == 50
+    fresh, told = at.page(df.filter("seq < 5"))
+    assert told["cursor_reset"] and [r["seq"] for r in fresh] == [1, 2, 3, 4] and at.get() == 4
