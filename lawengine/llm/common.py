@@ -57,6 +57,7 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     `discard`, or else when the driver's Python ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, name)
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -94,8 +95,22 @@ def portions(batch, column: str, most: int = 4 << 20):
         at += n
 
 
+#: Bytes of an Arrow batch, for each direction of each Python worker, and rows of a batch that is read from Parquet: whole texts
+#: are long, and a task holds a few batches.
+ARROW_BYTES, PARQUET_ROWS = 8 << 20, 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's batches for long rows; settings that are smaller already stay."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", PARQUET_ROWS)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -125,10 +140,19 @@ def only_columns(df: DataFrame, *names: str) -> DataFrame:
     return numbered(df).select(*[F.col(f"`#{i}`").alias(n) for i, n in zip(at, names, strict=True)])
 
 
+#: Rows of keys (a few numbers each) up to which they are broadcast, so that whole texts need not be shuffled to meet them.
+KEYS = 500_000
+
+
+def bounded(df: DataFrame, rows: int = KEYS) -> DataFrame:
+    """df to be broadcast, if it has no more rows than that; a larger one is shuffled. It is counted first, so it should be cheap to read."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def without(documents: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of documents, all columns, whose (doc_id, text_hash) isn't among keys; nulls are equal to nulls."""
     rows, keys = keyed(documents), keys.select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash")).distinct()
-    left = rows.join(keys, rows["row_id"].eqNullSafe(F.col("key_id")) & (F.col("row_hash") == F.col("key_hash")), "left_anti")
+    left = rows.join(bounded(keys), rows["row_id"].eqNullSafe(F.col("key_id")) & (F.col("row_hash") == F.col("key_hash")), "left_anti")
     return left.drop("row_id", "row_hash").toDF(*documents.columns)
 
 

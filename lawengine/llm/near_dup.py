@@ -57,7 +57,7 @@ SAMPLE, SHARE = 64, 250
 SLOTS = 1 << 20
 #: Sets whose texts are to be read, up to which the list (four longs a row) is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 400_000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _odd = np.random.default_rng(11).integers(1 << 62, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -336,6 +336,7 @@ def _of_small_groups(items: DataFrame, per_cent: int) -> DataFrame:
                 a, b = sorted((root[i], root[j]))
                 root = [a if r == b else r for r in root]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["id", "root"])
+        trim()
 
     return items.repartition("group").sortWithinPartitions("group").mapInArrow(run, "id long, root long")
 
@@ -382,6 +383,7 @@ def _differences(items: DataFrame, centres: DataFrame, per_cent: int) -> DataFra
                 g, i, c, s, d = zip(*out, strict=True)
                 ends = pa.array(np.cumsum([0, *map(len, d)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (g, i, c, s)], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(d)))], ["group", "id", "cost", "slack", "delta"])
+            trim()
 
     dealt = own.union(centre).repartition("group", "share").sortWithinPartitions("group", "share", "kind")
     return dealt.mapInArrow(run, "group long, id long, cost long, slack long, delta array<long>")

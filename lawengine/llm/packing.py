@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import discard, only_columns, written
+from .common import discard, only_columns, trim, written
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -65,6 +65,7 @@ def pieces(documents: DataFrame, tokenizer: str, *, kind: str = "word", end_id:
                         c.append(v)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names)
+            trim()
 
     docs = only_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)

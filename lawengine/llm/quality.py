@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, only_columns, place_of, written
+from .common import numbered, only_columns, place_of, trim, written
 
 BITS = 18
 SAMPLE = 8_000
@@ -38,7 +38,7 @@ _known: dict[bytes, int] = {}
 
 def _bucket(word: bytes) -> int:
     if word not in _known:
-        if len(_known) > 500_000:
+        if len(_known) > 200_000:
             _known.clear()
         _known[word] = 256 + xxhash.xxh32_intdigest(word) % ((1 << BITS) - 256)
     return _known[word]
@@ -150,6 +150,7 @@ def score(documents: DataFrame, model: Model | None, *, least: float = 0.5) -> D
         for b in it:
             t = _tails(b.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(t.sum(1)), pa.array(t[:, -1]), pa.array(t[:, -1] >= least)], ["doc_id", "expected_grade", "p_top", "kept"])
+            trim()
 
     docs = only_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return docs.mapInArrow(run, "doc_id long, expected_grade double, p_top double, kept boolean")
@@ -158,10 +159,13 @@ def score(documents: DataFrame, model: Model | None, *, least: float = 0.5) -> D
 def accepted(documents: DataFrame, model: Model | None, *, least: float = 0.5) -> DataFrame:
     """The rows of documents, all columns, whose probability of the highest grade is `least` or more."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    at, rows = place_of(documents, "text"), numbered(documents)
 
-    def run(it):
-        for b in it:
-            yield b.filter(pa.array(_tails(b.column(at), shared.value)[:, -1] >= least))
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
+        out = pa.array(_tails(texts, shared.value)[:, -1] >= least)
+        trim()
+        return out
 
-    return rows.mapInArrow(run, rows.schema).toDF(*documents.columns)
+    # only the texts go to Python, and a truth value for each comes back
+    rows = numbered(documents)
+    return rows.filter(kept(F.col(f"`#{place_of(documents, 'text')}`"))).toDF(*documents.columns)

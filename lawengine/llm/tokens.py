@@ -22,7 +22,7 @@ PIECES = {
 #: A space beside white space: there a cut before each space is not one of the pre-tokenizer's.
 MIXED = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 #: Pieces, and words with what clings to them, that a worker keeps before it starts again; bounds its memory only.
-KEPT = 1_000_000
+KEPT = 400_000
 
 
 class Pieces(dict):
