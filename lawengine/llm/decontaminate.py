@@ -8,7 +8,7 @@ word with those of the items. Items shorter than the window are one window of th
 looked up at every place.
 
 A null text has no words and is not contaminated. Rows are judged each by its own text, whatever their doc_id, null and
-repeated ones included. An item without an id contaminates, but can't be named. Ids may be of any type. An empty
+repeated ones included. An item without an id contaminates, but can't be named. Item ids may be of any type. An empty
 documents table gives no rows, an empty benchmark no hits. Columns other than those named are not read.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, only_columns, without, written
+from .common import ascii_lower, bounded, discard, only_columns, without, written
 
 GRAM, KEEP = 5, 6
 WINDOW = GRAM + KEEP - 1
@@ -48,7 +48,7 @@ def _fingerprints():
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return bounded(df, BROADCAST_ROWS)
 
 
 def _window(start, length):
@@ -56,7 +56,7 @@ def _window(start, length):
 
 
 def _found(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored: all rows (doc_id, doc_key, text_hash, n_words); hits (doc_key, text_hash, start, length, window); windows of items.
+    """Stored: all rows (doc_id, doc_key, text_hash, n_words, prints); hits (doc_key, text_hash, start, length, window); windows of items.
 
     doc_key and text_hash tell rows of different content apart. Each hit is there once.
     """
@@ -84,7 +84,8 @@ def _found(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataF
         "document-prints",
     )
     met = prints.select("doc_key", "text_hash", F.explode("prints").alias("print")).join(_bounded(kept.select("print").distinct()), "print", "left_semi")
-    near = docs.join(met.select("doc_key", "text_hash").distinct(), ["doc_key", "text_hash"]).select("doc_key", "text_hash", words(F.col("text")).alias("words"))
+    keys = written(met.select("doc_key", "text_hash").distinct(), "hit-documents")
+    near = docs.join(bounded(keys), ["doc_key", "text_hash"]).select("doc_key", "text_hash", words(F.col("text")).alias("words"))
     # with the hashes of words: what is made from them below would compute them anew for each element
     near = written(near.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))), "near-documents")
 
@@ -102,13 +103,14 @@ def _found(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataF
     tried = near.join(of_row, ["doc_key", "text_hash"]).select("doc_key", "text_hash", F.explode(F.transform("starts", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), _window(s["start"], s["length"]).alias("window")))).alias("w"))
     hits = tried.select("doc_key", "text_hash", "w.*").join(_bounded(windows.select("length", "window").distinct()), ["length", "window"], "left_semi").distinct()
     hits = written(hits.select("doc_key", "text_hash", "start", "length", "window"), "document-hits")
-    discard(items, kept, near)
-    return prints.select("doc_id", "doc_key", "text_hash", "n_words"), hits, windows
+    discard(items, kept, keys, near)
+    return prints, hits, windows
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, spans array<struct<start, length>> of windows hit and items array: one row for each document."""
-    rows, hits, windows = _found(documents, benchmark)
+    prints, hits, windows = _found(documents, benchmark)
+    rows = prints.select("doc_id", "doc_key", "text_hash", "n_words")
     key = ["doc_key", "text_hash"]
     spans = hits.groupBy(*key).agg(F.collect_set(F.struct("start", "length")).alias("spans"))
     # of a row's windows each text counts once before it meets the items that have it
@@ -132,6 +134,8 @@ def contamination_digest(documents: DataFrame, benchmark: DataFrame) -> DataFram
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents, all columns, without those that hold a window of an item."""
-    rows, hits, _ = _found(documents, benchmark)
-    bad = hits.select("doc_key", "text_hash").distinct()
-    return without(documents, rows.join(bad, ["doc_key", "text_hash"]).select("doc_id", "text_hash"))
+    prints, hits, windows = _found(documents, benchmark)
+    bad = bounded(hits.select("doc_key", "text_hash").distinct())
+    keys = written(prints.join(bad, ["doc_key", "text_hash"]).select("doc_id", "text_hash").distinct(), "contaminated")
+    discard(prints, hits, windows)
+    return without(documents, keys)

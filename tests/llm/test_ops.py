@@ -76,6 +76,15 @@ def test_url_templates_are_merged_from_the_top_down(spark):
     assert flat[59].startswith("/u/name")
 
 
+def test_url_host_of_very_many_branches(spark):
+    """Thousands of different children, most met once, and a path of very many segments: one template, and no crash."""
+    rows = [(i, f"http://big.com/p/slug-{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000]}/end") for i in range(3000)]
+    rows += [(5000, "http://big.com/" + "a/" * 3000), (5001, "http://big.com/p//end"), (None, "http://big.com/p/x/end")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), {}).collect()
+    assert len(got) == 3003 and {r["template"] for r in got if r["page_id"] is not None and r["page_id"] < 3000} == {"/p/*/end"}
+    assert all(r["verdict"] == "allow" and r["rule"] is None for r in got)
+
+
 def test_url_filter_equals_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
@@ -652,6 +661,21 @@ def test_nearest_odd(spark):
     assert ann.search(df.filter("vec_id = 1"), F.pmod("vec_id", F.lit(50)) == 0).count() == 0
 
 
+def test_nearest_of_long_vectors_and_repeated_ids(spark):
+    """Rows of one id are its own row, however many; vectors longer than a byte's worth of signs per batch."""
+    rng = np.random.default_rng(17)
+    v = rng.normal(size=(120, 700))
+    ids = [0] * 60 + list(range(1, 61))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") == 7, k=4).orderBy("rank").collect()
+    at = ids.index(7)
+    score = v @ v[at] / np.linalg.norm(v, axis=1) / np.linalg.norm(v[at])
+    want = sorted((-s, k) for s, k in zip(score, ids, strict=True) if k != 7)[:4]
+    assert [r["vec_id"] for r in got] == [k for _, k in want] and [r["score"] for r in got] == pytest.approx([-s for s, _ in want])
+    alone = ann.search(df.filter("vec_id = 0"), F.col("vec_id") == 0)
+    assert alone.count() == 0
+
+
 # 9
 
 
