@@ -5,7 +5,7 @@ text, anything but letters taken as a space) give each language a smoothed multi
 Inference: a document is a mixture of languages; expectation-maximisation finds the proportions that make its
 n-grams likeliest. The set of languages is then reduced: the one of the least proportion is left out as long as
 the penalised likelihood (log likelihood less half the logarithm of the number of n-grams for each language) gains.
-The answer is the language of the largest proportion; its proportion is the score.
+The answer is the language of the largest proportion (of equal ones the first by name); its proportion is the score.
 
 A null text, or one without a letter, is `und` with score 0, as is every text if nothing is known of any language.
 Rows with one doc_id are judged each by its own text. An empty table gives no rows. Columns other than doc_id, text
@@ -94,7 +94,7 @@ def infer(text: bytes, p: np.ndarray) -> np.ndarray:
     w, fit = proportions(rows, c)
     penalty = 0.5 * np.log(c.sum() + 1)
     while len(live) > 1:
-        less = np.delete(np.arange(len(live)), w.argmin())
+        less = np.delete(np.arange(len(live)), len(w) - 1 - w[::-1].argmin())  # of equal ones the last by name
         w2, fit2 = proportions(rows[:, live[less]], c)
         if fit2 + penalty < fit:
             break

@@ -151,7 +151,7 @@ def plain_language(rows):
         live = list(p)
         w, fit = plain_mixture(p, live, c)
         while len(live) > 1:
-            fewer = [x for x in live if x != min(live, key=lambda x: w[x])]
+            fewer = [x for x in live if x != min(reversed(live), key=lambda x: w[x])]
             w2, fit2 = plain_mixture(p, fewer, c)
             if fit2 + 0.5 * math.log(sum(c.values()) + 1) < fit:
                 break
