@@ -14,8 +14,8 @@ so on; the last class holds all up to `SMALLEST`. A class of greatest length u i
    ranges before: a piece and a part of one depth, next to each other, belong together. So conflicts are resolved by rank.
 4. Gaps are updated, and the next superstep begins.
 
-When a superstep has placed less than a `WORTH` of the class's pieces, new sequences are opened for the rest, in each
-range by itself, and the next class follows. Only the numbers of pieces in each class (twelve or so) and of parts and
+When a superstep has placed nothing, new sequences are opened for the class's other pieces, in each range by itself, and the
+next class follows. Only the numbers of pieces in each class (twelve or so) and of parts and
 pieces left in each range (two for each task) reach the driver.
 
 A document longer than the capacity is cut into full pieces and a last, shorter one. Full pieces are sequences of their
@@ -41,8 +41,6 @@ from .tokens import encoder
 
 CAPACITY = 4096
 SMALLEST = 64
-#: Share of a class's pieces that a superstep must place for another one to follow.
-WORTH = 0.1
 #: Pieces and parts that one task matches.
 ROWS_PER_TASK = 200_000
 #: Rows of a task's matching. what: 0 placed, 1 a piece left, 2 an untouched part left; id: of the piece, or null.
@@ -195,7 +193,7 @@ def assign(spark: SparkSession, rows: DataFrame, *, capacity: int = CAPACITY) ->
             todo = written(met.filter("what = 1").select("id", "length").join(late.select("id"), "id", "left_anti"), "left")
             n = todo.count()
             discard(met, late, before)
-            if had - n < WORTH * sizes[k]:
+            if n == had:
                 break
         if n:
             steps += 1
@@ -210,8 +208,8 @@ def assign(spark: SparkSession, rows: DataFrame, *, capacity: int = CAPACITY) ->
 
 def pack(documents: DataFrame, tokenizer: str, *, kind: str = "word", end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) for each piece of each document."""
-    cut = written(pieces(documents, tokenizer, kind=kind, end_id=end_id, capacity=capacity, keep_ids=keep_ids), "pieces")
-    cut = cut.withColumn("id", F.monotonically_increasing_id())
+    cut = pieces(documents, tokenizer, kind=kind, end_id=end_id, capacity=capacity, keep_ids=keep_ids)
+    cut = written(cut.withColumn("id", F.monotonically_increasing_id()), "pieces")  # stored with the pieces: an id by place is read once
     rows = written(cut.select("id", "length"), "lengths")
     found = assign(documents.sparkSession, rows, capacity=capacity)
     discard(rows)

@@ -504,6 +504,20 @@ def test_packing(real):
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == plain_pieces(text_of(real))
 
 
+def test_packing_when_files_are_cut_anew(spark, real):
+    """Each piece once and no sequence too full, though the tables are read back by scans of other partitions."""
+    key = "spark.sql.files.openCostInBytes"
+    df = packing.pack(real.repartition(7), WORD)
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(1 << 30))
+        rows = df.collect()
+    finally:
+        spark.conf.set(key, before)
+    check_packed(rows, 4096)
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == plain_pieces(text_of(real))
+
+
 def test_packing_odd(spark):
     rows = packing.pack(docs(spark, ODD), WORD).collect()
     check_packed(rows, 4096)
