@@ -78,6 +78,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -85,4 +97,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op1_url_filter": sql.url_filter(URL_RULES), "op3_near_dup": sql.NEAR_DUP, "op7_suffix_dedup": sql.REPEATS, "op9_decontaminate": sql.CONTAMINATION}
+    return {"op1_url_filter": sql.url_filter(URL_RULES), "op3_near_dup": sql.NEAR_DUP, "op7_suffix_dedup": sql.REPEATS, "op9_decontaminate": sql.CONTAMINATION, "op12_divergence": sql.DIVERGENCE, "op13_centroids": sql.centroids()}

@@ -39,6 +39,48 @@ SELECT doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words, count(*) AS n_spans
 """
 
 
+def centroids(clusters: int = 16, rounds: int = 3, dim: int = 64, scale: int = 64) -> str:
+    """Every centroid is tried on every vector, in each round."""
+    away = "CAST(list_sum(list_transform(range(1, {dim} + 1), lambda i: (v[i] - m[i]) * (v[i] - m[i]))) AS BIGINT)".format(dim=dim)
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, v, best.k AS k, best.d AS d FROM (SELECT vec_id, any_value(v) AS v, min({{'d': {away}, 'k': c.k}}) AS best FROM x, c{k} c GROUP BY vec_id))")
+        if k < rounds:
+            mean = f"SELECT k, list(s ORDER BY i) AS m FROM (SELECT k, i, CAST(floor_div(sum(v[i]), count(*)) AS BIGINT) AS s FROM a{k}, range(1, {dim} + 1) t(i) GROUP BY k, i) GROUP BY k"
+            mean = mean.replace("floor_div(sum(v[i]), count(*))", "(sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*)")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.k AS k, coalesce(n.m, c.m) AS m FROM c{k} c LEFT JOIN ({mean}) n ON n.k = c.k)")
+    steps = ",\n".join(steps)
+    return f"""
+WITH x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dim}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, v AS m FROM x QUALIFY k < {clusters}),
+{steps}
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.k
+"""
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+#: Every group is met with every term of its lang, whether it occurs there or not.
+DIVERGENCE = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS terms FROM documents),
+t AS MATERIALIZED (SELECT lang, source, id, unnest(terms) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+g AS MATERIALIZED (SELECT lang, source, coalesce(any_value(s.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2) s USING (lang, source) GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + v) AS p, 1 + (1000000000::HUGEINT * (kept.n + 1)) // (v.n + v) AS q
+  FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(sum(x), 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT s.lang, s.source AS s, o.source AS o, ((s.p - o.p) * (s.p - o.p)) // o.p AS x FROM p s JOIN p o ON s.lang = o.lang AND s.term = o.term AND s.source <> o.source) y ON y.lang = a.lang AND y.s = a.source AND y.o = b.source
+  GROUP BY 1, 2, 3)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM f
+UNION ALL
+SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY ((p - q) * (p - q)) // q DESC, term) AS INTEGER) AS rank FROM p WHERE n > 0 AND p > q QUALIFY rank <= 200
+"""
+
+
 def _rule(of: dict[str, str]) -> str:
     out = "NULL"
     for rule in sorted(sorted(of, reverse=True), key=len):
