@@ -84,6 +84,12 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
+def op11_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .class_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import audit
 
