@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from .common import bounded, discard, only_columns, portions, trim, written
 
 #: Rows of counts that a task holds before it hands them on, and rows of a slice.
-HELD, SLICE = 400_000, 200_000
+HELD, SLICE = 150_000, 50_000
 UNIT = 1_000_000_000
 #: The letters that make up a term, everything but ASCII that is no letter.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -69,7 +69,7 @@ QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY {_off("p", "q")} D
 
 
 def _engine():
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
     con.execute("SET preserve_insertion_order = false")
     return con
 
