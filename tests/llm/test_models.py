@@ -157,7 +157,7 @@ def test_divergence_odd(spark, tmp_path):
 
 
 def test_slices_end_where_terms_do():
-    rows = [("en", f"w{i // 7:03d}") for i in range(700)] + [("fr", "w099")] * 50
+    rows = [("en", f"w{i // 7:03d}") for i in range(700)] + [("fr", "w099")] * 50  # sorted by term, then lang
     batches = pa.Table.from_pylist([{"lang": a, "term": b} for a, b in rows]).to_batches(max_chunksize=10)
     parts = [p.to_pylist() for p in divergence.slices(iter(batches), 25)]
     assert [tuple(r.values()) for p in parts for r in p] == rows and len(parts) > 20
