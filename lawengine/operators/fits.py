@@ -1,9 +1,8 @@
-"""Fits that need one pass over the data: sums of products in Spark, small linear algebra on the driver."""
+"""Linear fits: the triangular factor of the columns comes from one pass (`functions.triangular`), and small algebra on it from the driver."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
 from fractions import Fraction
 from itertools import combinations, combinations_with_replacement, product
 
@@ -13,81 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import ieee
 from ..functions.chance import chance
+from ..functions.triangular import factor, merged
 from .profile import _column
 
 
-@dataclass
-class Gram:
-    """n, means, and centred and scaled second moments of columns, the last being the target."""
-
-    names: list[str]
-    n: float
-    mean: np.ndarray
-    scale: np.ndarray
-    moments: np.ndarray
-    low: np.ndarray = field(default_factory=lambda: np.empty(0))
-
-    def solve(self, use: list[int] | None = None, ridge: float = 0.0, intercept: bool = True) -> tuple[np.ndarray, float]:
-        """(coefficients of the columns used, then the intercept), and the sum of squares left."""
-        k = len(self.names) - 1
-        use = list(range(k)) if use is None else use
-        m = self.moments if intercept else self.moments + self.n * np.outer(self.mean / self.scale, self.mean / self.scale)
-        a, b = m[np.ix_(use, use)], m[use, k]
-        c = np.linalg.lstsq(a + ridge * np.eye(len(use)), b, rcond=1e-13)[0] if use else np.empty(0)
-        left = float(m[k, k] - 2 * c @ b + c @ a @ c) * self.scale[k] ** 2
-        c = c * self.scale[k] / self.scale[use]
-        return np.append(c, self.mean[k] - c @ self.mean[use] if intercept else 0.0), max(left, 0.0)
-
-    @property
-    def rank(self) -> int:
-        k = len(self.names) - 1
-        return int(np.linalg.matrix_rank(self.moments[:k, :k], tol=1e-12 * max(self.n, 1)))
-
-
-def gram(df: DataFrame, columns: dict[str, Column], *, by: str | None = None) -> Gram | dict:
-    """Moments of columns over rows where all are finite, in two aggregates (first means and spreads, then products).
-
-    by: a column of few values; then a Gram for each of its values, centred and scaled alike.
-    """
-    names = list(columns)
-    cols = [F.col(f"_x{i}") for i in range(len(names))]
-    rows = df.select(*([F.col(by).alias("_by")] if by else []), *[c.alias(f"_x{i}") for i, c in enumerate(columns.values())])
-    ok = ieee.finite(cols[0])
-    for c in cols[1:]:
-        ok = ok & ieee.finite(c)
-    rows = rows.filter(ok)
-    first = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    if not first["n"]:
-        raise ValueError("no row is finite in all columns")
-    mean = np.array([first[f"m{i}"] for i in range(len(names))])
-    scale = np.array([first[f"s{i}"] or 1.0 for i in range(len(names))])
-    z = [(c - float(m)) / float(s) for c, m, s in zip(cols, mean, scale, strict=True)]
-    sums = [F.sum(z[i] * z[j]).alias(f"p{i}_{j}") for i in range(len(z)) for j in range(i, len(z))] + [F.count("*").alias("n")] + [F.sum(c).alias(f"t{i}") for i, c in enumerate(z)]
-    found = (rows.groupBy("_by") if by else rows.groupBy()).agg(*sums).collect()
-
-    def of(r) -> Gram:
-        m = np.zeros((len(z), len(z)))
-        for i in range(len(z)):
-            for j in range(i, len(z)):
-                m[i, j] = m[j, i] = r[f"p{i}_{j}"]
-        return Gram(names, r["n"], mean, scale, m, np.array([r[f"t{i}"] for i in range(len(z))]))
-
-    return {r["_by"]: of(r) for r in found} if by else of(found[0])
-
-
-def total_of(grams: dict) -> Gram:
-    parts = list(grams.values())
-    g = parts[0]
-    return Gram(g.names, sum(p.n for p in parts), g.mean, g.scale, sum(p.moments for p in parts), sum(p.low for p in parts))
-
-
-def without(total: Gram, part: Gram) -> Gram:
-    """The moments of all other rows, centred on their own means."""
-    n, low, m = total.n - part.n, total.low - part.low, total.moments - part.moments
-    shift = low / n
-    return Gram(total.names, n, total.mean + shift * total.scale, total.scale, m - n * np.outer(shift, shift), np.zeros_like(low))
-
-
 def _beta(x: float, a: float, b: float) -> float:
     """The regularised incomplete beta function, as a continued fraction."""
     if x <= 0 or x >= 1:
@@ -171,31 +99,29 @@ def polynomial_fit(df: DataFrame, features: list[str], target: str, *, degree: i
     terms = monomials(features, degree, interactions=interactions, only=only, never=never)
     named = {_name(features, p): monomial(cols, p) for p in terms}
     target_column = _column(target)
-    g = gram(df, named | {"_target": target_column})
+    g = factor(df, named | {"_target": target_column})
     names = [*named]
     largest = df.select(*[c.alias(f"_x{i}") for i, c in enumerate([*named.values(), target_column])])
     ok = ieee.finite(F.col("_x0"))
     for i in range(1, len(names) + 1):
         ok = ok & ieee.finite(F.col(f"_x{i}"))
     top = largest.filter(ok).agg(*[F.max(F.abs(f"_x{i}")).alias(f"m{i}") for i in range(len(names))]).first()
-    rms = lambda i: math.sqrt(max(g.moments[i, i] / g.n + (g.mean[i] / g.scale[i]) ** 2, 0.0)) * g.scale[i]
-    use, size = list(range(len(names))), max(rms(len(names)), 2.220446049250313e-16)
+    sizes = [g.rms(i) for i in range(len(names) + 1)]
+    use, size = list(range(len(names))), max(sizes[-1], 2.220446049250313e-16)
     c, left = g.solve(use, intercept=intercept)
     p = len(use) + intercept
     dof = g.n - p
-    m = g.moments if intercept else g.moments + g.n * np.outer(g.mean / g.scale, g.mean / g.scale)
-    inverse = np.linalg.pinv(m[np.ix_(use, use)]) if use else np.zeros((0, 0))
+    inverse, mean = g.inverse(use, intercept), g.mean
     spread = left / dof if dof > 0 else math.nan
-    errors = {names[i]: math.sqrt(max(spread * inverse[k, k], 0.0)) / g.scale[i] if dof > 0 else math.nan for k, i in enumerate(use)}
+    errors = {names[i]: math.sqrt(max(spread * inverse[k, k], 0.0)) if dof > 0 else math.nan for k, i in enumerate(use)}
     if intercept:
-        at = g.mean[use] / g.scale[use]
-        errors["1"] = math.sqrt(max(spread * (1 / g.n + at @ inverse @ at), 0.0)) if dof > 0 else math.nan
+        errors["1"] = math.sqrt(max(spread * (1 / g.n + mean[use] @ inverse @ mean[use]), 0.0)) if dof > 0 else math.nan
     full = {names[i]: float(v) for i, v in zip(use, c, strict=False)} | ({"1": float(c[-1])} if intercept else {})
     t = {n: v / errors[n] if errors[n] else math.copysign(math.inf, v) if v else math.nan for n, v in full.items()}
     removed: list[dict] = []
     constant = intercept
     while prune:
-        share = {i: (abs(v) * rms(i), abs(v) * top[f"m{i}"]) for i, v in zip(use, c, strict=False)}
+        share = {i: (abs(v) * sizes[i], abs(v) * top[f"m{i}"]) for i, v in zip(use, c, strict=False)}
         gone = [i for i, (r, most) in share.items() if r <= 1e-6 * size and most <= 1e-5 * size]
         drop = constant and abs(c[-1]) <= 1e-6 * size
         if len(gone) == len(use) and (drop or not constant):  # one has to stay
@@ -237,16 +163,16 @@ def power_law_fit(df: DataFrame, features: list[str], target: str, *, key: str |
         return {"status": "domain_inapplicable", "violations": bad}
     logs = {n: F.log(_column(n)) for n in [*features, target]}
     if key is None:
-        total, parts = gram(df, logs), {}
+        total, parts = factor(df, logs), {}
     else:
-        parts = gram(df.withColumn("_fold", F.pmod(F.col(key), F.lit(folds))), logs, by="_fold")
-        total = total_of(parts)
+        parts = factor(df, logs, by=F.pmod(F.col(key), F.lit(folds)))
+        total = merged(list(parts.values()))
     c, left = total.solve()
     out = {"status": "ok", "scale": math.exp(c[-1]), "exponents": dict(zip(features, map(float, c[:-1]), strict=True)), "rmse_log": math.sqrt(left / total.n), "n": total.n}
     out["snapped"] = {f: str(s) for f, v in out["exponents"].items() if (s := snap(v)) is not None}
     if len(parts) > 2:
         k = len(parts)
-        pseudo = np.array([k * c - (k - 1) * without(total, p).solve()[0] for p in parts.values()])
+        pseudo = np.array([k * c - (k - 1) * merged([p for other, p in parts.items() if other != fold]).solve()[0] for fold in parts])
         half = t_quantile(0.5 + confidence / 2, k - 1) * pseudo.std(0, ddof=1) / math.sqrt(k)
         out["intervals"] = {f: (float(m - h), float(m + h)) for f, m, h in zip(features, pseudo.mean(0), half, strict=False)}
     return out
@@ -262,7 +188,7 @@ def rational_fit(df: DataFrame, x: str, y: str, *, degrees: int = 2, key: str |
     rows = df.select(a.alias("x"), t.alias("y"), (chance(F.col(key) if key else F.concat_ws(",", a, t)) < held).alias("held"))
     train = rows.filter(~F.col("held"))
     cols = {f"x{k}": F.pow("x", F.lit(float(k))) for k in range(1, degrees + 1)} | {f"yx{k}": -F.col("y") * F.pow("x", F.lit(float(k))) for k in range(1, degrees + 1)} | {"_y": F.col("y")}
-    g = gram(train, cols)
+    g = factor(train, cols)
     tried = []
     for p, q in product(range(degrees + 1), range(degrees + 1)):
         c, _ = g.solve([*range(p), *range(degrees, degrees + q)])
@@ -294,8 +220,8 @@ def rational_fit(df: DataFrame, x: str, y: str, *, degrees: int = 2, key: str |
 
 
 def stlsq(df: DataFrame, library: dict[str, Column], target: str, *, threshold: float = 0.1, alpha: float = 0.05, rounds: int = 20) -> dict[str, float]:
-    """Sequentially thresholded ridge regression on a library of columns: one Gram matrix, all rounds on the driver."""
-    g = gram(df, library | {"_target": _column(target)})
+    """Sequentially thresholded ridge regression on a library of columns: one pass, all rounds on the driver."""
+    g = factor(df, library | {"_target": _column(target)})
     use = list(range(len(library)))
     c = np.zeros(1)
     for _ in range(rounds):

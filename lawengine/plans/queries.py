@@ -478,7 +478,7 @@ def delay_by_step(spark, d):
 
 @query(f"SELECT {S('regr_slope(l_extendedprice, l_quantity)')} AS slope, {S('regr_intercept(l_extendedprice, l_quantity)')} AS intercept, count(*) AS n FROM lineitem")
 def ols_fit(spark, d):
-    g = fits.gram(read(spark, d, "lineitem"), {"x": F.col("l_quantity"), "y": F.col("l_extendedprice")})
+    g = fits.factor(read(spark, d, "lineitem"), {"x": F.col("l_quantity"), "y": F.col("l_extendedprice")})
     c, _ = g.solve()
     return _one(spark, {"slope": float(c[0]), "intercept": float(c[1]), "n": int(g.n)})
 
@@ -511,6 +511,22 @@ def polynomial_terms(spark, d):
     return spark.createDataFrame([(k, rounded(v, 4), rounded(r["std_errors"][k], 4)) for k, v in r["coefficients"].items()], "term string, coefficient double, std_error double")
 
 
+_NEAR_SQL = """WITH d AS (SELECT l_quantity AS q, (l_quantity + 1e-3::DOUBLE * l_tax) - l_quantity AS t, l_extendedprice AS y FROM lineitem),
+g AS (SELECT regr_slope(q, t) AS s, avg(q) AS mq, avg(t) AS mt, avg(y) AS my FROM d), r AS (SELECT q - mq - s * (t - mt) AS q, t - mt AS t, y - my AS y FROM d, g),
+b AS (SELECT sum(q * y) / sum(q * q) AS bq, sum(t * y) / sum(t * t) AS bt FROM r),
+c AS (SELECT bq AS whole, bt - bq * s AS second, my - bq * mq - (bt - bq * s) * mt AS first FROM b, g)"""
+
+
+@query(f"{_NEAR_SQL} SELECT {_S6.format('whole - second')} AS a, {_S6.format('second')} AS b, {_S6.format('first')} AS c, CAST(2 AS BIGINT) AS rank FROM c")
+def collinear_fit(spark, d):
+    """Two features that differ by a thousandth of a third column; SQL fits that column itself and goes back."""
+    df = read(spark, d, "lineitem")
+    q = F.col("l_quantity")
+    g = fits.factor(df, {"a": q, "b": q + 1e-3 * F.col("l_tax"), "y": F.col("l_extendedprice")})
+    c, _ = g.solve()
+    return spark.createDataFrame([(*(float(f"{v:.5e}") for v in c), g.rank)], "a double, b double, c double, rank long")
+
+
 _LAW = "3 * l_discount + 2 * l_discount * l_quantity + 1"
 _KEPT = {"l_discount": "l_discount", "l_quantity*l_discount": "l_quantity * l_discount"}
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lawengine.functions import metrics, ranges
+from lawengine.functions import metrics, ranges, triangular
 from lawengine.operators import delay, fits, nonlinear, profile, split, text
 from lawengine.plans.indexed import Graph
 from lawengine.plans.parse import parse
@@ -430,3 +430,62 @@ def test_evaluators(spark):
     assert TOOLS["double"]["schema"]["required"] == ["v"] and call("double", v=2.0) == {"ok": True, "result": 4.0}
     assert not call("double")["ok"] and not call("none")["ok"]
     assert subsample(spark.range(100), 7, key="id").count() == 7
+
+
+# tall-skinny QR
+
+
+def test_factor_equals_numpys(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (5000, 4)) @ rng.normal(0, 1, (4, 4)) + [0, 1e6, -3, 5]
+    y = x @ [1, 2, 3, 4] + rng.normal(0, 0.1, 5000)
+    df = frame(spark, **{f"x{i}": x[:, i] for i in range(4)}, y=y).repartition(7)
+    g = triangular.factor(df, {c: F.col(c) for c in df.columns})
+    c, left = g.solve()
+    want, rest, *_ = np.linalg.lstsq(np.column_stack([x, np.ones(5000)]), y, rcond=None)
+    assert np.allclose(c[:4], want[:4], rtol=1e-8) and abs(c[4] - want[4]) < 1e-6 * abs(want[4]) and abs(left - rest[0]) < 1e-8 * rest[0] and g.n == 5000 and g.rank == 4
+    c, left = g.solve([0, 2], intercept=False)
+    want, rest, *_ = np.linalg.lstsq(x[:, [0, 2]], y, rcond=None)
+    assert np.allclose(c[:2], want, rtol=1e-10) and abs(left - rest[0]) < 1e-9 * rest[0]
+    assert np.allclose(g.inverse([0, 2], intercept=False), np.linalg.inv(x[:, [0, 2]].T @ x[:, [0, 2]]), rtol=1e-9)
+    assert np.allclose(g.mean[:4], x.mean(0)) and np.allclose(g.scale[:4], x.std(0))
+
+
+def test_near_collinear_polynomial_of_degree_four(spark):
+    """Powers of values from 10 to 11 are collinear to nine digits; products of them would be singular."""
+    rng = np.random.default_rng(6)
+    x = rng.uniform(10, 11, 4000)
+    y = 3 - 2 * x + 0.5 * x**4 + rng.normal(0, 1e-6, 4000)
+    r = fits.polynomial_fit(frame(spark, x=x, y=y).repartition(5), ["x"], "y", degree=4, prune=False)
+    z = np.column_stack([x, x * x, x * x * x, x * x * x * x])
+    z0, y0 = z - z.mean(0), y - y.mean()
+    q, t = np.linalg.qr(z0 / z0.std(0))
+    want = np.linalg.solve(t, q.T @ y0) / z0.std(0)
+    got = np.array([r["coefficients"][n] for n in ("x", "x**2", "x**3", "x**4")])
+    assert np.abs(z0 @ (got - want)).max() < 1e-10 * np.abs(y0).max() and r["rank"] == 4 and not r["deficient"]
+    assert abs(r["rmse"] - np.sqrt(np.mean((y0 - z0 @ want) ** 2))) < 1e-6 * r["rmse"]
+
+
+def test_rank_deficiency_is_told(spark):
+    rng = np.random.default_rng(7)
+    u, v = rng.normal(size=300), rng.normal(size=300)
+    df = frame(spark, u=u, v=v, w=2 * u - 3 * v + 1, k=np.full(300, 7.0), y=u + v)
+    r = triangular.factor(df, {c: F.col(c) for c in df.columns})
+    c, left = r.solve()
+    assert r.rank == 2 and left < 1e-20 and np.allclose(np.column_stack([u, v, 2 * u - 3 * v + 1, np.full(300, 7.0)]) @ c[:4] + c[4], u + v)
+
+
+def test_factor_of_many_columns_groups_and_odd_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 500))
+    y = x @ np.arange(500.0)
+    df = spark.createDataFrame([(r.tolist(), float(t)) for r, t in zip(x, y, strict=True)], "x array<double>, y double").repartition(3)
+    c, left = triangular.factor(df, {f"x{i}": F.get("x", F.lit(i)) for i in range(500)} | {"y": F.col("y")}).solve()
+    assert np.allclose(c[:500], np.arange(500.0), atol=1e-8) and left < 1e-12
+    odd = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", math.nan, 1.0), (None, 5.0, 1.0), (None, None, 1.0), ("b", math.inf, 2.0), ("c", 3.0, 3.0)], "g string, x double, y double")
+    by = triangular.factor(odd, {"x": F.col("x"), "y": F.col("y")}, by="g")
+    assert {k: g.n for k, g in by.items()} == {"a": 2, None: 1, "c": 1} and np.allclose(by["a"].solve()[0], [2, 0])
+    whole = triangular.merged([by["a"], by["c"], by[None]])
+    assert whole.n == 4 and np.allclose(whole.solve()[0], np.polyfit([1, 2, 3, 5], [2, 4, 3, 1], 1))
+    with pytest.raises(ValueError):
+        triangular.factor(odd.limit(0), {"x": F.col("x"), "y": F.col("y")})
