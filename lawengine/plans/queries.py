@@ -505,10 +505,10 @@ def poly2_fit(spark, d):
 _TERMS = {"p_retailprice": "p_retailprice", "l_quantity": "l_quantity", "p_retailprice**2": "p_retailprice * p_retailprice", "l_quantity*p_retailprice": "l_quantity * p_retailprice", "l_quantity**2": "l_quantity * l_quantity"}
 
 
-@query(least_squares_sql(_TERMS, "y", "(SELECT l_extendedprice * (1 - l_discount) AS y, l_quantity, p_retailprice FROM lineitem JOIN part ON l_partkey = p_partkey)", digits=4))
+@query(least_squares_sql(_TERMS, "y", "(SELECT l_extendedprice * (1 - l_discount) AS y, l_quantity, p_retailprice FROM lineitem JOIN part ON l_partkey = p_partkey)", digits=7))
 def polynomial_terms(spark, d):
     r = fits.polynomial_fit(lines(spark, d).withColumn("y", F.col("l_extendedprice") * (1 - F.col("l_discount"))), ["l_quantity", "p_retailprice"], "y", degree=2, prune=False)
-    return spark.createDataFrame([(k, rounded(v, 4), rounded(r["std_errors"][k], 4)) for k, v in r["coefficients"].items()], "term string, coefficient double, std_error double")
+    return spark.createDataFrame([(k, rounded(v, 7), rounded(r["std_errors"][k], 7)) for k, v in r["coefficients"].items()], "term string, coefficient double, std_error double")
 
 
 _NEAR_SQL = """WITH d AS (SELECT l_quantity AS q, (l_quantity + 1e-3::DOUBLE * l_tax) - l_quantity AS t, l_extendedprice AS y FROM lineitem),
