@@ -468,6 +468,14 @@ def delay_interp(spark, d):
     return told(df.select("t", "x", f.to_column().alias("delayed")))
 
 
+@query(f"""WITH e AS (SELECT event_id, user_id, epoch(ts) AS t, value AS x FROM events), s AS (SELECT user_id, t, x, lead(t) OVER w AS t2, lead(x) OVER w AS x2 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, x)),
+l AS (SELECT user_id, t, arg_max(x, x) AS x, max(t2) AS t2, arg_max(x2, t2) AS x2 FROM s GROUP BY 1, 2), q AS (SELECT *, t - 7200.5 AS q FROM e)
+SELECT q.event_id, {S("CASE WHEN l.t = q.q THEN l.x WHEN l.t2 > l.t THEN l.x + (l.x2 - l.x) * (q.q - l.t) / (l.t2 - l.t) END")} AS delayed FROM q ASOF LEFT JOIN l ON q.user_id = l.user_id AND q.q >= l.t""")
+def delay_by_user(spark, d):
+    df = events.read(spark, f"{d}/events.parquet", streaming=False).select("event_id", "user_id", "value", F.col("ts").cast("double").alias("t"))
+    return told(delays.delay(df, "value", 7200.5, time="t", by=("user_id",)).select("event_id", "delayed"))
+
+
 @query(f"SELECT user_id, event_id, {S('lag(value, 2) OVER (PARTITION BY user_id ORDER BY event_id)')} AS delayed FROM events")
 def delay_by_step(spark, d):
     return told(delays.by_step(read(spark, d, "events"), "value", 2, order="event_id", by=("user_id",)).select("user_id", "event_id", "delayed"))

@@ -160,6 +160,29 @@ def test_brackets_are_narrowed(spark, monkeypatch):
     assert ranges.quantiles(frame(spark, v=v), {"v": (F.col("v"), [0.02, 0.37, 0.5])})["v"] == pytest.approx(np.quantile(v, [0.02, 0.37, 0.5]).tolist())
 
 
+def test_series_are_delayed_in_ranges_of_time_one_by_one(spark, monkeypatch):
+    """Long, short, empty ranges, ties, times and keys that are null: each series against a plain interpolation."""
+    monkeypatch.setattr(delay, "BLOCKS", 9)
+    rng = np.random.default_rng(12)
+    rows = [(k, float(t), float(v)) for k, n, hi in (("a", 300, 50.0), ("b", 3, 1000.0), ("c", 1, 10.0), (None, 40, 60.0)) for t, v in zip(rng.uniform(0, hi, n).round(1), rng.normal(size=n), strict=True)]
+    rows += [("d", 5.0, 1.0), ("d", 5.0, 3.0), ("d", 5.0, 2.0), ("d", 7.0, 0.0), ("d", None, 9.0), ("d", math.nan, 9.0)]
+    df = spark.createDataFrame(rows, "k string, t double, v double").repartition(3)
+    got = delay.delay(df, "v", 1.3, time="t", by=("k",)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        own = sorted((t, v) for k, t, v in rows if k == r["k"] and t is not None and not math.isnan(t))
+        want = math.nan
+        if r["t"] is not None and not math.isnan(r["t"]):
+            q = r["t"] - 1.3
+            at = max((i for i, (t, _) in enumerate(own) if t <= q), default=None)
+            if at is not None and own[at][0] == q:
+                want = own[at][1]
+            elif at is not None and at + 1 < len(own):
+                (a, x), (b, z) = own[at : at + 2]
+                want = x + (z - x) * (q - a) / (b - a)
+        assert np.isclose(r["delayed"], want, rtol=1e-12, equal_nan=True), r
+
+
 def test_delay(spark):
     t, x = np.array([0.0, 2.0, 3.0, 7.0, 7.5]), np.array([1.0, -1.0, 4.0, 0.0, 8.0])
     got, f = delay.attach_delays(frame(spark, t=t, x=x), parse("delay(x, 1.25) + delay(2 * x, 0.5)"), time="t")
