@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import ieee, metrics, ranges
 from ..functions.deploy import importable
 from ..operators import delay as delays
-from ..operators import fits, nonlinear, profile, split, text
+from ..operators import constants, fits, noise, nonlinear, profile, rollout, split, text
 from ..streaming import events
 from .indexed import Graph
 from .nodes import Binary, Expr, Number, Symbol, Unary
@@ -367,6 +367,16 @@ def chrono_split(spark, d):
     return _split(spark, d, "at", split.chronological)
 
 
+@query(f"""WITH g AS (SELECT l_partkey AS category, sum(l_quantity * l_quantity) AS c, sum(l_quantity * l_tax) AS b, sum(l_quantity * l_extendedprice) AS q, sum(l_tax * l_tax) AS a, sum(l_tax * l_extendedprice) AS t FROM lineitem GROUP BY 1),
+s AS (SELECT sum(t - b * q / c) / sum(a - b * b / c) AS tax FROM g) SELECT category, {_S6.format("(q - b * tax) / c")} AS slope, {_S6.format("tax")} AS tax FROM g, s""")
+def grouped_shared_fit(spark, d):
+    """A slope for each part and a parameter that all share, against the elimination in SQL."""
+    df = read(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_tax", "l_extendedprice")
+    r = nonlinear.fit("grouped_param(l_partkey, name='slope') * l_quantity + param('tax') * l_tax", df, "l_extendedprice")
+    six = lambda c: F.format_string("%.5e", c).cast("double")
+    return r.groups.select("category", six(F.col("slope")).alias("slope"), six(F.lit(r.parameters["tax"])).alias("tax"))
+
+
 @query(f"SELECT CASE WHEN {CHANCE.format(key='o_orderkey', seed=0)} < 0.2 THEN 'validation' ELSE 'train' END AS split, count(*) AS n FROM orders GROUP BY 1")
 def random_split(spark, d):
     return split.random(read(spark, d, "orders"), "o_orderkey").groupBy("split").agg(F.count("*").alias("n"))
@@ -484,6 +494,9 @@ def delay_by_step(spark, d):
 # fits
 
 
+_S6 = "CAST(printf('%.5e', {0}) AS DOUBLE)"  # six digits, for results that steps approach
+
+
 @query(f"SELECT {S('regr_slope(l_extendedprice, l_quantity)')} AS slope, {S('regr_intercept(l_extendedprice, l_quantity)')} AS intercept, count(*) AS n FROM lineitem")
 def ols_fit(spark, d):
     g = fits.factor(read(spark, d, "lineitem"), {"x": F.col("l_quantity"), "y": F.col("l_extendedprice")})
@@ -497,7 +510,6 @@ def power_law_ols(spark, d):
     return _one(spark, {"scale": r["scale"], "exponent": r["exponents"]["l_quantity"], "n": int(r["n"])})
 
 
-_S6 = "CAST(printf('%.5e', {0}) AS DOUBLE)"
 
 
 @query(f"""WITH z AS (SELECT (l_quantity - m) / s AS a, l_extendedprice AS y, m, s FROM lineitem, (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem)), g AS (SELECT count(*) AS n, avg(a*a) AS a2, avg(a*a*a) AS a3, avg(a*a*a*a) AS a4, avg(y) AS y0, avg(a*y) AS y1, avg(a*a*y) AS y2, max(m) AS m, max(s) AS s FROM z),
@@ -619,7 +631,7 @@ def subsample(spark, d):
 
 
 _ROUGH = "1.42 * p_retailprice - 0.74"
-_PICKS = [[("", x.value), *nonlinear.nearby_constants(float(x.value))] for x in parse(_ROUGH).iter_preorder() if isinstance(x, Number)]
+_PICKS = [[("", x.value), *constants.nearby_constants(float(x.value))] for x in parse(_ROUGH).iter_preorder() if isinstance(x, Number)]
 _PICKS_SQL = ", ".join(f"('{a},{b}', {int(bool(a)) + int(bool(b))}, CAST({v!r} AS DOUBLE), CAST({w!r} AS DOUBLE))" for a, v in _PICKS[0] for b, w in _PICKS[1])
 
 
@@ -629,13 +641,13 @@ b AS (SELECT simple, max(r2) AS r2, arg_max(choices, (r2, choices)) AS choices F
 SELECT choices, simple, round(r2, 9) AS r2 FROM (SELECT *, max(r2) OVER (ORDER BY simple DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b) WHERE before IS NULL OR r2 > before""")
 def constant_fit(spark, d):
     df = read(spark, d, "part").withColumn("y", F.col("p_retailprice") * math.sqrt(2) - 0.75)
-    front = nonlinear.constant_fit(_ROUGH, df, "y")
+    front = constants.constant_fit(_ROUGH, df, "y")
     return spark.createDataFrame([(",".join(c or "" for c in m["choices"]), m["simple"], round(m["r2"], 9)) for m in front], "choices string, simple long, r2 double")
 
 
 @query()
 def eic(spark, d):
-    rows = nonlinear.noise_amplification("l_quantity / (l_extendedprice - l_quantity * 900) + l_quantity", read(spark, d, "lineitem"), repeats=2)
+    rows = noise.noise_amplification("l_quantity / (l_extendedprice - l_quantity * 900) + l_quantity", read(spark, d, "lineitem"), repeats=2)
     return spark.createDataFrame([(r["path"], r["node"], r["diagnosis"], None if r["impact"] is None else round(r["impact"], 6)) for r in rows], "path string, node string, diagnosis string, impact double")
 
 
@@ -660,7 +672,7 @@ def ode_rollout(spark, d):
     first = times.groupBy("user_id").agg(F.min("at").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
     rows = times.join(first, "user_id").select("user_id", (F.col("at") - F.col("first")).alias("t"))
     rows = rows.withColumn("x", (1 + F.col("user_id") % 5) * F.exp(-0.4 * F.col("t")) + F.col("t"))
-    return nonlinear.rollout_rmse(rows, "1 - 0.4 * (x - t)", by="user_id").select("user_id", "n", (F.col("rmse") < 1e-7).alias("exact"))
+    return rollout.rollout_rmse(rows, "1 - 0.4 * (x - t)", by="user_id").select("user_id", "n", (F.col("rmse") < 1e-7).alias("exact"))
 
 
 # streams, as what they come to

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lawengine.functions import metrics, ranges, triangular
-from lawengine.operators import delay, fits, nonlinear, profile, split, text
+from lawengine.operators import arrow, constants, delay, fits, noise, nonlinear, profile, rollout, split, text
 from lawengine.plans.indexed import Graph
 from lawengine.plans.parse import parse
 from lawengine.sources import dataset
@@ -268,6 +268,43 @@ def test_nonlinear(spark):
     assert held.parameters["k"] == pytest.approx(2.0)
 
 
+def test_groups_few_and_many_are_one_fit(spark, monkeypatch):
+    """Two parameters of a category and two shared ones, nonlinear, with bounds: on the driver, in tables, and as plain parameters."""
+    rng = np.random.default_rng(30)
+    kinds = [f"k{i}" for i in range(6)]
+    own = {k: (1 + 0.3 * i, 2.0 - 0.2 * i) for i, k in enumerate(kinds)}
+    rows = [(k, float(t), float(own[k][0] * np.exp(-0.4 * t) + own[k][1] * t + 3.0 + rng.normal(0, 0.01))) for k in kinds for t in rng.uniform(0, 4, 30)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 100.0)], "kind string, t double, y double")
+    f = "grouped_param(kind, name='a') * exp(-param('r') * t) + grouped_param(kind, name='b') * t + param('c')"
+    few = nonlinear.fit(f, df, "y")
+    flat = nonlinear.fit(f.replace("grouped_param(kind, name='a')", "(" + " + ".join(f"param('a_{k}') * is_{k}" for k in kinds) + ")").replace("grouped_param(kind, name='b')", "(" + " + ".join(f"param('b_{k}') * is_{k}" for k in kinds) + ")"),
+                         df.filter("kind is not null").withColumns({f"is_{k}": (F.col("kind") == k).cast("double") for k in kinds}), "y")
+    assert few.success and few.loss == pytest.approx(flat.loss, rel=1e-9) and few.parameters["r"] == pytest.approx(flat.parameters["r"], rel=1e-6)
+    assert all(few.parameters[n][k] == pytest.approx(flat.parameters[f"{n}_{k}"], rel=1e-5) for n in "ab" for k in kinds)
+    monkeypatch.setattr(arrow, "LOCAL", 3)
+    many = nonlinear.fit(f, df, "y")
+    got = {r["category"]: (r["a"], r["b"]) for r in many.groups.collect()}
+    assert "a" not in many.parameters and many.loss == pytest.approx(few.loss, rel=1e-9) and set(got) == set(kinds)
+    assert all(got[k] == pytest.approx((few.parameters["a"][k], few.parameters["b"][k]), rel=1e-5) for k in kinds)
+    held = nonlinear.fit(f, df, "y", bounds={"a": (0.0, 1.5), "r": (0.0, 1.0)}, initial={"a": {"k0": 1.2}, "r": 0.5})
+    assert max(r["a"] for r in held.groups.collect()) <= 1.5
+
+
+def test_a_hundred_thousand_categories(spark):
+    n = 100_000
+    df = spark.range(2 * n).select((F.col("id") % n).alias("g"), (1.0 + F.col("id") % 7 + F.floor(F.col("id") / n) * 0.5).alias("x"), (F.col("id") % 5 * 0.25).alias("z"))
+    df = df.withColumn("y", (F.col("g") % 11) * F.col("x") + 2.5 * F.col("z"))
+    r = nonlinear.fit("grouped_param(g, name='k') * x + param('c') * z", df, "y", rounds=12)
+    assert r.parameters["c"] == pytest.approx(2.5, abs=1e-6)
+    assert r.groups.filter(F.abs(F.col("k") - F.col("category") % 11) > 1e-4).count() == 0 and r.groups.count() == n
+
+
+def test_two_groupings(spark):
+    rows = [(g, h, float(x), float({"u": 2, "w": -1}[g] * x + {"p": 5, "q": 7, "r": -3}[h])) for g in "uw" for h in "pqr" for x in range(4)]
+    r = nonlinear.fit("grouped_param(g, name='k') * x + grouped_param(h, name='b')", spark.createDataFrame(rows, "g string, h string, x double, y double"), "y")
+    assert r.parameters["k"] == pytest.approx({"u": 2, "w": -1}) and r.parameters["b"] == pytest.approx({"p": 5, "q": 7, "r": -3})
+
+
 def test_fits_of_delays(spark):
     t = np.arange(60) / 4
     df = frame(spark, t=t, x=np.sin(t) + t)
@@ -285,28 +322,28 @@ def test_constants(spark):
     """The front of simple constants; on held-out rows, if there are any."""
     x = np.linspace(1, 6, 40)
     df = frame(spark, x=x, y=np.sqrt(3) * x - 5 / 7)
-    front = nonlinear.constant_fit("1.7322 * x - 0.7151", df, "y")
+    front = constants.constant_fit("1.7322 * x - 0.7151", df, "y")
     assert front[0]["choices"] == ["sqrt(3)", "5/7"] and front[0]["r2"] == pytest.approx(1, abs=1e-12)
-    held = nonlinear.constant_fit("1.7322 * x - 0.7151", df.withColumn("late", F.col("x") > 4), "y", held="late")
+    held = constants.constant_fit("1.7322 * x - 0.7151", df.withColumn("late", F.col("x") > 4), "y", held="late")
     assert held[0]["choices"] == ["sqrt(3)", "5/7"] and held[0]["train_r2"] == pytest.approx(1, abs=1e-12)
-    assert nonlinear.nearby_constants(6.2832)[0][0] == "2*pi" and nonlinear.nearby_constants(-1.3591)[0][0] == "-0.5*e"
-    assert all(abs(v - 2.49) <= 0.05 * 2.49 for _, v in nonlinear.nearby_constants(2.49)) and len(nonlinear.nearby_constants(2.49)) <= 4
-    assert [nonlinear.rationalised(v) for v in (0.75, 2 * math.pi, 1 + math.e, -0.2)] == ["3/4", "2*pi", "e + 1", "-1/5"]
+    assert constants.nearby_constants(6.2832)[0][0] == "2*pi" and constants.nearby_constants(-1.3591)[0][0] == "-0.5*e"
+    assert all(abs(v - 2.49) <= 0.05 * 2.49 for _, v in constants.nearby_constants(2.49)) and len(constants.nearby_constants(2.49)) <= 4
+    assert [constants.rationalised(v) for v in (0.75, 2 * math.pi, 1 + math.e, -0.2)] == ["3/4", "2*pi", "e + 1", "-1/5"]
 
 
 def test_constants_in_a_box(spark):
     x = np.linspace(0, 6, 80)
-    r = nonlinear.fit_constants("1.0 * sin(1.9 * x) + 0.1", frame(spark, x=x, y=3 * np.sin(2 * x) - 1), "y")
+    r = constants.fit_constants("1.0 * sin(1.9 * x) + 0.1", frame(spark, x=x, y=3 * np.sin(2 * x) - 1), "y")
     assert r.loss < 1e-16 and "param" not in str(r.expression)
-    lone = nonlinear.fit_constants("(x - 1.0) ** 2.0", frame(spark, x=x, y=(x - 4) ** 2), "y", starts=2)
+    lone = constants.fit_constants("(x - 1.0) ** 2.0", frame(spark, x=x, y=(x - 4) ** 2), "y", starts=2)
     assert lone.loss < 1e-10
-    kept = nonlinear.fit_constants("param('k') * x + 1.0", frame(spark, x=x, y=2 * x + 5), "y", global_search=False)
+    kept = constants.fit_constants("param('k') * x + 1.0", frame(spark, x=x, y=2 * x + 5), "y", global_search=False)
     assert "param('k'" in str(kept.expression) and kept.loss < 1e-18
 
 
 def test_evolution_finds_the_lowest_of_many_pits():
     pits = lambda p: (p**2).sum(1) / 50 + 2 - np.cos(3 * p).sum(1)
-    at = nonlinear.evolve(pits, np.array([-9.0, -9.0]), np.array([9.0, 9.0]), rounds=80, size=10, seed=1)
+    at = constants.evolve(pits, np.array([-9.0, -9.0]), np.array([9.0, 9.0]), rounds=80, size=10, seed=1)
     assert np.abs(at).max() < 0.2
 
 
@@ -314,29 +351,29 @@ def test_digits_lost(spark):
     """A difference of close numbers loses digits; a part times zero has no impact; plain products lose none."""
     x = np.linspace(1, 2, 2000)
     df = frame(spark, x=x, z=x * 1.0005)
-    rows = nonlinear.noise_amplification("(z * 2 - x * 2) * 5", df, repeats=3)
+    rows = noise.noise_amplification("(z * 2 - x * 2) * 5", df, repeats=3)
     told = {m["node"]: m for m in rows}
     gap = told["z * 2 - x * 2"]
     # two products with noise s each, over a gap of 0.0005: sqrt(2) / 0.0005, and the difference's own noise
     assert gap["amplification"] == pytest.approx(math.log10(math.sqrt(2) / 0.0005), abs=0.1) and gap["diagnosis"] == "severe loss, made here"
     assert told["z * 2"]["amplification"] == pytest.approx(0, abs=0.05) and told["z"]["diagnosis"] == "leaf"
     assert rows[0]["formula_amplification"] >= gap["amplification"] - 0.2 and rows[0]["diagnosis"] == "severe loss, from below"
-    idle = {m["path"]: m for m in nonlinear.noise_amplification("x + 0 * (z * 2 - x * 2)", df, repeats=1)}
+    idle = {m["path"]: m for m in noise.noise_amplification("x + 0 * (z * 2 - x * 2)", df, repeats=1)}
     assert idle["root/1"]["impact"] == 0 and idle["root/1"]["diagnosis"].startswith("no impact") and idle["root"]["impact"] == 1
-    assert [nonlinear.diagnosis(*a) for a in ((0.2, 0, 0, 1.0, True), (0.1, 0, 1.5, 1.0, True), (1.5, 1.4, 1.4, 1.0, True), (1.5, 0, 0, 1.0, True), (0.1, 0, 2, 1e-9, True))] == ["stable", "damps a sensitive part", "noticeable loss, from below", "noticeable loss, made here", "no impact, hides a sensitive part"]
+    assert [noise.Loss(*a).words() for a in ((0.2, 0, 0, 1.0), (0.1, 0, 1.5, 1.0), (0.1, 1.4, 1.4, 1.0), (1.5, 0, 0, 1.0), (0.1, 0, 2, 1e-9))] == ["stable", "damps a sensitive part", "noticeable loss, from below", "noticeable loss, made here", "no impact, hides a sensitive part"]
 
 
 def test_rollouts(spark):
     """Against closed forms: a stiff relaxation, a driven one with an observed drive, and times that don't rise."""
     t = [0.0, 0.3, 0.35, 2.0, 7.0]
-    fast = nonlinear.rollout("-40 * x", [{"t": s, "x": 2 * math.exp(-40 * s)} for s in t])
+    fast = rollout.rollout("-40 * x", [{"t": s, "x": 2 * math.exp(-40 * s)} for s in t])
     assert fast == pytest.approx([2 * math.exp(-40 * s) for s in t], abs=1e-7)
-    driven = nonlinear.rollout("u - x", [{"t": s, "x": s - 1 + math.exp(-s), "u": s} for s in t])
+    driven = rollout.rollout("u - x", [{"t": s, "x": s - 1 + math.exp(-s), "u": s} for s in t])
     assert driven == pytest.approx([s - 1 + math.exp(-s) for s in t], rel=1e-6)
     with pytest.raises(ValueError):
-        nonlinear.rollout("-x", [{"t": 1.0, "x": 1.0}, {"t": 1.0, "x": 1.0}])
+        rollout.rollout("-x", [{"t": 1.0, "x": 1.0}, {"t": 1.0, "x": 1.0}])
     with pytest.raises(RuntimeError):
-        nonlinear.rollout("x ** 2", [{"t": 0.0, "x": 1.0}, {"t": 2.0, "x": 0.0}], steps=2000)
+        rollout.rollout("x ** 2", [{"t": 0.0, "x": 1.0}, {"t": 2.0, "x": 0.0}], steps=2000)
 
 
 def test_ranking(spark):
@@ -378,7 +415,7 @@ def test_demos(spark):
     rates = nonlinear.fit("a * exp(-grouped_param(material, name='k') * t)", dataset.demo(spark, "decay_by_material"), "m").parameters["k"]
     assert rates == pytest.approx({"glass": 0.2, "steel": 1.1, "wood": 0.6}, abs=1e-6)
     rows = [r.asDict() for r in dataset.demo(spark, "forced_relaxation").orderBy("t").collect()]
-    assert nonlinear.rollout("0.5 * cos(2 * t) - 0.8 * x", rows) == pytest.approx([r["x"] for r in rows], abs=1e-6)
+    assert rollout.rollout("0.5 * cos(2 * t) - 0.8 * x", rows) == pytest.approx([r["x"] for r in rows], abs=1e-6)
     states, edges = dataset.demo(spark, "ring_diffusion", 5)
     ring = Graph(12, states, {"R": edges.select("row_id", "target", "source")})
     assert nonlinear.fit("param('d') * sum[j](R[i, j], u[j] - u[i])", ring, "du").parameters["d"] == pytest.approx(0.25)
