@@ -51,6 +51,10 @@ def S(x: str) -> str:
     return f"CASE WHEN isfinite(CAST(({x}) AS DOUBLE)) THEN CAST(printf('%.8e', CAST(({x}) AS DOUBLE) * CAST('1.0000000000001' AS DOUBLE)) AS DOUBLE) END"
 
 
+#: Six digits, for results that steps approach.
+_S6 = "CAST(printf('%.5e', {0}) AS DOUBLE)"
+
+
 def told(df: DataFrame, *keep: str) -> DataFrame:
     """Doubles rounded, all else as it is."""
     return df.select(*[sig(F.col(c)).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
@@ -367,16 +371,6 @@ def chrono_split(spark, d):
     return _split(spark, d, "at", split.chronological)
 
 
-@query(f"""WITH g AS (SELECT l_partkey AS category, sum(l_quantity * l_quantity) AS c, sum(l_quantity * l_tax) AS b, sum(l_quantity * l_extendedprice) AS q, sum(l_tax * l_tax) AS a, sum(l_tax * l_extendedprice) AS t FROM lineitem GROUP BY 1),
-s AS (SELECT sum(t - b * q / c) / sum(a - b * b / c) AS tax FROM g) SELECT category, {_S6.format("(q - b * tax) / c")} AS slope, {_S6.format("tax")} AS tax FROM g, s""")
-def grouped_shared_fit(spark, d):
-    """A slope for each part and a parameter that all share, against the elimination in SQL."""
-    df = read(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_tax", "l_extendedprice")
-    r = nonlinear.fit("grouped_param(l_partkey, name='slope') * l_quantity + param('tax') * l_tax", df, "l_extendedprice")
-    six = lambda c: F.format_string("%.5e", c).cast("double")
-    return r.groups.select("category", six(F.col("slope")).alias("slope"), six(F.lit(r.parameters["tax"])).alias("tax"))
-
-
 @query(f"SELECT CASE WHEN {CHANCE.format(key='o_orderkey', seed=0)} < 0.2 THEN 'validation' ELSE 'train' END AS split, count(*) AS n FROM orders GROUP BY 1")
 def random_split(spark, d):
     return split.random(read(spark, d, "orders"), "o_orderkey").groupBy("split").agg(F.count("*").alias("n"))
@@ -494,9 +488,6 @@ def delay_by_step(spark, d):
 # fits
 
 
-_S6 = "CAST(printf('%.5e', {0}) AS DOUBLE)"  # six digits, for results that steps approach
-
-
 @query(f"SELECT {S('regr_slope(l_extendedprice, l_quantity)')} AS slope, {S('regr_intercept(l_extendedprice, l_quantity)')} AS intercept, count(*) AS n FROM lineitem")
 def ols_fit(spark, d):
     g = fits.factor(read(spark, d, "lineitem"), {"x": F.col("l_quantity"), "y": F.col("l_extendedprice")})
@@ -580,12 +571,17 @@ def harmonic_fit(spark, d):
     return spark.createDataFrame([tuple(rounded(r[k]) for k in ("omega", "a", "b", "c"))], "omega double, a double, b double, c double")
 
 
-#: The law that made the data is the fit of least squares; SQL states it and that it leaves nothing.
-@query("SELECT 2.5 AS a, -0.03 AS b, 7.0 AS c FROM lineitem HAVING max(abs(2.5 * exp(-0.03 * l_quantity) + 7 - (2.5 * exp(-0.03 * l_quantity) + 7))) = 0")
+_GROWTH = ["s0 AS (SELECT CAST(20.0 AS DOUBLE) AS a, CAST(0.02 AS DOUBLE) AS b)"]
+for _k in range(15):  # steps of Gauss and Newton
+    _GROWTH.append(f"n{_k} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(u * r) AS ur, sum(v * r) AS vr FROM (SELECT a, b, exp(b * x) AS u, a * x * exp(b * x) AS v, y - a * exp(b * x) AS r FROM t, s{_k}))")
+    _GROWTH.append(f"s{_k + 1} AS MATERIALIZED (SELECT a + (ur * vv - vr * uv) / (uu * vv - uv * uv) AS a, b + (vr * uu - ur * uv) / (uu * vv - uv * uv) AS b FROM n{_k})")
+
+
+@query(f"WITH t AS MATERIALIZED (SELECT l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem), {', '.join(_GROWTH)} SELECT {_S6.format('a')} AS a, {_S6.format('b')} AS b FROM s15")
 def lm_fit(spark, d):
-    df = read(spark, d, "lineitem").withColumn("y", parse("2.5 * exp(-0.03 * l_quantity) + 7").to_column())
-    r = nonlinear.fit("param('a') * exp(param('b', value=-0.1) * l_quantity) + param('c')", df, "y")
-    return _one(spark, {k: round(v, 5) for k, v in r.parameters.items()})
+    df = read(spark, d, "lineitem").withColumn("y", F.col("l_extendedprice") / 1000)
+    r = nonlinear.fit("param('a', value=20.0) * exp(param('b', value=0.02) * l_quantity)", df, "y")
+    return spark.createDataFrame([(rounded(r.parameters["a"]), rounded(r.parameters["b"]))], "a double, b double")
 
 
 _PULL = "SELECT n.node AS i, n.x AS x, coalesce(s, 0) AS s, n.x * n.x AS xx FROM x n LEFT JOIN (SELECT a.i, sum(x.x - p.x) AS s FROM a JOIN x ON x.node = a.j JOIN x p ON p.node = a.i GROUP BY 1) t ON t.i = n.node"
@@ -606,6 +602,16 @@ def grouped_fit(spark, d):
     return told(spark.createDataFrame(list(r.parameters["slope"].items()), "category string, slope double"))
 
 
+@query(f"""WITH g AS (SELECT l_partkey AS category, sum(l_quantity * l_quantity) AS c, sum(l_quantity * l_tax) AS b, sum(l_quantity * l_extendedprice) AS q, sum(l_tax * l_tax) AS a, sum(l_tax * l_extendedprice) AS t FROM lineitem GROUP BY 1),
+s AS (SELECT sum(t - b * q / c) / sum(a - b * b / c) AS tax FROM g) SELECT category, {_S6.format("(q - b * tax) / c")} AS slope, {_S6.format("tax")} AS tax FROM g, s""")
+def grouped_shared_fit(spark, d):
+    """A slope for each part and a parameter that all share, against the elimination in SQL."""
+    df = read(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_tax", "l_extendedprice")
+    r = nonlinear.fit("grouped_param(l_partkey, name='slope') * l_quantity + param('tax') * l_tax", df, "l_extendedprice")
+    six = lambda c: F.format_string("%.5e", c).cast("double")
+    return r.groups.select("category", six(F.col("slope")).alias("slope"), six(F.lit(r.parameters["tax"])).alias("tax"))
+
+
 @query(f"SELECT CASE WHEN {CHANCE.format(key='l_orderkey', seed=0)} < 0.2 THEN 'validation' ELSE 'train' END AS split, count(*) AS n, 1.0 AS r2, CAST(9 AS BIGINT) AS complexity, true AS eligible FROM lineitem GROUP BY 1")
 def evaluate_formula(spark, d):
     from ..operators.evaluators import Evaluator
@@ -645,10 +651,20 @@ def constant_fit(spark, d):
     return spark.createDataFrame([(",".join(c or "" for c in m["choices"]), m["simple"], round(m["r2"], 9)) for m in front], "choices string, simple long, r2 double")
 
 
-@query()
+_RISKY = "l_quantity / (l_extendedprice - l_quantity * 900) + l_quantity"
+#: The formula without each node in turn; of IEEE, where a divisor is zero.
+_RISKY_SQL = {"root": "0.0", "root/0": "q", "root/0/0": "0.0 / (p - q * 900) + q", "root/0/1": "NULL", "root/0/1/0": "q / (0 - q * 900) + q", "root/0/1/1": "q / p + q", "root/0/1/1/0": "q / p + q", "root/0/1/1/1": "q / p + q", "root/1": "q / (p - q * 900)"}
+_RISKY_NODES = {"/".join(["root", *map(str, k)]): str(x) for k, x in constants.places(parse(_RISKY))}
+
+
+@query(
+    "WITH t AS (SELECT q, p, CASE WHEN p <> q * 900 THEN q / (p - q * 900) + q END AS whole FROM (SELECT l_quantity AS q, l_extendedprice AS p FROM lineitem)) "
+    + " UNION ALL ".join(f"SELECT '{k}' AS path, '{_RISKY_NODES[k]}' AS node, round(sqrt(avg((r - whole) ** 2) / avg(CASE WHEN r IS NOT NULL THEN whole * whole END)), 6) AS impact FROM (SELECT whole, CASE WHEN whole IS NOT NULL AND isfinite({v}) THEN {v} END AS r FROM t)" for k, v in _RISKY_SQL.items())
+)
 def eic(spark, d):
-    rows = noise.noise_amplification("l_quantity / (l_extendedprice - l_quantity * 900) + l_quantity", read(spark, d, "lineitem"), repeats=2)
-    return spark.createDataFrame([(r["path"], r["node"], r["diagnosis"], None if r["impact"] is None else round(r["impact"], 6)) for r in rows], "path string, node string, diagnosis string, impact double")
+    """How much each part of a formula matters; the digits that it loses are drawn, so they aren't told here."""
+    rows = noise.noise_amplification(_RISKY, read(spark, d, "lineitem"), repeats=2)
+    return spark.createDataFrame([(r["path"], r["node"], None if r["impact"] is None else round(r["impact"], 6)) for r in rows], "path string, node string, impact double")
 
 
 _SEARCHED = ["l_quantity", "p_retailprice", "l_discount"]
@@ -664,15 +680,17 @@ def formula_search(spark, d):
     return told(spark.createDataFrame([(m["formula"], m["complexity"], m["r2"]) for m in found], "formula string, complexity long, r2 double"))
 
 
-@query("SELECT user_id, count(*) AS n, true AS exact FROM (SELECT DISTINCT user_id, ts FROM events) GROUP BY 1 HAVING count(*) > 1")
+@query(f"""WITH e AS (SELECT DISTINCT user_id, epoch(ts) / 86400 AS s FROM events), f AS (SELECT user_id, s - min(s) OVER (PARTITION BY user_id) AS t, count(*) OVER (PARTITION BY user_id) AS n FROM e),
+x AS (SELECT user_id, t, n, (1 + user_id % 5) * exp(-0.4 * t) + t AS x FROM f WHERE n > 1) SELECT user_id, count(*) AS n, {_S6.format("avg(x)")} AS mean, {_S6.format("arg_max(x, t)")} AS last FROM x GROUP BY 1""")
 def ode_rollout(spark, d):
-    """Each user's events as the times at which a law's trajectory, of another start for each user, is observed."""
-    importable(spark)
+    """Each user's events as the times at which a law's trajectory, of another start for each user, is observed; SQL has its closed form."""
     times = read(spark, d, "events").select("user_id", (F.col("ts").cast("timestamp").cast("double") / 86400).alias("at")).distinct()
     first = times.groupBy("user_id").agg(F.min("at").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
     rows = times.join(first, "user_id").select("user_id", (F.col("at") - F.col("first")).alias("t"))
-    rows = rows.withColumn("x", (1 + F.col("user_id") % 5) * F.exp(-0.4 * F.col("t")) + F.col("t"))
-    return rollout.rollout_rmse(rows, "1 - 0.4 * (x - t)", by="user_id").select("user_id", "n", (F.col("rmse") < 1e-7).alias("exact"))
+    rows = rows.withColumn("x", F.when(F.col("t") == 0, 1.0 + F.col("user_id") % 5).otherwise(float("nan")))  # the start alone is given
+    got = rollout.rollouts(rows, "1 - 0.4 * (x - t)", by="user_id", rtol=1e-12, atol=1e-12)
+    six = lambda c: F.format_string("%.5e", c).cast("double")
+    return got.groupBy("user_id").agg(F.count("*").alias("n"), six(F.avg("rolled")).alias("mean"), six(F.max_by("rolled", "t")).alias("last"))
 
 
 # streams, as what they come to

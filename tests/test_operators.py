@@ -276,17 +276,17 @@ def test_groups_few_and_many_are_one_fit(spark, monkeypatch):
     rows = [(k, float(t), float(own[k][0] * np.exp(-0.4 * t) + own[k][1] * t + 3.0 + rng.normal(0, 0.01))) for k in kinds for t in rng.uniform(0, 4, 30)]
     df = spark.createDataFrame([*rows, (None, 1.0, 100.0)], "kind string, t double, y double")
     f = "grouped_param(kind, name='a') * exp(-param('r') * t) + grouped_param(kind, name='b') * t + param('c')"
-    few = nonlinear.fit(f, df, "y")
+    few = nonlinear.fit(f, df, "y", initial={"r": 0.5, "c": 2.8, "b": 1.5, "a": 2.0})
     flat = nonlinear.fit(f.replace("grouped_param(kind, name='a')", "(" + " + ".join(f"param('a_{k}') * is_{k}" for k in kinds) + ")").replace("grouped_param(kind, name='b')", "(" + " + ".join(f"param('b_{k}') * is_{k}" for k in kinds) + ")"),
-                         df.filter("kind is not null").withColumns({f"is_{k}": (F.col("kind") == k).cast("double") for k in kinds}), "y")
+                         df.filter("kind is not null").withColumns({f"is_{k}": (F.col("kind") == k).cast("double") for k in kinds}), "y", initial={"r": 0.5, "c": 2.8} | {f"b_{k}": 1.5 for k in kinds} | {f"a_{k}": 2.0 for k in kinds})
     assert few.success and few.loss == pytest.approx(flat.loss, rel=1e-9) and few.parameters["r"] == pytest.approx(flat.parameters["r"], rel=1e-6)
     assert all(few.parameters[n][k] == pytest.approx(flat.parameters[f"{n}_{k}"], rel=1e-5) for n in "ab" for k in kinds)
     monkeypatch.setattr(arrow, "LOCAL", 3)
-    many = nonlinear.fit(f, df, "y")
+    many = nonlinear.fit(f, df, "y", initial={"r": 0.5, "c": 2.8, "b": 1.5, "a": 2.0})
     got = {r["category"]: (r["a"], r["b"]) for r in many.groups.collect()}
     assert "a" not in many.parameters and many.loss == pytest.approx(few.loss, rel=1e-9) and set(got) == set(kinds)
     assert all(got[k] == pytest.approx((few.parameters["a"][k], few.parameters["b"][k]), rel=1e-5) for k in kinds)
-    held = nonlinear.fit(f, df, "y", bounds={"a": (0.0, 1.5), "r": (0.0, 1.0)}, initial={"a": {"k0": 1.2}, "r": 0.5})
+    held = nonlinear.fit(f, df, "y", bounds={"a": (0.0, 1.5), "r": (0.0, 1.0)}, initial={"a": {"k0": 1.2}, "r": 0.5}, rounds=5)
     assert max(r["a"] for r in held.groups.collect()) <= 1.5
 
 
