@@ -24,10 +24,17 @@ def delay(df: DataFrame, value: str, lag: Column | float, *, time: str, by: tupl
     lag = lag if isinstance(lag, Column) else F.lit(float(lag))
     keys = [f"_k{i}" for i in range(len(by))]
     rows = df.withColumn("_q", F.col(time).cast("double") - lag)
-    kind = rows.select(F.struct("*").alias("r")).schema["r"].dataType
     named = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
     samples = rows.select(*named, F.col(time).cast("double").alias("_t"), F.col(value).cast("double").alias("_x")).filter(F.col("_t").isNotNull() & ~F.isnan("_t"))
     asks = rows.select(*named, F.col("_q").alias("_t"), F.struct("*").alias("_row"))
+    found = interpolated(samples, asks, keys)
+    return found.select("_row.*", F.coalesce("_between", F.lit(NAN)).alias(name)).drop("_q")
+
+
+def interpolated(samples: DataFrame, asks: DataFrame, keys: list[str]) -> DataFrame:
+    """_row and _between of each question (keys, _t, _row): the value at _t on the line between the samples (keys, _t, _x) next to it,
+    null outside of them."""
+    kind = asks.schema["_row"].dataType
     at = ranges.cuts(samples, "_t", parts=max(BLOCKS, min(MOST_BLOCKS, samples.count() // SAMPLES)))["_t"]
     samples, asks = _placed(samples, at), _placed(asks, at)
     w = Window.partitionBy(*keys, "_block").orderBy("_t", "_x")
@@ -40,8 +47,8 @@ def delay(df: DataFrame, value: str, lag: Column | float, *, time: str, by: tupl
     last = F.last("_segment", ignorenulls=True).over(forwards)
     s = F.col("_last")
     gap = s["t1"] - s["t"]
-    between = F.when(F.col("_t") == s["t"], s["x"]).when(gap > 0, s["x"] + (s["x1"] - s["x"]) * (F.col("_t") - s["t"]) / F.when(gap > 0, gap)).otherwise(NAN)
-    return stream.withColumn("_last", last).filter("_ask = 1").select("_row.*", F.coalesce(between, F.lit(NAN)).alias(name)).drop("_q")
+    between = F.when(F.col("_t") == s["t"], s["x"]).when(gap > 0, s["x"] + (s["x1"] - s["x"]) * (F.col("_t") - s["t"]) / F.when(gap > 0, gap))
+    return stream.withColumn("_last", last).filter("_ask = 1").select(*keys, "_t", "_row", between.alias("_between"))
 
 
 def _placed(df: DataFrame, at: list[float]) -> DataFrame:

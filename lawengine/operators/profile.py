@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ieee, metrics, ranges
+from ..functions.isotonic import blocks as isotonic_blocks
+from ..functions.stored import drop, stored
 from ..plans.nodes import Expr
+from . import delay
 
 EPS = 2.220446049250313e-16
 DEFAULT_NEAR_ZERO = (1e-6, 1e-4)
@@ -132,11 +135,12 @@ def folded(df: DataFrame, x, y, key: str, folds: int, *keep: str) -> DataFrame:
     return finite_pairs(df, x, y, key, *keep).withColumn("fold", F.pmod(F.col(key), F.lit(folds)))
 
 
-def cross_fitted(df: DataFrame, x, y, key: str, *keep: str, model: str = "bins", bins: int = 10, folds: int = 5, knots: int = 12) -> DataFrame:
+def cross_fitted(df: DataFrame, x, y, key: str, *keep: str, model: str = "bins", bins: int = 10, folds: int = 5, knots: int = 30) -> DataFrame:
     """x, y, fold, prediction (and key, keep): each row predicted by a model of y on x that was fitted to the other folds (key mod folds).
 
-    bins: the mean of the row's bin. isotonic: Spark's isotonic regression, rising or falling as the rank correlation of the
-    other folds. spline: a cubic spline with knots at quantiles, by least squares on local B-splines.
+    bins: the mean of the row's bin. isotonic: isotonic regression, rising or falling as the ranks of the other folds' rows do, and
+    straight lines between its blocks. spline: a cubic smoothing spline on local B-splines, as smooth as generalised cross-validation
+    on the other folds has it.
     """
     rows = folded(df, x, y, key, folds, *keep)
     if model == "bins":
@@ -150,23 +154,46 @@ def cross_fitted(df: DataFrame, x, y, key: str, *keep: str, model: str = "bins",
         guess = F.when(other > 0, (F.col("bs") - F.col("s")) / F.when(other > 0, other)).otherwise((F.col("ts") - F.col("fs")) / F.when(rest > 0, rest))
         return at.join(F.broadcast(met.select("bin", "fold", guess.alias("prediction"))), ["bin", "fold"]).drop("bin")
     if model == "isotonic":
-        from pyspark.ml.regression import IsotonicRegression
-
-        out = None
-        for k in range(folds):
-            train = rows.filter(F.col("fold") != k)
-            rising = (metrics.spearman(train, "x", "y").first()["spearman"] or 0.0) >= 0
-            fitted = IsotonicRegression(featuresCol="x", labelCol="y", isotonic=rising).fit(train)
-            own = fitted.transform(rows.filter(F.col("fold") == k))
-            out = own if out is None else out.unionByName(own)
-        return out
+        return _isotonic(rows, folds)
     if model != "spline":
         raise ValueError(f"no model {model!r}")
     return _spline(rows, folds, knots)
 
 
-def _spline(rows: DataFrame, folds: int, knots: int) -> DataFrame:
-    """A row meets the four cubic B-splines that are not zero there; their products are summed by fold, and solved on the driver."""
+def _isotonic(rows: DataFrame, folds: int) -> DataFrame:
+    """All folds' fits at once: one row for each x with every fold's count and sum, from which a fit's own fold is taken away."""
+    ranked = ranges.ranks(rows.select("fold", "x", "y"), "x", "y")
+    sums = ranked.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate((F.col("rank_x"), F.col("rank_y"), F.col("rank_x") * F.col("rank_y")))]).collect()  # a row for each fold
+    whole = [sum(r[c] for r in sums) for c in ("n", "s0", "s1", "s2")]
+    rising = [True] * folds
+    for r in sums:
+        n, a, b, ab = (w - r[c] for w, c in zip(whole, ("n", "s0", "s1", "s2"), strict=True))
+        rising[r["fold"]] = not n or ab - a * b / n >= 0
+    own = rows.groupBy((F.col("x") + 0.0).alias("x")).agg(*[f(F.when(F.col("fold") == k, v)).alias(f"{c}{k}") for k in range(folds) for c, f, v in (("n", F.count, F.col("y")), ("s", F.sum, F.col("y")))])
+    n, s = (F.array(*[F.coalesce(F.col(f"{c}{k}"), F.lit(0)).cast("double") for k in range(folds)]) for c in "ns")
+    less = lambda c: F.transform(c, lambda v: F.aggregate(c, F.lit(0.0), lambda t, u: t + u) - v)
+    weights = F.transform(less(F.col("n")), lambda v: F.round(v))
+    held = own.select("x", n.alias("n"), s.alias("s"))
+    cells = stored(held.select("x", "n", weights.alias("w"), less(F.col("s")).alias("s")), "isotonic-cells")
+    found = isotonic_blocks(cells.select("x", "w", "s"), rising).withColumnRenamed("fit", "fold")
+    ends = F.array(F.struct(F.col("lo").alias("_t"), F.col("value").alias("_x")), F.struct(F.col("hi").alias("_t"), F.col("value").alias("_x")))
+    knots = stored(found.select("fold", F.explode(ends).alias("k")).select("fold", "k.*").distinct(), "isotonic-knots")
+    sides = knots.groupBy("fold").agg(F.min_by("_x", "_t").alias("_first"), F.max_by("_x", "_t").alias("_last"), F.min("_t").alias("_lo"))  # a row for each fold
+    asks = cells.select("x", F.posexplode("n").alias("fold", "rows")).filter("rows > 0").select("fold", F.col("x").alias("_t"), F.struct("x").alias("_row"))
+    met = delay.interpolated(knots, asks, ["fold"]).join(F.broadcast(sides), "fold", "left")
+    guess = F.coalesce("_between", F.when(F.col("_t") < F.col("_lo"), F.col("_first")).otherwise(F.col("_last")))
+    guesses = stored(met.select("fold", F.col("_t").alias("x"), guess.alias("prediction")), "isotonic-fits")
+    drop(cells, knots)
+    return rows.join(guesses, ["fold", "x"])  # an x of a fold has one prediction
+
+
+#: Smoothing parameters that are tried, as shares of the ratio of both matrices' traces.
+SMOOTHING = [0.0, *[10.0**k for k in range(-9, 7)]]
+
+
+def _spline(rows: DataFrame, folds: int, knots: int, smoothing: float | None = None) -> DataFrame:
+    """A row meets the four cubic B-splines that are not zero there; their products are summed by fold. For each fold the driver solves
+    banded systems of the other folds' sums with a penalty on curvature; the one of the least cross-validated error counts."""
     import numpy as np
 
     shares = [i / (knots + 1) for i in range(knots + 2)]
@@ -186,21 +213,55 @@ def _spline(rows: DataFrame, folds: int, knots: int) -> DataFrame:
 
     at = at.withColumn("_b", F.array(*[value(m) for m in range(4)]))
     b = lambda m: F.get("_b", F.lit(m))
+    middle = rows.agg(F.avg("y")).first()[0] or 0.0
+    y = F.col("y") - F.lit(middle)
     cells = [F.struct((F.col("_j") + m).alias("i"), (F.col("_j") + k).alias("k"), (b(m) * b(k)).alias("v")) for m in range(4) for k in range(m, 4)]
-    cells += [F.struct((F.col("_j") + m).alias("i"), F.lit(-1).alias("k"), (b(m) * F.col("y")).alias("v")) for m in range(4)]
+    cells += [F.struct((F.col("_j") + m).alias("i"), F.lit(-1).alias("k"), (b(m) * y).alias("v")) for m in range(4)]
+    cells += [F.struct(F.lit(-1).alias("i"), F.lit(k).alias("k"), v.alias("v")) for k, v in ((-1, F.lit(1.0)), (-2, y * y))]
     sums = at.select("fold", F.explode(F.array(*cells)).alias("c")).groupBy("fold", "c.i", "c.k").agg(F.sum("c.v").alias("v")).collect()  # 5 n rows for each fold
-    gram, aim = np.zeros((folds, n, n)), np.zeros((folds, n))
+    gram, aim, size, squares = np.zeros((folds, n, n)), np.zeros((folds, n)), np.zeros(folds), np.zeros(folds)
     for r in sums:
-        if r["k"] < 0:
+        if r["i"] < 0:
+            (size if r["k"] == -1 else squares)[r["fold"]] = r["v"]
+        elif r["k"] < 0:
             aim[r["fold"], r["i"]] = r["v"]
         else:
             gram[r["fold"], r["i"], r["k"]] = gram[r["fold"], r["k"], r["i"]] = r["v"]
-    fits = [np.linalg.lstsq(gram.sum(0) - gram[k], aim.sum(0) - aim[k], rcond=1e-12)[0] for k in range(folds)]
-    held = F.array(*[F.lit(float(v)) for c in fits for v in c])
+    bend = _curvature(pieces, q)
+    fits = [smoothed(gram.sum(0) - gram[k], aim.sum(0) - aim[k], squares.sum() - squares[k], size.sum() - size[k], bend, smoothing) + middle for k in range(folds)]
+    held = F.array(*[F.lit(float(v)) for c in fits for v in c])  # splines add up to one, so a constant is the same on all of them
     guess = sum((b(m) * F.get(held, F.col("fold").cast("int") * n + F.col("_j") + m) for m in range(1, 4)), b(0) * F.get(held, F.col("fold").cast("int") * n + F.col("_j")))
     return at.withColumn("prediction", guess).drop("_j", "_u", "_b")
 
 
+def smoothed(gram, aim, squares: float, n: float, bend, smoothing: float | None = None):
+    """The coefficients of least squares plus a penalty; its weight is given, or the one of the least n RSS / (n - trace of the hat)^2."""
+    import numpy as np
+
+    unit = np.trace(gram) / max(np.trace(bend), 1e-300)
+    best = None
+    for share in SMOOTHING if smoothing is None else [smoothing]:
+        inverse = np.linalg.pinv(gram + share * unit * bend, rcond=1e-12, hermitian=True)
+        c = inverse @ aim
+        left, free = max(squares - 2 * c @ aim + c @ gram @ c, 0.0), n - np.trace(inverse @ gram)
+        score = n * left / free**2 if free > 0 else np.inf
+        if best is None or score < best[0]:
+            best = (score, c)
+    return best[1]
+
+
+def _curvature(pieces, knots: list[float]):
+    """Integrals of products of second derivatives; on a piece the splines are cubics in the share u of the way."""
+    import numpy as np
+
+    n = len(knots) + 2
+    out = np.zeros((n, n))
+    for j, (lo, hi) in enumerate(zip(knots, knots[1:], strict=False)):
+        a, b = 6 * pieces[j, :, 0], 2 * pieces[j, :, 1]  # the second derivative is a u + b, over the width squared
+        out[j : j + 4, j : j + 4] += (np.outer(a, a) / 3 + (np.outer(a, b) + np.outer(b, a)) / 2 + np.outer(b, b)) / (hi - lo) ** 3
+    return out
+
+
 def _cubics(knots: list[float]):
     """pieces[j, m]: between knots j and j + 1 the cubic of spline j + m in the share of the way, highest power first."""
     import numpy as np
@@ -264,11 +325,10 @@ def pairwise(df: DataFrame, variables: dict[str, object]) -> DataFrame:
     return wide.agg(F.array(*out).alias("all")).select(F.inline("all"))
 
 
-def isotonic(df: DataFrame, x: str, y: str):
-    """Spark ML's isotonic model of y on x."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    return IsotonicRegression(featuresCol="x", labelCol="y").fit(finite_pairs(df, x, y))
+def isotonic(df: DataFrame, x, y, *, rising: bool = True) -> DataFrame:
+    """lo, hi, value: the blocks of the isotonic regression of y on x."""
+    cells = finite_pairs(df, x, y).groupBy((F.col("x") + 0.0).alias("x")).agg(F.array(F.count("*").cast("double")).alias("w"), F.array(F.sum("y")).alias("s"))
+    return isotonic_blocks(cells, [rising]).drop("fit")
 
 
 def residuals(df: DataFrame, y, prediction, *, floor: float = 1e-12) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lawengine.functions import metrics, ranges, triangular
+from lawengine.functions import isotonic, metrics, ranges, triangular
 from lawengine.operators import arrow, constants, delay, fits, noise, nonlinear, profile, rollout, split, text
 from lawengine.plans.indexed import Graph
 from lawengine.plans.parse import parse
@@ -105,20 +105,81 @@ def test_cross_fits_equal_plain_ones(spark):
 
     want = plain_cross_fit(x, y, fold, pooled)
     assert np.allclose(got["prediction"].to_numpy(), want[np.argsort(rows["id"].to_numpy())], atol=1e-9)
-    cubes = np.quantile(x, np.linspace(0, 1, 14))
+    knots = np.quantile(x, np.linspace(0, 1, 32))
 
     def spline(a, b, at):
-        lo, hi, inner = cubes[0], cubes[-1], cubes[1:-1]
-        basis = lambda v: np.stack([np.ones_like(v), *[((v - lo) / (hi - lo)) ** p for p in (1, 2, 3)], *[np.maximum((v - k) / (hi - lo), 0) ** 3 for k in inner]], axis=1)
-        return basis(at) @ np.linalg.lstsq(basis(a), b, rcond=None)[0]
+        """The same cubics as truncated powers, the penalty by Gauss's rule on each piece, the weight by generalised cross-validation."""
+        lo, hi = knots[0], knots[-1]
+        z = (knots - lo) / (hi - lo)
+        power = lambda v, d: np.stack([*[np.polyval(np.polyder(np.eye(4)[3 - p], d), v) if p >= d else np.zeros_like(v) for p in range(4)], *[np.maximum(v - k, 0) ** (3 - d) * math.factorial(3) / math.factorial(3 - d) for k in z[1:-1]]], axis=1)
+        nodes, weights = np.polynomial.legendre.leggauss(4)
+        bend = sum((w * (q - p) / 2) * np.outer(r := power(np.array([(p + q) / 2 + (q - p) / 2 * u]), 2)[0], r) for p, q in zip(z, z[1:], strict=False) for u, w in zip(nodes, weights, strict=True)) / (hi - lo) ** 3
+        own = power((a - lo) / (hi - lo), 0)
+        local = profile._cubics(knots.tolist())
+        unit = np.zeros(len(knots) + 2)
+        j = np.clip(np.searchsorted(knots, a, "right") - 1, 0, len(knots) - 2)
+        u = (a - knots[j]) / (knots[j + 1] - knots[j])
+        size = sum((np.polyval(local[jj, m], uu)) ** 2 for jj, uu in zip(j, u, strict=True) for m in range(4))
+        scale = size / np.trace(profile._curvature(local, knots.tolist()))
+        best, middle = None, y.mean()
+        for share in profile.SMOOTHING[4:]:
+            c, *_ = np.linalg.lstsq(np.vstack([own, np.sqrt(share * scale) * np.linalg.cholesky(bend + 1e-13 * np.trace(bend) * np.eye(len(bend))).T]), np.r_[b - middle, np.zeros(len(bend))], rcond=None)
+            hat = np.trace(own @ np.linalg.lstsq(own.T @ own + share * scale * bend, own.T, rcond=None)[0])
+            score = len(a) * ((b - middle - own @ c) ** 2).sum() / (len(a) - hat) ** 2
+            best = (score, c) if best is None or score < best[0] else best
+        return power((at - lo) / (hi - lo), 0) @ best[1] + middle
 
     got = profile.cross_fitted(df, "x", "y", "id", model="spline").toPandas().sort_values("id")
     want = plain_cross_fit(x, y, fold, spline)
-    assert np.abs(got["prediction"].to_numpy() - want[np.argsort(rows["id"].to_numpy())]).max() < 1e-3
+    assert np.abs(got["prediction"].to_numpy() - want[np.argsort(rows["id"].to_numpy())]).max() < 2e-2
     best = profile.residual_association(df, "x", "y", {"z": "z", "w": parse("0 * z + x")}, "id", model="spline").first()
     assert best["variable"] == "z" and best["pearson"] > 0.9
 
 
+def test_splines_are_as_smooth_as_the_data(spark):
+    """Noise leads to a smooth fit, a wavy law without noise to a close one; a fixed penalty without end is a straight line."""
+    rng = np.random.default_rng(21)
+    x = rng.uniform(0, 10, 1500)
+    df = frame(spark, x=x, wavy=np.sin(3 * x), noisy=0.3 * x + rng.normal(0, 1, 1500)).withColumn("id", F.monotonically_increasing_id())
+    close = profile.cross_fitted(df, "x", "wavy", "id", model="spline").toPandas()
+    assert np.abs(close["prediction"] - np.sin(3 * close["x"])).max() < 0.03
+    smooth = profile.cross_fitted(df, "x", "noisy", "id", model="spline").toPandas()
+    assert np.abs(smooth["prediction"] - 0.3 * smooth["x"]).max() < 0.4
+    rows = profile.folded(df, "x", "noisy", "id", 5)
+    line = profile._spline(rows, 5, 30, 1e9).toPandas()
+    for k in range(5):
+        train, own = line[line["fold"] != k], line[line["fold"] == k]
+        assert np.allclose(np.polyval(np.polyfit(train["x"], train["y"], 1), own["x"]), own["prediction"], atol=1e-3)
+
+
+def test_isotonic_blocks_in_parts(spark):
+    """Ranges pooled apart and merged in a tree, of three fits of different directions, against one pass; a long rise before a deep fall."""
+    rng = np.random.default_rng(22)
+    n = 3000
+    x = np.sort(rng.uniform(0, 1, n))
+    y = np.stack([x + rng.normal(0, 0.3, n), -(x**2) + rng.normal(0, 0.1, n), np.r_[np.arange(n - 1.0), -1e6]], axis=1)
+    w = rng.integers(0, 3, (n, 3)).astype(float)
+    w[-1] = 1
+    cells = spark.createDataFrame([(float(a), b.tolist(), (b * c).tolist()) for a, b, c in zip(x, w, y, strict=True)], "x double, w array<double>, s array<double>").repartition(5)
+    rising = [True, False, True]
+    for per_task in (40, 10**6):
+        got = isotonic.blocks(cells, rising, per_task=per_task).toPandas()
+        for k in range(3):
+            own = got[got["fit"] == k].sort_values("lo")
+            sign = 1 if rising[k] else -1
+            stack = []
+            for a, b, c in zip(x, w[:, k], sign * w[:, k] * y[:, k], strict=True):
+                if b:
+                    stack.append([b, c, a, a])
+                    while len(stack) > 1 and stack[-2][1] / stack[-2][0] >= stack[-1][1] / stack[-1][0]:
+                        t = stack.pop()
+                        stack[-1] = [stack[-1][0] + t[0], stack[-1][1] + t[1], stack[-1][2], t[3]]
+            assert np.allclose(own["lo"], [s[2] for s in stack]) and np.allclose(own["hi"], [s[3] for s in stack]) and np.allclose(own["value"], [sign * s[1] / s[0] for s in stack])
+    assert isotonic.blocks(cells.limit(0), rising).count() == 0
+    one = profile.isotonic(frame(spark, a=[1, 2, 2, 3, 4], b=[1, 5, 3, 2, 9]), "a", "b").orderBy("lo").collect()
+    assert [tuple(r) for r in one] == [(1.0, 1.0, 1.0), (2.0, 3.0, 10 / 3), (4.0, 4.0, 9.0)]
+
+
 def test_increasing_times(spark):
     df = spark.createDataFrame([(0, 5.0), (1, 1.0), (2, 3.0), (3, 3.0), (4, 4.0)], "k long, t double")
     assert split.strictly_increasing(df, "t", order="k").first()["violations"] == 2
