@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,6 +77,59 @@ def permuted_folds(df: DataFrame, key: str, k: int = 5, *, seed: int = 0, limit:
     return df.join(df.sparkSession.createDataFrame(own), key)
 
 
+#: Rounds of the network that permutes row numbers.
+ROUNDS = 4
+
+
+def _mixed(value: Column, half: int, bits: int, seed: int) -> Column:
+    """A Feistel network over numbers of 2 * bits bits: halves are swapped, and one is changed by a digest of the other, which can be undone."""
+    left, right = F.shiftright(value, bits), value.bitwiseAND(F.lit(half))
+    for k in range(ROUNDS):
+        of = F.conv(F.substring(F.md5(F.concat_ws(":", right.cast("string"), F.lit(f"{seed}:{k}"))), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(half))
+        left, right = right, left.bitwiseXOR(of)
+    return F.shiftleft(left, bits).bitwiseOR(right)
+
+
+def shuffled(df: DataFrame, number: str, n: int, *, seed: int = 0, name: str = "place") -> DataFrame:
+    """df with a column `name`: a permutation of the row numbers 0..n-1 in `number`, at any n, worked out row by row.
+
+    The network permutes 0..2^2b-1, the least power of four that has n numbers; what falls beyond n is permuted again until it
+    doesn't (a walk along its cycle), so 0..n-1 are permuted among themselves. On average fewer than four steps are taken, and all
+    rows have done in some dozens.
+    """
+    bits = max(1, -(-max(n - 1, 1).bit_length() // 2))
+    half = (1 << bits) - 1
+    step = lambda c: _mixed(c, half, bits, seed)
+    outside = lambda c: c >= F.lit(n)
+    # a bounded fold over steps that stand still once the walk is inside; no walk is longer than what lies outside
+    longest = min((half + 1) ** 2 - n, STEPS)
+    first = step(F.col(number).cast("long"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(max(longest, 1))), first, lambda at, _: F.when(outside(at), step(at)).otherwise(at))
+    out = df.withColumn(name, F.when(outside(first), walked).otherwise(first))
+    return out.withColumn(name, F.when(outside(F.col(name)), F.raise_error(F.lit("a walk didn't end"))).otherwise(F.col(name)))
+
+
+#: Steps of a walk: at most three quarters of the numbers lie outside, so the chance that one of 10^12 rows needs more is below 10^-19.
+STEPS = 256
+
+
+def exact_folds(df: DataFrame, number: str, k: int = 5, *, seed: int = 0, n: int | None = None) -> DataFrame:
+    """`fold`: the permuted row numbers cut into k parts, whose sizes differ by one at most, at any size. `number` has 0..n-1."""
+    n = df.count() if n is None else n
+    size, more = divmod(n, k)
+    edge = more * (size + 1)
+    place = F.col("_place")
+    fold = F.when(place < edge, F.expr(f"_place div {size + 1}")).otherwise(F.lit(more) + F.expr(f"(_place - {edge}) div {max(size, 1)}"))
+    return shuffled(df, number, n, seed=seed, name="_place").withColumn("fold", fold.cast("int")).drop("_place")
+
+
+def exact_split(df: DataFrame, number: str, fraction: float = 0.2, *, seed: int = 0, n: int | None = None) -> DataFrame:
+    """`split`: exactly round-half-even(n * fraction) rows are validated on, at any size. `number` has 0..n-1."""
+    n = df.count() if n is None else n
+    held = int(round(n * fraction))
+    return shuffled(df, number, n, seed=seed, name="_place").withColumn("split", F.when(F.col("_place") < held, "validation").otherwise("train")).drop("_place")
+
+
 def strictly_increasing(df: DataFrame, time: str, *by: str, order: str) -> DataFrame:
     """violations: how many rows, in the order of the column `order` (within by), have a time not later than the row before them."""
     step = F.col(time) - F.lag(time).over(Window.partitionBy(*by).orderBy(order))

@@ -14,6 +14,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ieee
+from .expand import separated
 from .lower import desugar, fold_constants
 from .nodes import Binary, Call, Expr, Gather, Indexed, Number, Parameter, Reduction, Symbol, Unary
 from .scalar import CONSTANTS, to_column
@@ -324,6 +326,13 @@ class Compiler:
                     df, s = self._plain_sum(df, indices, kept)
                     return df, (v * s if body.op == "*" else to_column(Binary("/", Symbol("a"), Symbol("b")), None, {"a": s, "b": v})) * F.lit(times)
         rest = [i for i in used if i not in indices]
+        if rest and len(indices) == 1 and (pairs := separated(body, free, indices[0], self._middle)):
+            out = None
+            for outer, inner in pairs:  # products of totals: no pair of nodes is made
+                df, v = self.attach(df, outer)
+                df, s = self._plain_sum(df, indices, inner)
+                out = v * s if out is None else out + v * s
+            return df, out * F.lit(times)
         sampled = has_sample(body, self.g) and SAMPLE in df.columns
         keys = [*rest, *[SAMPLE] * sampled]
         grid = domain(self.g, indices)
@@ -334,6 +343,14 @@ class Compiler:
         total = grid.groupBy(*keys).agg(F.sum(v).alias(name)) if keys else grid.agg(F.sum(v).alias(name))
         return self._on(df, total, {k: k for k in keys}, "left"), F.coalesce(F.col(name), F.lit(0.0)) * F.lit(times)
 
+    def _middle(self, e: Expr, how: str) -> float:
+        """The mean or the greatest value of an expression of one index, over all nodes; 0 where there is none."""
+        if not free(e):
+            return self.constant(e)
+        df, v = self.attach(domain(self.g, tuple(free(e)), has_sample(e, self.g)), e)
+        got = df.agg((F.avg if how == "avg" else F.max)(F.when(ieee.finite(v), v))).first()[0]
+        return 0.0 if got is None else float(got)
+
     # gathers
 
     def gathered(self, e: Gather) -> DataFrame:

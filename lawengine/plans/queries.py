@@ -394,6 +394,26 @@ def candidate_table(spark, d) -> DataFrame:
     return read(spark, d, "lineitem").agg(F.array(*cells).alias("all")).select(F.inline("all"))
 
 
+def _network_sql(value: str, bits: str, seed: int) -> str:
+    """The permutation of split.shuffled, one step."""
+    half = f"((1 << {bits}) - 1)"
+    left, right = f"(({value}) >> {bits})", f"(({value}) & {half})"
+    for k in range(split.ROUNDS):
+        of = f"(CAST('0x' || substr(md5(CAST({right} AS VARCHAR) || ':{seed}:{k}'), 1, 8) AS BIGINT) & {half})"
+        left, right = right, f"xor({left}, {of})"
+    return f"(({left}) << {bits} | {right})"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT count(*) AS n, CAST(ceil(ceil(log2(count(*))) / 2) AS BIGINT) AS bits FROM part),
+w AS (SELECT p_partkey, p_partkey - (SELECT min(p_partkey) FROM part) AS place, true AS start FROM part UNION ALL SELECT p_partkey, {_network_sql("place", "bits", 3)}, false FROM w, s WHERE start OR place >= n),
+e AS (SELECT p_partkey, place FROM w, s WHERE NOT start AND place < n)
+SELECT p_partkey, CAST(CASE WHEN place < (n % 5) * (n // 5 + 1) THEN place // (n // 5 + 1) ELSE n % 5 + (place - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold FROM e, s""")
+def exact_folds(spark, d):
+    part = read(spark, d, "part").select("p_partkey")
+    first = part.agg(F.min("p_partkey")).first()[0]
+    return split.exact_folds(part.withColumn("row", F.col("p_partkey") - F.lit(first)), "row", 5, seed=3).select("p_partkey", "fold")
+
+
 @query("SELECT count(*) FILTER (step <= 0) AS violations FROM (SELECT epoch(o_orderdate) - lag(epoch(o_orderdate)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step FROM orders)")
 def increasing_times(spark, d):
     df = read(spark, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp").cast("double"))
@@ -461,6 +481,8 @@ _graph_query("graph_lifted", "sum[j](A[i, j], gather(A[i, j], x[i] + x[j])[i, j]
 _graph_query("hyper_sum", "sum[j, k](T[i, j, k], x[i] * x[j] * x[k])", f"SELECT n.node AS i, {S('coalesce(s, 0)')} AS value FROM x n LEFT JOIN (SELECT p.i, sum(u.x * v.x * w.x) AS s FROM a p JOIN a q ON q.i = p.j JOIN x u ON u.node = p.i JOIN x v ON v.node = p.j JOIN x w ON w.node = q.j WHERE p.i < p.j AND p.j < q.j GROUP BY 1) t ON t.i = n.node")
 _graph_query("graph_aggr_nested", "aggr(A, sour(aggr(A, targ(x) * sour(x))))", f", s AS (SELECT a.i, sum(p.x * q.x) AS s FROM a JOIN x p ON p.node = a.i JOIN x q ON q.node = a.j GROUP BY 1) SELECT n.node AS i, {S('coalesce(t, 0)')} AS value FROM x n LEFT JOIN (SELECT a.i, sum(coalesce(s.s, 0)) AS t FROM a LEFT JOIN s ON s.i = a.j GROUP BY 1) u ON u.i = n.node")
 _graph_query("graph_independent", "x[i] + sum[j](A[i, j], x[i] * sum[k](x[k]) * x[j])", f"SELECT n.node AS i, {S('n.x + n.x * (SELECT sum(x) FROM x) * coalesce(s, 0)')} AS value FROM x n LEFT JOIN (SELECT a.i, sum(x.x) AS s FROM a JOIN x ON x.node = a.j GROUP BY 1) t ON t.i = n.node")
+_graph_query("graph_separable", "sum[j](sin(x[j] - x[i]) + (x[j] - x[i]) ** 3 * x[j])", f"SELECT p.node AS i, {_S6.format('sum(sin(q.x - p.x) + (q.x - p.x) ** 3 * q.x)')} AS value FROM x p, x q GROUP BY 1")
+QUERIES["graph_separable"] = lambda spark, d: parse("sum[j](sin(x[j] - x[i]) + (x[j] - x[i]) ** 3 * x[j])").evaluate(trade(spark, d)).select("i", F.format_string("%.5e", "value").cast("double").alias("value"))
 _graph_query("sparse_union", "sum[j](A[i, j] + B[i, j], x[j])", f"SELECT n.node AS i, {S('coalesce(s, 0)')} AS value FROM x n LEFT JOIN (SELECT i, sum(m * x.x) AS s FROM (SELECT i, j, count(*) AS m FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2) JOIN x ON x.node = j GROUP BY 1) t ON t.i = n.node")
 for _n in ("graph_aggr_nested",):
     ORACLES[_n] = ORACLES[_n].replace(" , s AS", ", s AS")

@@ -452,6 +452,27 @@ def test_splits(spark):
     assert held == set(np.random.RandomState(3).permutation(10)[:3].tolist())
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 65, 1000, 4097])
+def test_exact_folds_and_splits(spark, n):
+    """A permutation of 0..n-1 that a seed fixes; parts of equal sizes, or one more; another seed deals otherwise."""
+    df = spark.range(n).toDF("row")
+    got = {r["row"]: r["place"] for r in split.shuffled(df.repartition(3), "row", n, seed=1).collect()}
+    assert sorted(got.values()) == list(range(n)) and got == {r["row"]: r["place"] for r in split.shuffled(df, "row", n, seed=1).collect()}
+    sizes = [r["count"] for r in split.exact_folds(df, "row", 5, seed=1).groupBy("fold").count().collect()]
+    assert sum(sizes) == n and len(sizes) == min(n, 5) and max(sizes) - min(sizes) <= 1
+    assert split.exact_split(df, "row", 0.3, seed=2).filter("split = 'validation'").count() == round(n * 0.3)
+    if n >= 64:
+        other = {r["row"]: r["place"] for r in split.shuffled(df, "row", n, seed=2).collect()}
+        assert sum(got[k] == other[k] for k in got) < n / 5 and sum(got[k] == k for k in got) < n / 5
+
+
+def test_search_tree(spark):
+    nodes = split.candidates(spark, [(0, "a", 1, 4.0), (1, "b", 2, 3.0), (2, "c", 3, 3.5), (3, "d", 9, 1.0)])
+    parents = spark.createDataFrame([(1, 0), (2, 1), (3, 9)], "candidate_id long, parent_id long")
+    got = {r["candidate_id"]: (r["parent_metric"], r["gain"]) for r in split.search_tree(nodes, parents).collect()}
+    assert got == {0: (None, None), 1: (4.0, 1.0), 2: (3.0, -0.5), 3: (None, None)}
+
+
 def test_text(spark):
     df = spark.createDataFrame([(1, "a,b,c\nx,,z\nb"), (2, None)], "k long, text string")
     rows = text.lines(df, "k")
