@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .deploy import importable
+from .stored import drop, stored
+
 PARTS = 256
 ACCURACY = 10_000
 #: Different values of a bracket that the driver takes; a larger bracket is narrowed first.
@@ -181,43 +184,103 @@ def _inversions(group: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
     return total
 
 
-def concordance(df: DataFrame) -> float:
-    """Over all pairs of rows of (x, y): how many agree in order, less how many disagree.
+#: Points of a subproblem that a task takes whole; ranges of a larger one.
+TASK, SPLIT = 500_000, 64
 
-    Equal rows are counted first. Pairs in different ranges of both x and y are settled by the counts of (range of x,
-    range of y); pairs of one range of x are counted in that range, and those of one range of y but different ranges of
-    x in that one, by merging.
-    """
-    cells = df.groupBy((F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")).agg(F.count("*").alias("n"))
-    at = cuts(cells, "x", "y")
-    cells = place(place(cells, "x", at["x"], "i"), "y", at["y"], "j")
-    grid = cells.groupBy("i", "j").agg(F.sum("n").alias("n")).collect()  # at most (2 PARTS)^2 numbers
-    if not grid:
-        return 0.0
-    m = np.zeros((max(r["i"] for r in grid) + 1, max(r["j"] for r in grid) + 1))
-    for r in grid:
-        m[r["i"], r["j"]] = r["n"]
+
+def _grid(m: np.ndarray) -> float:
+    """Of weights by (range of x, range of y): pairs in rising order less those in falling order, of different ranges of both."""
     before = np.cumsum(np.cumsum(m, axis=0), axis=1)
-    lower = np.zeros_like(m)
+    lower, upper = np.zeros_like(m), np.zeros_like(m)
     lower[1:, 1:] = before[:-1, :-1]  # in ranges before both
-    upper = np.zeros_like(m)
     upper[1:, :] = np.cumsum(m, axis=0)[:-1, :].sum(axis=1, keepdims=True) - before[:-1, :]
-    total = float(np.sum(m * (lower - upper)))
+    return float(np.sum(m * (lower - upper)))
+
+
+def _by_key(it, *names: str):
+    """(key, columns) of each key of sorted batches: a key's rows are held, no more."""
+    held: list[tuple] = []
+    now = None
+    for b in it:
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", *names)]
+        ends = [0, *(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(ends, ends[1:], strict=False):
+            if lo == hi:
+                continue
+            if now is not None and cols[0][lo] != now:
+                yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            now = cols[0][lo]
+            held.append(tuple(c[lo:hi] for c in cols[1:]))
+    if held:
+        yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def concordance(df: DataFrame, *, task: int | None = None) -> float:
+    """Over all pairs of rows of (x, y): how many agree in order, less how many disagree.
+
+    Equal rows are counted first. Then ranges are split until they fit a task: pairs in different ranges of both x and y are
+    settled by the counts of (range of x, range of y); what is left are pairs of one range of x, and pairs of one range of y but
+    different ranges of x, which are problems of the same kind, of fewer points each. A range of one value has none left.
+    """
+    importable(df.sparkSession)
+    task = TASK if task is None else task
+    points = df.groupBy((F.col("x") + 0.0).alias("a"), (F.col("y") + 0.0).alias("b")).agg(F.count("*").cast("double").alias("n"))
+    points, held = stored(points.select(F.lit("").alias("key"), "a", "b", "n"), "pairs"), []
+    held.append(points)
+    total = 0.0
+    while True:
+        sizes = points.groupBy("key").agg(F.count("*").alias("points"))
+        large = stored(sizes.filter(F.col("points") > task), "pairs-large")  # at most the points over `task`
+        held.append(large)
+        total += _small(points.join(large, "key", "left_anti"))
+        if not large.count():
+            break
+        cells = stored(_placed(points.join(large.select("key"), "key")), "pairs")
+        held.append(cells)
+        grid = cells.groupBy("key", "i", "j").agg(F.sum("n").alias("n"))
+        total += _grids(grid)
+        inner = cells.filter("i % 2 = 1").select(F.concat("key", F.lit("i"), "i").alias("key"), "a", "b", "n")
+        across = cells.filter("j % 2 = 1").groupBy(F.concat("key", F.lit("j"), "j").alias("key"), F.col("i").cast("double").alias("a"), "b").agg(F.sum("n").alias("n"))
+        points = stored(inner.unionByName(across), "pairs")
+        held.append(points)
+    drop(*held)
+    return total
+
+
+def _placed(points: DataFrame) -> DataFrame:
+    """i and j: the places of a and b among cut points of their own key; even for a value that is a cut point itself."""
+    shares = [k / SPLIT for k in range(1, SPLIT)]
+    at = points.groupBy("key").agg(*[F.array_sort(F.array_distinct(F.percentile_approx(c, shares, ACCURACY))).alias(f"at_{c}") for c in "ab"])
+
+    def place(c: str) -> Column:
+        k = F.size(F.filter(f"at_{c}", lambda e: e <= F.col(c)))
+        return 2 * k + F.when((k > 0) & (F.get(f"at_{c}", k - 1) == F.col(c)), 0).otherwise(1)
+
+    return points.join(at, "key").select("key", "a", "b", "n", place("a").alias("i"), place("b").alias("j"))
+
+
+def _sum_of(parts: DataFrame) -> float:
+    return float(parts.agg(F.coalesce(F.sum("s"), F.lit(0.0))).first()[0])
+
+
+def _small(points: DataFrame) -> float:
+    """Subproblems that a task takes whole, one after the other."""
+
+    def run(it):
+        for _, (a, b, n) in _by_key(it, "a", "b", "n"):
+            yield pa.RecordBatch.from_arrays([pa.array([_inversions(a, b.copy(), n)])], ["s"])
+
+    return _sum_of(points.repartition("key").sortWithinPartitions("key").mapInArrow(run, "s double"))
 
-    def within(group: str):
-        other = "j" if group == "i" else "i"
 
-        def run(it):
-            held = [b for b in it if b.num_rows]
-            if held:
-                t = pa.Table.from_batches(held)
-                key, x, y, n = (t.column(c).to_numpy() for c in ("key", "first", "second", "n"))
-                ends = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-                got = [_inversions(x[a:b], y[a:b], n[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array([float(sum(got))])], ["s"])
+def _grids(cells: DataFrame) -> float:
+    """The grid of each key, at most (2 SPLIT)^2 counts."""
 
-        # in a range of one value no pair differs in it
-        rows = cells.filter(F.col(group) % 2 == 1).select(F.col(group).alias("key"), (F.col("x") if group == "i" else F.col(other).cast("double")).alias("first"), F.col("y").alias("second"), "n")
-        return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "s double")
+    def run(it):
+        for _, (i, j, n) in _by_key(it, "i", "j", "n"):
+            m = np.zeros((int(i.max()) + 1, int(j.max()) + 1))
+            m[i.astype(int), j.astype(int)] = n
+            yield pa.RecordBatch.from_arrays([pa.array([_grid(m)])], ["s"])
 
-    return total + float(within("i").union(within("j")).agg(F.coalesce(F.sum("s"), F.lit(0.0))).first()[0])
+    return _sum_of(cells.repartition("key").sortWithinPartitions("key").mapInArrow(run, "s double"))
