@@ -90,7 +90,7 @@ def _rule(of: dict[str, str]) -> str:
 
 
 def url_filter(rules: dict[str, str], levels: int = 16) -> str:
-    """The same tree, one level after the other, with paths written out where the operator has digests."""
+    """The same tree, one level after the other, with paths written out where the operator has digests; the tables' paths have four levels."""
     block = ", ".join(f"'{r}'" for r, v in rules.items() if v == "block")
     tree = ",\n".join(
         f"""c{k} AS MATERIALIZED (SELECT host, names, segs[{k + 1}] AS child, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM s{k} WHERE len(segs) > {k} GROUP BY 1, 2, 3),

@@ -8,7 +8,8 @@
    `max_children` different children of under `min_support` pages each on average is variable: its rare children
    become `*`. Labelled siblings whose shares of blocked pages do not differ from the node's by more than `z` standard
    errors become `*`, too. What becomes `*` is one branch from there on, so that the next level is counted over all
-   of it: a variable segment below a variable one is found. Segments beyond the first `levels` stay as they are.
+   of it: a variable segment below a variable one is found. This goes on until no node has two different branches below it;
+   levels on which none has are passed over at once.
 3. Purity. A template is rejected when (blocked + strength * prior) / (labelled + strength) reaches `reject`.
    A template without labelled pages keeps the prior and is allowed.
 
@@ -43,13 +44,16 @@ def rule_of(host, path, rules: dict[str, str]):
     return out
 
 
-def _merged(shapes: DataFrame, levels: int, max_children: int, min_support: float, z: float) -> DataFrame:
+def _merged(shapes: DataFrame, max_children: int, min_support: float, z: float) -> DataFrame:
     """host, shape, n, labelled, blocked, template: the tree merged level by level. A node is known by a digest of the merged names down to it."""
     names = F.array().cast("array<string>")
     state = shapes.withColumns({"segments": F.split("shape", "/"), "node": F.xxhash64("host"), "names": names})
-    depth = state.agg(F.max(F.size("segments"))).first()[0] or 0
-    before = None
-    for k in range(min(depth, levels)):
+    before, k = None, 0
+    while (skip := _shared_levels(state, k)) is not None:
+        if skip:  # all have one name down there
+            names = F.slice("segments", F.lit(k + 1), F.lit(skip))
+            state = state.withColumns({"node": F.when(F.size("segments") > k, F.xxhash64("node", F.array_join(names, "/"))).otherwise(F.col("node")), "names": F.concat("names", names)})
+            k += skip
         child = F.get("segments", F.lit(k))
         children = state.filter(child.isNotNull()).groupBy("node", child.alias("child")).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
         children = written(children, "url-children")
@@ -71,12 +75,21 @@ def _merged(shapes: DataFrame, levels: int, max_children: int, min_support: floa
             "url-tree",
         )
         discard(children, *[before] * (before is not None))
-        before = state
-    rest = F.slice("segments", F.lit(levels + 1), F.greatest(F.size("segments") - levels, F.lit(0)))
+        before, k = state, k + 1
+    rest = F.slice("segments", F.lit(k + 1), F.greatest(F.size("segments") - k, F.lit(0)))
     return state.select("host", "shape", "n", "labelled", "blocked", F.array_join(F.concat("names", rest), "/").alias("template"))
 
 
-def judge(pages: DataFrame, rules: dict[str, str], *, max_children: int = 20, min_support: float = 5.0, z: float = 2.0, levels: int = 16, prior: float = 0.25, strength: float = 4.0, reject: float = 0.6) -> DataFrame:
+def _shared_levels(state: DataFrame, k: int) -> int | None:
+    """How many levels from k on no node has two children on; None if no node has two different branches below."""
+    rest = F.slice("segments", F.lit(k + 1), F.size("segments") - k)
+    ends = state.filter(F.size("segments") > k).groupBy("node").agg(F.min(rest).alias("low"), F.max(rest).alias("high")).filter(F.col("low") != F.col("high"))
+    # what the least and the greatest branch share, all share
+    shared = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), F.lit(False)) - 1
+    return ends.agg(F.min(shared)).first()[0]
+
+
+def judge(pages: DataFrame, rules: dict[str, str], *, max_children: int = 20, min_support: float = 5.0, z: float = 2.0, prior: float = 0.25, strength: float = 4.0, reject: float = 0.6) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of each page."""
     rows = only_columns(pages, "page_id", "url")
     host, path = url_parts(F.col("url"))
@@ -94,7 +107,7 @@ def judge(pages: DataFrame, rules: dict[str, str], *, max_children: int = 20, mi
         rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("rule").alias("labelled"), F.count_if(blocked).alias("blocked")),
         "url-shapes",
     )
-    templates = _merged(shapes, levels, max_children, min_support, z)
+    templates = _merged(shapes, max_children, min_support, z)
     purity = templates.groupBy("host", "template").agg(((F.sum("blocked") + strength * prior) / (F.sum("labelled") + strength)).alias("purity"))
     judged = written(templates.select("host", "shape", "template").join(purity, ["host", "template"]), "url-templates")
     discard(shapes)

@@ -72,8 +72,10 @@ def test_url_templates_are_merged_from_the_top_down(spark):
     got = {r["page_id"]: r for r in url_filter.judge(pages, rules).collect()}
     assert got[59]["template"] == "/u/*/*/buy" and got[59]["rule"] is None and got[59]["verdict"] == "block"
     assert got[1059]["template"] == "/u/*/*/read" and got[1059]["verdict"] == "allow"
-    flat = {r["page_id"]: r["template"] for r in url_filter.judge(pages, rules, levels=2).collect()}
-    assert flat[59].startswith("/u/name")
+    deep = pages.withColumn("url", F.regexp_replace("url", "h.com/", "h.com/" + "same/" * 40))  # far below, on a level that all share
+    far = {k.replace("h.com/", "h.com/" + "same/" * 40): v for k, v in rules.items()}
+    got = {r["page_id"]: r for r in url_filter.judge(deep, far).collect()}
+    assert got[59]["template"] == "/" + "same/" * 40 + "u/*/*/buy" and got[59]["verdict"] == "block" and got[1059]["verdict"] == "allow"
 
 
 def test_url_host_of_very_many_branches(spark):
