@@ -15,7 +15,7 @@ from ..functions import ieee, metrics, ranges
 from ..functions.deploy import importable
 from ..operators import delay as delays
 from ..operators import constants, fits, noise, nonlinear, profile, rollout, split, text
-from ..streaming import events
+from ..streaming import events, ring
 from .indexed import Graph
 from .nodes import Binary, Expr, Number, Symbol, Unary
 from .parse import parse
@@ -761,6 +761,15 @@ def event_page(spark, d):
     return events.page(read(spark, d, "events").select(F.col("event_id").alias("seq"), "event_type"), 20)[0]
 
 
+@query("""WITH e AS (SELECT user_id, CAST(event_id AS VARCHAR) AS event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), CAST(event_id AS VARCHAR)) AS seq FROM events)
+SELECT user_id, event_id, seq, greatest(seq - 8, 0) AS discarded_through, CAST(least(seq, 8) AS INTEGER) AS held, greatest(seq - 7, 1) AS oldest FROM e""")
+def event_ring(spark, d):
+    """Each user's events as they enter a ring of eight."""
+    df = events.read(spark, f"{d}/events.parquet", streaming=False)
+    own = df.select("user_id", "event_id", "ts", F.col("event_type").alias("kind"), F.lit(None).cast("string").alias("response_id"), F.col("event_type").alias("payload"))
+    return ring.timelines(own, "user_id", capacity=8).select("user_id", "event_id", "seq", "discarded_through", "held", "oldest")
+
+
 # text
 
 

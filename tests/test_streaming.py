@@ -1,6 +1,9 @@
+import random
 import uuid
 
-from lawengine.streaming import events
+from pyspark.sql import functions as F
+
+from lawengine.streaming import events, ring
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
@@ -41,3 +44,63 @@ def test_a_cursor_is_kept(spark, tmp_path):
     assert at.page(df)[0] == [] and at.get() == 50
     fresh, told = at.page(df.filter("seq < 5"))
     assert told["cursor_reset"] and [r["seq"] for r in fresh] == [1, 2, 3, 4] and at.get() == 4
+
+
+def replay(batches, capacity, delay_ms):
+    """Plain timelines: dictionaries of lists, batch by batch."""
+    now, out, top = {}, [], None
+    for rows in batches:
+        mark = max(0, top - delay_ms) if top is not None else 0
+        for key, event_id, at, kind, response, payload in sorted(rows, key=lambda r: (r[2], r[1])):
+            state = now.setdefault(key, {"next": 1, "gone": 0, "ring": [], "ids": set()})
+            if (mark and at < mark) or event_id in state["ids"]:
+                continue
+            state["ids"].add(event_id)
+            if response is not None and kind in ("delta", "done"):
+                state["ring"] = [e for e in state["ring"] if e[1:] != ("delta", response)]
+            if len(state["ring"]) == capacity:
+                state["gone"] = state["ring"].pop(0)[0]
+            state["ring"].append((state["next"], kind, response))
+            out.append((key, state["next"], event_id, kind, response, payload, state["gone"], len(state["ring"]), state["ring"][0][0]))
+            state["next"] += 1
+        top = max([r[2] for r in rows] + ([top] if top is not None else []))
+    return out
+
+
+def test_timelines_go_on_after_a_restart(spark, tmp_path):
+    """Deltas, ends, a full ring, repeated and late events, over a stop and a start from the checkpoint, equal a plain replay."""
+    rng = random.Random(3)
+    batches, n = [], 0
+    for b in range(5):
+        rows = []
+        for _ in range(40):
+            n += 1
+            at = 1_700_000_000_000 + b * 3_600_000 + rng.randrange(3_600_000)
+            rows.append((f"u{rng.randrange(3)}", f"e{n:04d}", at, rng.choice(["delta", "delta", "done", "note"]), rng.choice(["r1", "r2", None]), f"p{n}"))
+        if b:
+            rows += rng.sample(batches[b - 1], 10)  # repeated
+            rows.append(("u0", f"late{b}", 1_700_000_000_000 - 1, "note", None, "late"))
+        batches.append(rows)
+    src, check, sink = tmp_path / "in", str(tmp_path / "check"), str(tmp_path / "out")
+    src.mkdir()
+    schema = "user string, event_id string, at long, kind string, response_id string, payload string"
+
+    def run(part):
+        for b in part:
+            spark.createDataFrame(batches[b], schema).coalesce(1).write.mode("append").parquet(f"{src}/b{b}")
+            stream = spark.readStream.schema(schema).parquet(f"{src}/*").withColumn("ts", F.timestamp_millis("at")).drop("at")
+            ring.timelines(stream, "user", capacity=6, delay="2 hours").writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+
+    run([0, 1])
+    run([2, 3, 4])  # another query, from the same checkpoint
+    got = sorted(tuple(r) for r in spark.read.parquet(sink).collect())
+    assert sorted(got, key=str) == sorted(replay(batches, 6, 7_200_000), key=str)
+    assert 200 <= len(got) < 204 and max(r[6] for r in got) > 0 and max(r[7] for r in got) == 6
+
+
+def test_a_batch_of_events_is_one_replay(spark):
+    rows = [("k", "b", 5, "delta", "r", "x"), ("k", "a", 5, "delta", "r", "y"), ("k", "c", 9, "done", "r", "z"), ("k", "c", 11, "note", None, "again"), (None, "d", 3, "note", None, ""), ("k", None, 3, "note", None, "")]
+    df = spark.createDataFrame(rows, "user string, event_id string, at long, kind string, response_id string, payload string").withColumn("ts", F.timestamp_millis("at")).drop("at")
+    got = [tuple(r) for r in ring.timelines(df, "user").orderBy("seq").collect()]
+    assert got == [("k", 1, "a", "delta", "r", "y", 0, 1, 1), ("k", 2, "b", "delta", "r", "x", 0, 1, 2), ("k", 3, "c", "done", "r", "z", 0, 1, 3)]
+    assert ring.timelines(df.limit(0), "user").count() == 0
