@@ -114,6 +114,15 @@ def hit_rates(results: DataFrame, *by: str, r2_column: str = "r2") -> DataFrame:
     return results.rollup(*by).agg(F.count("*").alias("n"), *rates, F.avg(c).alias("mean_r2"))
 
 
+def first_seen(df: DataFrame, label: str, order: str) -> DataFrame:
+    """label, code: the labels of a column numbered from 0 by where each is first seen; order tells all rows apart. Null is a label.
+
+    One row for each label leaves the aggregate, and these are ranked in ranges, so neither rows nor labels are one task's.
+    """
+    first = df.groupBy(F.col(label).alias("label")).agg(F.min(order).cast("double").alias("first"))
+    return ranges.ranks(first, "first").select("label", (F.col("rank_first") - 1).cast("long").alias("code"))
+
+
 def confusion(df: DataFrame, true: str, predicted: str, *, k: int = 10) -> DataFrame:
     """The k largest confusions by share of their true class."""
     cells = df.groupBy(F.col(true).alias("true"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))

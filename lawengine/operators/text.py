@@ -23,6 +23,13 @@ def tail(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
     return rows.join(last, key).filter(F.col("n") > F.col("_last") - n).drop("_last")
 
 
+def last_lines(df: DataFrame, key: str, n: int = 10, text: str = "text") -> DataFrame:
+    """(key, n, line): the last n lines of each text, numbered from its beginning; no other line leaves its row."""
+    all_ = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    before = F.greatest(F.size(all_) - n, F.lit(0))
+    return df.select(F.col(key), before.alias("_before"), F.posexplode(F.slice(all_, before + 1, F.lit(n))).alias("n", "line")).select(key, (F.col("n") + F.col("_before") + 1).alias("n"), "line")
+
+
 def wc(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Newlines, words, bytes and characters."""
     t = F.coalesce(F.col(text), F.lit(""))

@@ -343,6 +343,11 @@ def confusion_top(spark, d):
 _HITS = "(SELECT c_mktsegment AS segment, n_name, corr(c_acctbal, c_custkey) * corr(c_acctbal, c_custkey) + 0.45 AS r2 FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING count(*) > 4)"
 
 
+@query("SELECT o_orderpriority AS label, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS code FROM orders GROUP BY 1")
+def first_seen_labels(spark, d):
+    return metrics.first_seen(read(spark, d, "orders"), "o_orderpriority", "o_orderkey")
+
+
 @query(f"""SELECT segment, count(*) AS n, {S("avg(CASE WHEN r2>=0.5 THEN 1.0 ELSE 0.0 END)")} AS hit_0_5, {S("avg(CASE WHEN r2>=0.9 THEN 1.0 ELSE 0.0 END)")} AS hit_0_9, {S("avg(CASE WHEN r2>=0.99 THEN 1.0 ELSE 0.0 END)")} AS hit_0_99, {S("avg(CASE WHEN r2>=0.999 THEN 1.0 ELSE 0.0 END)")} AS hit_0_999, {S("avg(r2)")} AS mean_r2 FROM {_HITS} GROUP BY ROLLUP(segment)""")
 def hit_rates(spark, d):
     c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -793,7 +798,7 @@ def text_head(spark, d):
 
 @query(f"SELECT doc_id, CAST(n AS INTEGER) AS n, line FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS m FROM {_LINES}) WHERE n > m - 1")
 def text_tail(spark, d):
-    return text.tail(text.lines(read(spark, d, "documents"), "doc_id"), "doc_id", 1).select("doc_id", "n", "line")
+    return text.last_lines(read(spark, d, "documents"), "doc_id", 1)
 
 
 @query("SELECT page_id, coalesce(string_split(url, '/')[3], '') || '/' || coalesce(string_split(url, '/')[9], '') AS line FROM pages")

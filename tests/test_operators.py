@@ -466,6 +466,16 @@ def test_exact_folds_and_splits(spark, n):
         assert sum(got[k] == other[k] for k in got) < n / 5 and sum(got[k] == k for k in got) < n / 5
 
 
+def test_last_lines_and_labels(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc"), (2, ""), (3, None), (4, "x\n")], "k long, text string")
+    for n in (1, 2, 5):
+        want = text.tail(text.lines(df, "k"), "k", n)
+        assert sorted(map(tuple, text.last_lines(df, "k", n).collect())) == sorted(map(tuple, want.select("k", "n", "line").collect()))
+    rows = [(7, "v"), (3, "u"), (9, None), (4, "v"), (5, "w"), (1, None)]
+    got = metrics.first_seen(spark.createDataFrame(rows, "at long, label string"), "label", "at").collect()
+    assert {r["label"]: r["code"] for r in got} == {None: 0, "u": 1, "v": 2, "w": 3}
+
+
 def test_search_tree(spark):
     nodes = split.candidates(spark, [(0, "a", 1, 4.0), (1, "b", 2, 3.0), (2, "c", 3, 3.5), (3, "d", 9, 1.0)])
     parents = spark.createDataFrame([(1, 0), (2, 1), (3, 9)], "candidate_id long, parent_id long")
