@@ -166,7 +166,9 @@ def contexts(train: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
             moves += np.bincount(c[:-1] * width + c[1:], minlength=width * width)
             for side, (w, near) in enumerate(((seq[1:], c[:-1]), (seq[:-1], c[1:]))):
                 mine = w < m
-                sums[side] += np.bincount(w[mine] * width + near[mine], minlength=m * width).astype(np.int32)
+                found = np.bincount(w[mine] * width + near[mine], minlength=m * width)
+                np.add(sums[side], found, out=sums[side], casting="unsafe")  # a task has fewer than 2^31 tokens
+                del found
         put = zstandard.ZstdCompressor(level=1).compress
         sums = sums.reshape(2, m, width)
         for at in range(0, m, BLOCK):
