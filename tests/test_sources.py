@@ -77,3 +77,23 @@ def test_tables(spark, tmp_path):
     assert json.loads((tmp_path / "r.json").read_text()) == {"a": None, "b": 2}
     df = dataset.synthetic(spark, "u / 2 - 4", {"u": (3, 5)}, 64)
     assert df.count() == 64 and df.filter("abs(u / 2 - 4 - y) > 1e-12 or u < 3 or u > 5").count() == 0
+
+
+def test_npy_is_written_by_tasks(spark, tmp_path):
+    """In order, of several partitions, of each kind; a null leaves nothing behind; a path with a scheme is read by Spark."""
+    n = 5000
+    df = spark.range(n).selectExpr("id * 7919 % 5003 AS k", "cast(id AS double) / 3 AS d", "id % 3 = 0 AS b", "concat('x', id % 17) AS s", "cast(id AS int) AS i").repartition(7)
+    want = df.orderBy("k").toPandas()
+    for c in "dbsi":
+        path = str(tmp_path / f"{c}.npy")
+        npy.write(df, path, c, "k")
+        assert (np.load(path) == want[c].to_numpy()).all() and len(np.load(path)) == n
+    npy.write(df.limit(0), str(tmp_path / "none.npy"), "d", "k")
+    assert np.load(tmp_path / "none.npy").shape == (0,)
+    with pytest.raises(Exception, match="null"):
+        npy.write(df.selectExpr("k", "if(k = 9, null, d) AS d"), str(tmp_path / "null.npy"), "d", "k")
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["b.npy", "d.npy", "i.npy", "none.npy", "s.npy"]
+    np.save(tmp_path / "m.npy", np.arange(12.0).reshape(3, 4, order="F"))
+    own = {(r["i0"], r["i1"]): r["value"] for r in npy.read(spark, f"file://{tmp_path}/m.npy").collect()}
+    assert own == {(i, j): float(i + 3 * j) for i in range(3) for j in range(4)}
+    assert {(r["i0"], r["i1"]): r["value"] for r in npy._taken_apart(spark, f"file://{tmp_path}/m.npy").collect()} == own
