@@ -439,6 +439,64 @@ def _prefixes(open_: DataFrame, per_cent: int) -> DataFrame:
     return out
 
 
+def _neighbours(tokens: DataFrame) -> DataFrame:
+    """a, b: sets that stand next to each other among those of one difference; a run that is cut by a range loses one pair."""
+
+    def run(it):
+        last = None
+        for b in it:
+            if not b.num_rows:
+                continue
+            group, token, ids = (b.column(c).to_numpy() for c in ("group", "token", "id"))
+            if last is not None:
+                group, token, ids = (np.r_[x, y] for x, y in zip(last, (group, token, ids), strict=True))
+            same = (group[1:] == group[:-1]) & (token[1:] == token[:-1]) & (ids[1:] != ids[:-1])
+            a, z = ids[:-1][same], ids[1:][same]
+            pairs = np.unique(np.stack([np.minimum(a, z), np.maximum(a, z)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            last = (group[-1], token[-1], ids[-1])
+
+    parts = max(1, -(-tokens.count() // ROWS_PER_TASK))
+    dealt = tokens.select("group", "token", "id").repartitionByRange(parts, "group", "token", "id").sortWithinPartitions("group", "token", "id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """up_a, up_b of the pairs (a, b) that are linked, by their whole differences."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("cost").alias(f"cost_{c}"), "slack" if c == "a" else F.lit(0).alias("unused"), F.col("up").alias(f"up_{c}"), F.col("delta").alias(f"delta_{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").filter("up_a <> up_b")
+    good = met.filter((100 + per_cent) * F.size(F.array_intersect("delta_a", "delta_b")) >= F.col("cost_a") + F.col("cost_b") - F.col("slack"))
+    return good.select("up_a", "up_b")
+
+
+def _across(tokens: DataFrame, sets: DataFrame, of: DataFrame, per_cent: int) -> DataFrame:
+    """a, b: pairs of sets of different parts of the forest that share a difference, where the parts may be linked at all.
+
+    Symmetric differences obey the triangle inequality. If those of two parts' first sets are larger than both parts' radii and what a link
+    allows for their largest sets, no set of one is linked with one of the other, and no pair of the two is made.
+    """
+    first = of.groupBy("part").agg(F.min("id").alias("id"))
+    reps = written(first.join(sets.select("id", F.col("delta").alias("middle")), "id").select("part", "middle"), "difference-middles")
+    apart = lambda x, y: F.size(x) + F.size(y) - 2 * F.size(F.array_intersect(x, y))
+    added = F.size(F.filter("delta", lambda x: x.bitwiseAND(F.lit(1)) == 1))
+    size = F.col("slack") / (100 - per_cent) + 2 * added - F.size("delta")
+    spans = of.join(sets.select("id", "slack", "delta"), "id").join(reps, "part").groupBy("part").agg(F.max(apart("middle", "delta")).alias("radius"), F.max(size).alias("size"))
+    spans = written(spans, "difference-spans")
+    held = written(tokens.join(of.select("id", "part"), "id"), "difference-tokens")
+    x = held.filter("outer").select("group", "token", F.col("part").alias("p")).distinct()
+    y = held.filter("any").select("group", "token", F.col("part").alias("q")).distinct()
+    both = written(x.join(y, ["group", "token"]).filter("p <> q").select("p", "q").distinct(), "difference-part-pairs")
+    told = lambda c: spans.join(reps, "part").select(F.col("part").alias(c), *[F.col(n).alias(f"{n}_{c}") for n in ("radius", "size", "middle")])
+    met = both.join(told("p"), "p").join(told("q"), "q")
+    room = (F.col("size_p") + F.col("size_q")) * (100 - per_cent) / (100 + per_cent) + F.col("radius_p") + F.col("radius_q")
+    maybe = met.filter(apart("middle_p", "middle_q") <= room + 1e-6).select("p", "q")
+    mine = maybe.join(held.filter("outer").select(F.col("part").alias("p"), "group", "token", F.col("id").alias("x")), "p")
+    pairs = mine.join(held.filter("any").select(F.col("part").alias("q"), "group", "token", F.col("id").alias("y")), ["q", "group", "token"])
+    out = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "across")
+    discard(reps, spans, held, both)
+    return out
+
+
 def _of_large_groups(items: DataFrame, per_cent: int) -> DataFrame:
     """id, root of the sets of larger groups."""
     centres = written(_centres(items), "centres")
@@ -451,14 +509,17 @@ def _of_large_groups(items: DataFrame, per_cent: int) -> DataFrame:
     if not open_.limit(1).count():
         return named
     tokens = _prefixes(open_, per_cent)
-    x, y = tokens.filter("outer").select("group", "token", F.col("id").alias("x")), tokens.filter("any").select("group", "token", F.col("id").alias("y"))
-    pairs = written(x.join(y, ["group", "token"]).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "differing-pairs")
-    side = lambda c: open_.select(F.col("id").alias(c), F.col("cost").alias(f"cost_{c}"), "slack" if c == "a" else F.lit(0).alias("unused"), F.when(inner, F.col("least_id")).otherwise(F.col("id")).alias(f"up_{c}"), F.col("delta").alias(f"delta_{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").filter("up_a <> up_b")
-    good = met.filter((100 + per_cent) * F.size(F.array_intersect("delta_a", "delta_b")) >= F.col("cost_a") + F.col("cost_b") - F.col("slack"))
-    up = classes(good.select(F.col("up_a").alias("a"), F.col("up_b").alias("b")))
+    sets = open_.select("group", "id", "cost", "slack", "delta", F.when(inner, F.col("least_id")).otherwise(F.col("id")).alias("up"))
+    # a forest first: neighbours among the sets of a difference
+    chain = written(_neighbours(tokens), "difference-neighbours")
+    near = classes(_confirmed(chain, sets, per_cent).select(F.col("up_a").alias("a"), F.col("up_b").alias("b")))
+    part = F.coalesce("root", "up")
+    of = written(sets.select("group", "id", "up").join(near.select(F.col("id").alias("up"), "root"), "up", "left").select("group", "id", part.alias("part")), "difference-parts")
+    pairs = written(_across(tokens, sets, of, per_cent), "differing-pairs")
+    later = _confirmed(pairs, sets, per_cent).select(F.col("up_a").alias("a"), F.col("up_b").alias("b"))
+    up = classes(later.union(near.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     out = written(named.join(up.select(F.col("id").alias("root"), F.col("root").alias("up")), "root", "left").select("id", F.coalesce("up", "root").alias("root")), "large-classes")
-    discard(centres, deltas, tokens, pairs, up)
+    discard(centres, deltas, tokens, chain, near, of, pairs, up)
     return out
 
 
