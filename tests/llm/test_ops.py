@@ -288,6 +288,41 @@ def test_links_around_large_classes_equal_brute_force(spark, monkeypatch, leaf):
         assert got == brute_classes(dict(rows), n)
 
 
+def drifting(rng, n, step, versions=10):
+    """Documents of versions of one text; `step` of 200 words change from one version to the next, and each document has a word of its own."""
+    words, texts = some_words(rng, 200), []
+    for v in range(versions):
+        texts.append(list(words))
+        for i in rng.choice(200, step, replace=False):
+            words[i] = f"v{v}x{i}"
+    return [(i, " ".join([*texts[i % versions], f"own{i}"])) for i in range(n)], texts
+
+
+@pytest.mark.parametrize("step", [8, 30])
+def test_versions_that_drift_apart_make_few_candidates(spark, monkeypatch, step):
+    """Steps within a link's reach, and steps beyond it with a document between two versions: right classes, and candidates in proportion."""
+    seen = Counter()
+    stored = near_dup.written
+
+    def spy(df, name, **options):
+        out = stored(df, name, **options)
+        if name in ("difference-neighbours", "differing-pairs", "difference-part-pairs"):
+            seen[name] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "written", spy)
+    made = {}
+    for n in (200, 400):
+        rows, texts = drifting(np.random.default_rng(7), n, step)
+        half = [a if i % 2 else b for i, (a, b) in enumerate(zip(texts[0], texts[1], strict=True))]
+        rows.append((5000, " ".join(half)))
+        seen.clear()
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.link(docs(spark, rows), n=2).collect()}
+        assert got == brute_classes(dict(rows), 2)
+        made[n] = sum(seen.values())
+    assert made[400] <= 3 * made[200] + 100 and made[400] < 20 * 400
+
+
 def test_repeated_ids_are_told_apart_by_their_sets(spark):
     rng = np.random.default_rng(5)
     base, other = some_words(rng, 60), some_words(rng, 60)
