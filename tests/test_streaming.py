@@ -1,4 +1,5 @@
 import random
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -104,3 +105,22 @@ def test_a_batch_of_events_is_one_replay(spark):
     got = [tuple(r) for r in ring.timelines(df, "user").orderBy("seq").collect()]
     assert got == [("k", 1, "a", "delta", "r", "y", 0, 1, 1), ("k", 2, "b", "delta", "r", "x", 0, 1, 2), ("k", 3, "c", "done", "r", "z", 0, 1, 3)]
     assert ring.timelines(df.limit(0), "user").count() == 0
+
+
+def test_usage_counts_rows_and_batches(spark, tmp_path):
+    from lawengine.functions.usage import Counters
+
+    used = Counters(unit="row")
+    with used.observed(spark.range(1000).filter("id % 3 = 0"), "thirds") as df:
+        assert df.selectExpr("sum(id)").first()[0] == 166833
+    assert used.count["thirds"] == 334 and used.seconds["thirds"] > 0 and used.pace("thirds") > 0
+    spark.range(70).write.parquet(str(tmp_path / "in"))
+    heard = used.listener(spark)
+    name = "usage" + uuid.uuid4().hex
+    events.drained(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), name, checkpoint=str(tmp_path / "c"))
+    for _ in range(100):  # progress is told a little later
+        if used.count.get(name) == 70:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(heard)
+    assert used.count[name] == 70 and {r["name"] for r in used.table(spark).collect()} == {"thirds", name}
