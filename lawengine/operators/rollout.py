@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ieee
 from ..functions.deploy import importable
+from ..functions.together import together
 from ..plans.dag import compiled
 from ..plans.nodes import Expr, Symbol
 from ..plans.parse import parse
@@ -132,7 +133,7 @@ def rollouts(df: DataFrame, rate: Expr | str, *, by: str, time: str = "t", state
             own = slice(1 if joins else 0, None)
             yield pa.RecordBatch.from_arrays([c.column("by").combine_chunks(), pa.array(v[own, 0]), pa.array(v[own, 1]), pa.array(got[own])], [by, time, state, "rolled"])
 
-    rows = df.select(*cols).repartition("by").sortWithinPartitions("by", "v0")
+    rows = together(df.select(*cols), "by", order=("v0",))
     return rows.mapInArrow(run, f"`{by}` {kind}, `{time}` double, `{state}` double, rolled double")
 
 

@@ -102,6 +102,21 @@ def test_rollouts_in_parts_go_on_where_they_were(spark, monkeypatch):
         rollout.rollouts(spark.createDataFrame([(1, 0.0, 1.0), (1, 0.0, 2.0)], "k long, t double, x double"), "-x", by="k").collect()
 
 
+def test_rollouts_after_a_join_that_turns_into_a_broadcast(spark):
+    """The join's own shuffle by the key is then read where it lies; trajectories must not be cut by that."""
+    new = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.createDataFrame([(k, float(s), 2.0 if s == 0 else math.nan) for s in np.linspace(0, 5, 50) for k in range(40)], "k long, t double, x double").repartition(7)
+        got = rollout.rollouts(rows.join(spark.range(40).withColumnRenamed("id", "k"), "k", "left"), "-0.7 * x", by="k").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(got) == 2000 and all(abs(r["rolled"] - 2 * math.exp(-0.7 * r["t"])) < 1e-6 for r in got)
+
+
 def test_fit_of_many_parameters_is_a_scan_a_step(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 25))
