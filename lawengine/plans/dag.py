@@ -23,6 +23,7 @@ OPERATIONS = {
     "neg": np.negative, "+": np.add, "-": np.subtract, "*": np.multiply, "/": np.divide, "**": power, "max": np.maximum, "min": np.minimum,
     "inv": lambda x: 1 / x, "pow2": lambda x: x * x, "pow3": lambda x: x * x * x, "sec": lambda x: 1 / np.cos(x), "csc": lambda x: 1 / np.sin(x),
     "cot": lambda x: 1 / np.tan(x), "sech": lambda x: 1 / np.cosh(x), "sigmoid": lambda x: 1 / (1 + np.exp(-x)),
+    **{f"defined_{n}": lambda x, f=f: f(np.where(x > 0, x, np.nan)) for n, f in (("log", np.log), ("log2", np.log2), ("log10", np.log10))},
 }
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lawengine.functions import isotonic, metrics, ranges, triangular
 from lawengine.operators import arrow, constants, delay, fits, noise, nonlinear, profile, rollout, split, text
+from lawengine.plans.dag import compiled
 from lawengine.plans.indexed import Graph
 from lawengine.plans.parse import parse
 from lawengine.sources import dataset
@@ -214,6 +215,29 @@ def test_orders_equal_plain_ones(spark, n, k):
     assert held == set(np.lexsort((np.arange(n), x))[n - m :].tolist() if m else [])
 
 
+def test_searched_formulas_of_equal_r2_are_in_order(spark):
+    """By nine decimals, complexity and text: a target that no candidate explains leaves noise of sums alone. A constant is explained by any."""
+    rng = np.random.default_rng(8)
+    a, b, y = rng.uniform(1, 9, 300), rng.uniform(1, 9, 300), rng.normal(size=300)
+    formulas = nonlinear.enumerate_formulas(["a", "b"], most=30)
+    with_all = np.column_stack([np.ones(300), *[np.broadcast_to(compiled(f)({"a": a, "b": b}), 300) for f in formulas]])
+    y = y - with_all @ np.linalg.lstsq(with_all, y, rcond=None)[0]
+    df = frame(spark, a=a, b=b, y=y, c=np.full(300, 0.1)).repartition(3)
+    for target, r2 in (("y", 0.0), ("c", 1.0)):
+        got = nonlinear.search(df, ["a", "b"], target, most=30)
+        assert len(got) > 20 and all(abs(m["r2"] - r2) < 1e-10 for m in got)
+        assert [m["formula"] for m in got] == [f for _, f in sorted((m["complexity"], m["formula"]) for m in got)]
+
+
+def test_searched_formulas_leave_out_rows_without_a_logarithm(spark):
+    """a / log(0) is no zero of the candidate; a / inv(0) is one."""
+    a, b = np.arange(1.0, 9.0), np.array([0.0, 0.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0])
+    y = np.where(b > 0, 3 * a / np.log(np.where(b > 0, b, 2)) + 1, 50.0)
+    got = {m["formula"]: m["r2"] for m in nonlinear.search(frame(spark, a=a, b=b, y=y), ["a", "b"], "y", most=200)}
+    assert got["a / log(b)"] == pytest.approx(1)
+    assert got["a / inv(b)"] == pytest.approx(np.corrcoef(a * b, y)[0, 1] ** 2)
+
+
 def test_brackets_are_narrowed(spark, monkeypatch):
     monkeypatch.setattr(ranges, "FEW", 3)
     monkeypatch.setattr(ranges, "ACCURACY", 20)
