@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from .deploy import importable
 from .stored import drop, stored
+from .together import together
 
 PARTS = 256
 ACCURACY = 10_000
@@ -233,21 +234,27 @@ def concordance(df: DataFrame, *, task: int | None = None) -> float:
         sizes = points.groupBy("key").agg(F.count("*").alias("points"))
         large = stored(sizes.filter(F.col("points") > task), "pairs-large")  # at most the points over `task`
         held.append(large)
-        total += _small(points.join(large, "key", "left_anti"))
+        of_large = large.agg(F.coalesce(F.sum("points"), F.lit(0))).first()[0]
+        total += _small(points.join(large, "key", "left_anti"), 1 + 2 * (points.count() - of_large) // task)
         if not large.count():
             break
         cells = stored(_placed(points.join(large.select("key"), "key")), "pairs")
         held.append(cells)
         grid = cells.groupBy("key", "i", "j").agg(F.sum("n").alias("n"))
         total += _grids(grid)
-        inner = cells.filter("i % 2 = 1").select(F.concat("key", F.lit("i"), "i").alias("key"), "a", "b", "n")
-        across = cells.filter("j % 2 = 1").groupBy(F.concat("key", F.lit("j"), "j").alias("key"), F.col("i").cast("double").alias("a"), "b").agg(F.sum("n").alias("n"))
-        points = stored(inner.unionByName(across), "pairs")
+        points = stored(_inside(cells), "pairs")
         held.append(points)
     drop(*held)
     return total
 
 
+def _inside(cells: DataFrame) -> DataFrame:
+    """The points of the problems that are left. Equal ones aren't merged: few are equal, and a hash table of a task's rows grows with them."""
+    inner = cells.filter("i % 2 = 1").select(F.concat("key", F.lit("i"), "i").alias("key"), "a", "b", "n")
+    across = cells.filter("j % 2 = 1").select(F.concat("key", F.lit("j"), "j").alias("key"), F.col("i").cast("double").alias("a"), "b", "n")
+    return inner.unionByName(across)
+
+
 def _placed(points: DataFrame) -> DataFrame:
     """i and j: the places of a and b among cut points of their own key; even for a value that is a cut point itself."""
     shares = [k / SPLIT for k in range(1, SPLIT)]
@@ -264,14 +271,14 @@ def _sum_of(parts: DataFrame) -> float:
     return float(parts.agg(F.coalesce(F.sum("s"), F.lit(0.0))).first()[0])
 
 
-def _small(points: DataFrame) -> float:
+def _small(points: DataFrame, tasks: int) -> float:
     """Subproblems that a task takes whole, one after the other."""
 
     def run(it):
         for _, (a, b, n) in _by_key(it, "a", "b", "n"):
             yield pa.RecordBatch.from_arrays([pa.array([_inversions(a, b.copy(), n)])], ["s"])
 
-    return _sum_of(points.repartition("key").sortWithinPartitions("key").mapInArrow(run, "s double"))
+    return _sum_of(together(points, "key", parts=tasks).mapInArrow(run, "s double"))
 
 
 def _grids(cells: DataFrame) -> float:

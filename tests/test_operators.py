@@ -238,6 +238,26 @@ def test_searched_formulas_leave_out_rows_without_a_logarithm(spark):
     assert got["a / inv(b)"] == pytest.approx(np.corrcoef(a * b, y)[0, 1] ** 2)
 
 
+def test_concordance_of_many_parts_by_joins_that_turn_into_broadcasts(spark, monkeypatch):
+    """A subproblem stays in one task, whatever becomes of the join before; what is left for the next round isn't held in hash tables."""
+    monkeypatch.setattr(ranges, "SPLIT", 6)
+    new = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    rng = np.random.default_rng(3)
+    x, y = np.where(rng.random(1500) < 0.2, 0.5, rng.random(1500)), rng.integers(0, 90, 1500).astype(float)
+    y = np.where(rng.random(1500) < 0.5, y + x, y)
+    try:
+        assert ranges.concordance(frame(spark, x=x, y=y).repartition(7), task=200) == np.sum(np.sign(x[:, None] - x[None, :]) * np.sign(y[:, None] - y[None, :])) / 2
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    cells = spark.createDataFrame([("", 1.0, 2.0, 1.0, 1, 3)], "key string, a double, b double, n double, i int, j int")
+    plan = ranges._inside(cells)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+
+
 def test_brackets_are_narrowed(spark, monkeypatch):
     monkeypatch.setattr(ranges, "FEW", 3)
     monkeypatch.setattr(ranges, "ACCURACY", 20)
